@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, packing, token_files
 from .common import documents
 
 
@@ -14,7 +14,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    rows = token_files.read(files, F.crc32("ids").alias("ids_crc32"))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op3_token_files": op3_token_files,
+    "op6_packing": op6_packing,
     "op10_mixing": op10_mixing,
 }
 
