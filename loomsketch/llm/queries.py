@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_files
+from . import fingerprints, mixing, packing, token_files
 from .common import documents
 
 
@@ -31,9 +31,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.compared(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.printed(F.col("sketch")).alias("fingerprint"),
+        fingerprints.printed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprints.distinct_count(F.col("sketch")).alias("n_shingles"),
+    )
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op6_packing": op6_packing,
+    "op8_fingerprints": op8_fingerprints,
     "op10_mixing": op10_mixing,
 }
 
