@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, token_files, toxicity
+from . import fingerprints, mixing, packing, substrings, token_files, toxicity
 from .common import documents
 
 
@@ -37,6 +37,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.deduplicated(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.compared(documents(spark, sf_dir))
     return rows.select(
@@ -55,6 +60,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op6_packing": op6_packing,
+    "op7_substrings": op7_substrings,
     "op8_fingerprints": op8_fingerprints,
     "op10_mixing": op10_mixing,
 }
