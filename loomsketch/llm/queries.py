@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, substrings, token_files, toxicity
+from . import fingerprints, forest, mixing, packing, substrings, token_files, toxicity
 from .common import documents
 
 
+def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.grouped_documents(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_copies(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_substrings": op7_substrings,
     "op8_fingerprints": op8_fingerprints,
+    "op9_forest": op9_forest,
     "op10_mixing": op10_mixing,
 }
 
