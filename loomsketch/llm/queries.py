@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, forest, mixing, packing, substrings, token_files, toxicity
+from . import fingerprints, forest, mixing, packing, substrings, tiles, token_files, toxicity
 from .common import documents
 
 
@@ -41,6 +41,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.grouped_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.deduplicated(documents(spark, sf_dir))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -63,6 +67,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
+    "op4_tiles": op4_tiles,
     "op6_packing": op6_packing,
     "op7_substrings": op7_substrings,
     "op8_fingerprints": op8_fingerprints,
