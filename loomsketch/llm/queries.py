@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, forest, mixing, packing, substrings, tiles, token_files, toxicity
+from . import fingerprints, forest, fuzzy_lines, mixing, packing, substrings, tiles, token_files, toxicity
 from .common import documents
 
 
@@ -18,6 +18,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = fuzzy_lines.deduplicated(documents(spark, sf_dir))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -65,6 +70,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fuzzy_lines": op1_fuzzy_lines,
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_tiles": op4_tiles,
