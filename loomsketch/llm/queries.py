@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, forest, fuzzy_lines, mixing, packing, substrings, tiles, token_files, toxicity
+from . import fingerprints, forest, fuzzy_lines, mixing, packing, substrings, surrogates, tiles, token_files, toxicity
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+#: The query's key; a user of the operator has one of their own, and keeps it secret.
+SURROGATE_KEY = b"a key for the query over test data"
+
+
 def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = fuzzy_lines.deduplicated(documents(spark, sf_dir))
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -50,6 +54,10 @@ def op4_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.grouped_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(documents(spark, sf_dir), SURROGATE_KEY)
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.deduplicated(documents(spark, sf_dir))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -74,6 +82,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_tiles": op4_tiles,
+    "op5_surrogates": op5_surrogates,
     "op6_packing": op6_packing,
     "op7_substrings": op7_substrings,
     "op8_fingerprints": op8_fingerprints,
