@@ -1,6 +1,501 @@
-"""Queries of the engine by name, with the SQL that checks them."""
+"""Queries of the engine by name, with the SQL that checks them.
+
+Sequences are the users' event codes, vectors the embeddings, strings the parts' names and the documents' letters. Rows
+are long and scalar; doubles are rounded, as engines add up in different orders. Where it can, the SQL takes another way to the same
+values: closed forms over joins of positions instead of folds.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import alphabet, distances, hashing, kmers, maths
+from ..operators import flatten, hashed, pairs, phylogeny, stats, synth, tensors
+from ..sources import exons, fasta, tables
+from . import engine, experiment
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+SIZE, K, DIM = 5, 3, 8
+AFFINE = hashing.Affine(DIM, 7)
+TABLES2 = hashing.TensorTables.drawn(SIZE, 2, DIM, 7)
+TABLES3 = hashing.TensorTables.drawn(SIZE, 3, DIM, 7)
+TABLES4 = hashing.TensorTables.drawn(SIZE, 4, DIM, 7)
+WINDOW, STRIDE = 16, 8
+FLAT = flatten.cauchy(6, 4 * DIM, 7)
+SIGNS = flatten.random_signs(32, 4 * DIM, 7)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def _numbers(values) -> str:
+    return "[" + ", ".join(map(str, values)) + "]"
+
+
+def _place_table(name: str, t: hashing.TensorTables) -> str:
+    rows = ", ".join(f"({p}, {c}, {t.hashes[p][c]}, {t.signs[p][c]})" for p in range(t.t) for c in range(t.size))
+    return f"{name}(p, c, h, s) AS (VALUES {rows})"
+
+
+EV = "ev AS (SELECT user_id AS seq_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS c FROM events)"
+KM = f"{EV}, km AS (SELECT a.seq_id, a.pos, CAST(a.c + 5 * b.c + 25 * d.c AS BIGINT) AS kmer FROM ev a JOIN ev b ON b.seq_id = a.seq_id AND b.pos = a.pos + 1 JOIN ev d ON d.seq_id = a.seq_id AND d.pos = a.pos + 2), oc AS (SELECT *, row_number() OVER (PARTITION BY seq_id, kmer ORDER BY pos) - 1 AS occ FROM km)"
+FAM = "fam(idx, a, b) AS (VALUES " + ", ".join(f"({i}, CAST({AFFINE.a[i]} AS BIGINT), CAST({AFFINE.b[i]} AS BIGINT))" for i in range(DIM)) + ")"
+MH = f"{KM}, {FAM}, mh AS (SELECT seq_id, idx, arg_min(kmer, (a * kmer + b) % 2147483647) AS kmer FROM km, fam GROUP BY seq_id, idx)"
+WMH = f"{KM}, {FAM}, mh AS (SELECT seq_id, idx, arg_min(kmer, (a * (kmer + 125 * occ) + b) % 2147483647) AS kmer FROM oc, fam GROUP BY seq_id, idx)"
+OMH = f"{KM}, {FAM}, lo AS (SELECT seq_id, idx, pos, kmer, row_number() OVER (PARTITION BY seq_id, idx ORDER BY (a * (kmer + 125 * occ) + b) % 2147483647, pos) AS r FROM oc, fam), mh AS (SELECT seq_id, idx, CAST(row_number() OVER (PARTITION BY seq_id, idx ORDER BY pos) - 1 AS INTEGER) AS place, kmer FROM lo WHERE r <= 3)"
+LEN = "ln AS (SELECT seq_id, count(*) AS n FROM ev GROUP BY seq_id)"
+STR = "st AS (SELECT seq_id, string_agg(chr(65 + c), '' ORDER BY pos) AS s FROM ev GROUP BY seq_id)"
+VEC = "ve AS (SELECT vec_id AS seq_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings)"
+
+
+def _sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.event_sequences(spark, sf)
+
+
+def _grams(spark: SparkSession, sf: str) -> DataFrame:
+    return _sequences(spark, sf).withColumn("kmers", kmers.kmers(F.col("seq"), K, SIZE))
+
+
+def _long(df: DataFrame, column: str, *keys: str, name: str = "value", digits: int | None = None) -> DataFrame:
+    out = df.select(*keys, F.posexplode(column).alias("idx", name))
+    return out.withColumn(name, F.round(name, digits) + F.lit(0.0)) if digits else out
+
+
+@query(f"WITH {EV} SELECT seq_id, pos, c AS code FROM ev")
+def encode_events(spark, sf):
+    return _sequences(spark, sf).select("seq_id", F.posexplode("seq").alias("pos", "code"))
+
+
+@query(f"WITH {KM} SELECT seq_id, pos, kmer FROM km")
+def event_kmers(spark, sf):
+    return kmers.exploded(_sequences(spark, sf), K, SIZE)
+
+
+@query(f"WITH {KM} SELECT kmer, count(*) AS n, count(DISTINCT seq_id) AS sequences FROM km GROUP BY kmer")
+def kmer_counts(spark, sf):
+    return kmers.exploded(_sequences(spark, sf), K, SIZE).groupBy("kmer").agg(F.count("*").alias("n"), F.count_distinct("seq_id").alias("sequences"))
+
+
+@query(f"WITH {KM} SELECT seq_id, pos, kmer, occ FROM oc")
+def kmer_occurrences(spark, sf):
+    return kmers.with_occurrence(kmers.exploded(_sequences(spark, sf), K, SIZE))
+
+
+@query(f"WITH {MH} SELECT seq_id, idx, kmer FROM mh")
+def minhash(spark, sf):
+    return _long(_grams(spark, sf).select("seq_id", hashed.minhash(F.col("kmers"), AFFINE).alias("s")), "s", "seq_id", name="kmer")
+
+
+@query(f"WITH {WMH} SELECT seq_id, idx, kmer FROM mh")
+def weighted_minhash(spark, sf):
+    return _long(_grams(spark, sf).select("seq_id", hashed.weighted_minhash(F.col("kmers"), AFFINE, SIZE**K).alias("s")), "s", "seq_id", name="kmer")
+
+
+@query(f"WITH {OMH} SELECT seq_id, idx, place, kmer FROM mh")
+def ordered_minhash(spark, sf):
+    rows = _grams(spark, sf).select("seq_id", F.posexplode(hashed.ordered_minhash(F.col("kmers"), AFFINE, SIZE**K, 3)).alias("idx", "tuple"))
+    return rows.select("seq_id", "idx", F.posexplode("tuple").alias("place", "kmer"))
+
+
+@query(f"WITH {OMH} SELECT seq_id, idx, CAST(sum(kmer * CASE place WHEN 0 THEN 15625 WHEN 1 THEN 125 ELSE 1 END) AS BIGINT) AS packed FROM mh GROUP BY seq_id, idx")
+def ordered_minhash_packed(spark, sf):
+    tuples = hashed.ordered_minhash(F.col("kmers"), AFFINE, SIZE**K, 3)
+    return _long(_grams(spark, sf).select("seq_id", hashed.packed(tuples, SIZE**K, 3).alias("s")), "s", "seq_id", name="packed")
+
+
+@query(f"WITH {MH} SELECT x.seq_id AS i, y.seq_id AS j, CAST(count(*) FILTER (x.kmer <> y.kmer) AS INTEGER) AS dist, 1 - count(*) FILTER (x.kmer <> y.kmer) / 8.0 AS similarity FROM mh x JOIN mh y ON x.idx = y.idx AND y.seq_id < x.seq_id GROUP BY ALL")
+def minhash_triangle(spark, sf):
+    rows = _grams(spark, sf).select("seq_id", hashed.minhash(F.col("kmers"), AFFINE).alias("s"))
+    met = pairs.triangle(rows, "seq_id", ["s"])
+    return met.select("i", "j", distances.hamming(F.col("s_i"), F.col("s_j")).alias("dist"), distances.similarity(F.col("s_i"), F.col("s_j")).alias("similarity"))
+
+
+@query(f"WITH {WMH} SELECT x.seq_id AS i, y.seq_id AS j, CAST(count(*) FILTER (x.kmer <> y.kmer) AS INTEGER) AS dist FROM mh x JOIN mh y ON x.idx = y.idx AND x.seq_id // 10 = y.seq_id // 10 AND x.seq_id < y.seq_id GROUP BY ALL")
+def weighted_minhash_groups(spark, sf):
+    rows = _grams(spark, sf).select("seq_id", pairs.group_of("seq_id", 10).alias("g"), hashed.weighted_minhash(F.col("kmers"), AFFINE, SIZE**K).alias("s"))
+    return pairs.in_group(rows, "seq_id", "g", ["s"]).select("i", "j", distances.hamming(F.col("s_i"), F.col("s_j")).alias("dist"))
+
+
+@query(f"WITH {OMH}, tu AS (SELECT seq_id, idx, list(kmer ORDER BY place) AS t FROM mh GROUP BY seq_id, idx) SELECT x.seq_id AS i, y.seq_id AS j, CAST(count(*) FILTER (x.t <> y.t) AS INTEGER) AS dist FROM tu x JOIN tu y ON x.idx = y.idx AND x.seq_id // 10 = y.seq_id // 10 AND x.seq_id < y.seq_id GROUP BY ALL")
+def ordered_minhash_groups(spark, sf):
+    rows = _grams(spark, sf).select("seq_id", pairs.group_of("seq_id", 10).alias("g"), hashed.ordered_minhash(F.col("kmers"), AFFINE, SIZE**K, 3).alias("s"))
+    return pairs.in_group(rows, "seq_id", "g", ["s"]).select("i", "j", distances.hamming(F.col("s_i"), F.col("s_j")).alias("dist"))
+
+
+TE2 = f"{EV}, {LEN}, te AS (SELECT a.seq_id, a.c * 5 + b.c AS idx, count(*) AS k FROM ev a JOIN ev b ON a.seq_id = b.seq_id AND a.pos < b.pos GROUP BY ALL)"
+
+
+@query(f"WITH {TE2} SELECT ln.seq_id, CAST(r.i AS INTEGER) AS idx, round(coalesce(k, 0) / (n * (n - 1) / 2.0), 6) AS value FROM ln CROSS JOIN range(25) r(i) LEFT JOIN te ON te.seq_id = ln.seq_id AND te.idx = r.i")
+def tensor_embedding(spark, sf):
+    return _long(_sequences(spark, sf).select("seq_id", tensors.embedding(F.col("seq"), SIZE, 2).alias("s")), "s", "seq_id", digits=6)
+
+
+@query(f"WITH {TE2} SELECT ln.seq_id, CAST(r.i AS INTEGER) AS idx, CAST(coalesce(k, 0) AS DOUBLE) AS value FROM ln CROSS JOIN range(25) r(i) LEFT JOIN te ON te.seq_id = ln.seq_id AND te.idx = r.i")
+def tensor_embedding_joined(spark, sf):
+    half = F.floor(F.size("seq") / 2).cast("int")
+    left, right = F.slice("seq", F.lit(1), half), F.slice("seq", half + 1, F.size("seq"))
+    states = _sequences(spark, sf).select("seq_id", tensors.embedding_state(left, SIZE, 2).alias("a"), tensors.embedding_state(right, SIZE, 2).alias("b"))
+    whole = tensors.joined(F.col("a"), F.col("b"), SIZE, 2)
+    return _long(states.select("seq_id", F.get(whole, F.lit(2)).alias("s")), "s", "seq_id")
+
+
+def _cells(source: str, keys: str, total: str) -> str:
+    """Long rows with zeros for the places that no subsequence has."""
+    return f"SELECT k.*, CAST(r.i AS INTEGER) AS idx, round(coalesce(x.v / k.total, 0), 6) + 0.0 AS value FROM (SELECT {keys}, {total} AS total FROM {source}) k CROSS JOIN range({DIM}) r(i) LEFT JOIN x ON x.idx = r.i"
+
+
+TS3 = f"""WITH {EV}, {LEN}, {_place_table("tb", TABLES3)},
+two AS (SELECT a.seq_id, b.pos, (t0.h + t1.h) % {DIM} AS h, sum(t0.s * t1.s) AS v FROM ev a JOIN ev b ON a.seq_id = b.seq_id AND a.pos < b.pos JOIN tb t0 ON t0.p = 0 AND t0.c = a.c JOIN tb t1 ON t1.p = 1 AND t1.c = b.c GROUP BY ALL),
+x AS (SELECT w.seq_id, (w.h + t2.h) % {DIM} AS idx, sum(w.v * t2.s) AS v FROM two w JOIN ev d ON d.seq_id = w.seq_id AND w.pos < d.pos JOIN tb t2 ON t2.p = 2 AND t2.c = d.c GROUP BY ALL),
+ts AS (SELECT ln.seq_id, r.i AS idx, coalesce(x.v, 0) / (n * (n - 1) * (n - 2) / 6.0) AS value FROM ln CROSS JOIN range({DIM}) r(i) LEFT JOIN x ON x.seq_id = ln.seq_id AND x.idx = r.i)"""
+
+
+@query(f"{TS3} SELECT seq_id, CAST(idx AS INTEGER) AS idx, round(value, 6) + 0.0 AS value FROM ts")
+def tensor_sketch(spark, sf):
+    return _long(_sequences(spark, sf).select("seq_id", tensors.tensor_sketch(F.col("seq"), TABLES3).alias("s")), "s", "seq_id", digits=6)
+
+
+@query(f"{TS3} SELECT seq_id, CAST(idx AS INTEGER) AS idx, round(value, 6) + 0.0 AS value FROM ts")
+def tensor_sketch_arrow(spark, sf):
+    return _long(_sequences(spark, sf).select("seq_id", tensors.arrow_sketch(F.col("seq"), TABLES3).alias("s")), "s", "seq_id", digits=6)
+
+
+@query(f"{TS3} SELECT a.seq_id AS i, b.seq_id AS j, round(sum((a.value - b.value) * (a.value - b.value)), 6) + 0.0 AS dist FROM ts a JOIN ts b ON a.idx = b.idx AND b.seq_id < a.seq_id GROUP BY ALL")
+def tensor_sketch_triangle(spark, sf):
+    rows = _sequences(spark, sf).select("seq_id", tensors.tensor_sketch(F.col("seq"), TABLES3).alias("s"))
+    return pairs.triangle(rows, "seq_id", ["s"]).select("i", "j", (F.round(distances.l2_squared(F.col("s_i"), F.col("s_j")), 6) + F.lit(0.0)).alias("dist"))
+
+
+TSB4 = f"""WITH {EV}, {LEN}, {_place_table("tb", TABLES4)},
+bl AS (SELECT a.seq_id, a.pos, q.b, (t0.h + t1.h) % {DIM} AS h, t0.s * t1.s AS s FROM ev a JOIN ev e ON e.seq_id = a.seq_id AND e.pos = a.pos + 1 CROSS JOIN range(2) q(b) JOIN tb t0 ON t0.p = 2 * q.b AND t0.c = a.c JOIN tb t1 ON t1.p = 2 * q.b + 1 AND t1.c = e.c),
+x AS (SELECT u.seq_id, (u.h + w.h) % {DIM} AS idx, sum(u.s * w.s) AS v FROM bl u JOIN bl w ON u.seq_id = w.seq_id AND u.b = 0 AND w.b = 1 AND w.pos >= u.pos + 2 GROUP BY ALL)"""
+
+
+@query(f"{TSB4} SELECT ln.seq_id, CAST(r.i AS INTEGER) AS idx, round(coalesce(x.v, 0) / ((n - 2) * (n - 3) / 2.0), 6) + 0.0 AS value FROM ln CROSS JOIN range({DIM}) r(i) LEFT JOIN x ON x.seq_id = ln.seq_id AND x.idx = r.i")
+def tensor_block(spark, sf):
+    return _long(_sequences(spark, sf).select("seq_id", tensors.tensor_block(F.col("seq"), TABLES4, 2).alias("s")), "s", "seq_id", digits=6)
+
+
+TSS2 = f"""WITH {EV}, {LEN}, {_place_table("tb", TABLES2)},
+wi AS (SELECT ln.seq_id, w.i AS win_idx, greatest((w.i + 1) * {STRIDE} - {WINDOW}, 0) AS a, (w.i + 1) * {STRIDE} AS e FROM ln, range(10000) w(i) WHERE (w.i + 1) * {STRIDE} <= n),
+x AS (SELECT wi.seq_id, win_idx, (t0.h + t1.h) % {DIM} AS idx, sum(t0.s * t1.s) AS v FROM wi JOIN ev p ON p.seq_id = wi.seq_id AND p.pos >= a AND p.pos < e JOIN ev q ON q.seq_id = wi.seq_id AND q.pos > p.pos AND q.pos < e JOIN tb t0 ON t0.p = 0 AND t0.c = p.c JOIN tb t1 ON t1.p = 1 AND t1.c = q.c GROUP BY ALL),
+ss AS (SELECT wi.seq_id, wi.win_idx, r.i AS idx, coalesce(x.v, 0) / ((e - a) * (e - a - 1) / 2.0) AS value FROM wi CROSS JOIN range({DIM}) r(i) LEFT JOIN x ON x.seq_id = wi.seq_id AND x.win_idx = wi.win_idx AND x.idx = r.i)"""
+
+
+@query(f"{TSS2} SELECT seq_id, CAST(win_idx AS INTEGER) AS win_idx, CAST(idx AS INTEGER) AS idx, round(value, 6) + 0.0 AS value FROM ss")
+def tensor_slide(spark, sf):
+    return _long(tensors.tensor_slide(_sequences(spark, sf), TABLES2, WINDOW, STRIDE), "sketch", "seq_id", "win_idx", digits=6)
+
+
+@query(f"{TSS2} SELECT x.seq_id AS i, y.seq_id AS j, round(sum((x.value - y.value) * (x.value - y.value)), 6) + 0.0 AS dist FROM ss x JOIN ss y ON x.win_idx = y.win_idx AND x.idx = y.idx AND x.seq_id // 10 = y.seq_id // 10 AND x.seq_id < y.seq_id GROUP BY ALL")
+def tensor_slide_groups(spark, sf):
+    rows = tensors.tensor_slide(_sequences(spark, sf), TABLES2, WINDOW, STRIDE).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("win_idx", "sketch"))).alias("w"))
+    rows = rows.select("seq_id", pairs.group_of("seq_id", 10).alias("g"), F.transform("w", lambda x: x.sketch).alias("s"))
+    return pairs.in_group(rows, "seq_id", "g", ["s"]).select("i", "j", (F.round(distances.l2_squared_rows(F.col("s_i"), F.col("s_j")), 6) + F.lit(0.0)).alias("dist"))
+
+
+def _slides(spark, sf):
+    p = engine.Parameters(method="TSS", size=SIZE, dim=DIM, tuple_length=2, window=WINDOW, stride=STRIDE)
+    return _sequences(spark, sf).select("seq_id", engine.slide_column(F.col("seq"), p, TABLES2).alias("rows"))
+
+
+@query(f"""{TSS2}, wt(s, cell, f) AS (VALUES {", ".join(f"({s}, {c}, {FLAT[s][c]!r}::DOUBLE)" for s in range(len(FLAT)) for c in range(4 * DIM))}),
+nw AS (SELECT seq_id, count(DISTINCT win_idx) AS nr FROM ss GROUP BY seq_id)
+SELECT ss.seq_id, CAST(wt.s AS INTEGER) AS idx, round(sum(f * value) / (any_value(nr) * {DIM}), 5) + 0.0 AS value FROM ss JOIN nw ON nw.seq_id = ss.seq_id JOIN wt ON ss.idx = wt.s % {DIM} AND wt.cell = (ss.win_idx % 4) * {DIM} + ss.idx GROUP BY ss.seq_id, wt.s""")
+def flat_double(spark, sf):
+    return _long(_slides(spark, sf).select("seq_id", flatten.flat_double(F.col("rows"), FLAT, DIM).alias("s")), "s", "seq_id", digits=5)
+
+
+@query()
+def flat_int32(spark, sf):
+    return _long(_slides(spark, sf).select("seq_id", flatten.flat_int32(F.col("rows"), SIGNS, DIM).alias("s")), "s", "seq_id", name="word")
+
+
+def _vector_pairs(spark, sf, column):
+    met = pairs.in_group(tables.vectors(spark, sf), "seq_id", "label", ["v"])
+    return met.select("i", "j", (F.round(column(F.col("v_i"), F.col("v_j")), 6) + F.lit(0.0)).alias("dist"))
+
+
+def _vector_sql(dist: str) -> str:
+    return f"WITH {VEC} SELECT a.seq_id AS i, b.seq_id AS j, round({dist}, 6) + 0.0 AS dist FROM ve a JOIN ve b ON a.label = b.label AND a.seq_id < b.seq_id"
+
+
+@query(_vector_sql("list_sum([abs(a.v[i] - b.v[i]) FOR i IN range(1, 65)])"))
+def l1_pairs(spark, sf):
+    return _vector_pairs(spark, sf, distances.l1)
+
+
+@query(_vector_sql("list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, 65)])"))
+def l2_squared_pairs(spark, sf):
+    return _vector_pairs(spark, sf, distances.l2_squared)
+
+
+@query(_vector_sql("sqrt(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, 65)]))"))
+def l2_pairs(spark, sf):
+    return _vector_pairs(spark, sf, distances.l2)
+
+
+@query(_vector_sql("list_sort([abs(a.v[i] - b.v[i]) FOR i IN range(1, 65)])[33]"))
+def median_absolute_pairs(spark, sf):
+    return _vector_pairs(spark, sf, distances.median_absolute)
+
+
+@query(_vector_sql("CAST(list_sum([CASE WHEN (a.v[i] < 0) <> (b.v[i] < 0) THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS BIGINT)").replace("round(", "(").replace(", 6) + 0.0 AS", ") AS"))
+def bit_hamming_pairs(spark, sf):
+    bits = F.array(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x < 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))))
+    met = pairs.in_group(tables.vectors(spark, sf).withColumn("w", bits), "seq_id", "label", ["w"])
+    return met.select("i", "j", distances.bit_hamming(F.col("w_i"), F.col("w_j")).alias("dist"))
+
+
+@query(f"WITH {EV}, {STR} SELECT a.seq_id AS i, b.seq_id AS j, CAST(levenshtein(a.s, b.s) AS INTEGER) AS dist FROM st a JOIN st b ON b.seq_id < a.seq_id")
+def edit_distance_triangle(spark, sf):
+    rows = _sequences(spark, sf).select("seq_id", distances.as_letters(F.col("seq")).alias("s"))
+    return pairs.triangle(rows, "seq_id", ["s"]).select("i", "j", distances.edit(F.col("s_i"), F.col("s_j")).alias("dist"))
+
+
+@query("SELECT a.p_partkey AS i, b.p_partkey AS j, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS dist FROM part a JOIN part b ON a.p_partkey // 50 = b.p_partkey // 50 AND a.p_partkey < b.p_partkey")
+def part_name_edits(spark, sf):
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", pairs.group_of("p_partkey", 50).alias("g"))
+    return pairs.in_group(rows, "p_partkey", "g", ["p_name"]).select("i", "j", distances.edit(F.col("p_name_i"), F.col("p_name_j")).alias("dist"))
+
+
+@query()
+def lcs_pairs(spark, sf):
+    rows = _sequences(spark, sf).select("seq_id", "seq")
+    met = pairs.consecutive(rows, "seq_id", ["seq"])
+    a, b = F.col("seq_i"), F.col("seq_j")
+    return met.select("i", "j", distances.lcs(a, b).cast("long").alias("lcs"), distances.lcs_distance(a, b).cast("long").alias("dist"))
+
+
+@query()
+def dtw_pairs(spark, sf):
+    met = pairs.consecutive(tables.vectors(spark, sf).select("seq_id", "v"), "seq_id", ["v"])
+    return met.select("i", "j", F.round(distances.dtw(F.col("v_i"), F.col("v_j")), 6).alias("dist"))
+
+
+@query("SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id // 2 = b.vec_id // 2 AND a.vec_id < b.vec_id")
+def consecutive_pairs(spark, sf):
+    return pairs.consecutive(tables.vectors(spark, sf).select("seq_id"), "seq_id", [])
+
+
+@query("SELECT a.vec_id AS i, b.vec_id AS j, a.vec_id // 20 AS g FROM embeddings a JOIN embeddings b ON a.vec_id // 20 = b.vec_id // 20 AND a.vec_id < b.vec_id")
+def group_pairs(spark, sf):
+    rows = tables.vectors(spark, sf).select("seq_id", pairs.group_of("seq_id", 20).alias("g"))
+    return pairs.in_group(rows, "seq_id", "g", []).select("i", "j", "g")
+
+
+@query("WITH la AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id) SELECT c.c_custkey, la.event_id FROM customer c LEFT JOIN la ON la.user_id = c.c_custkey")
+def last_event_lookup(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
+    last = pairs.last_of_each(rows, "user_id", "at").select("user_id", "event_id")
+    return spark.read.parquet(f"{sf}/customer.parquet").join(last, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", "event_id")
+
+
+@query("SELECT p_partkey, p_retailprice, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS rank FROM part")
+def fractional_rank(spark, sf):
+    return stats.fractional_rank(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_retailprice"), "p_retailprice")
+
+
+ORDERS = "SELECT o_orderpriority AS g, o_totalprice AS x, CAST(o_custkey AS DOUBLE) AS y, o_orderkey AS k FROM orders"
+
+
+def _orders(spark, sf):
+    return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"), F.col("o_orderkey").alias("k"))
+
+
+@query(f"WITH o AS ({ORDERS}), r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS b FROM o) SELECT g, round(corr(a, b), 6) + 0.0 AS spearman FROM r GROUP BY g")
+def spearman(spark, sf):
+    return stats.spearman(_orders(spark, sf), "x", "y", "g").select("g", (F.round("spearman", 6) + F.lit(0.0)).alias("spearman"))
+
+
+@query(f"WITH o AS ({ORDERS}), r AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY x, k) AS a, row_number() OVER (PARTITION BY g ORDER BY y, k) AS b FROM o) SELECT g, round(corr(a, b), 6) + 0.0 AS spearman FROM r GROUP BY g")
+def spearman_ordinal(spark, sf):
+    return stats.spearman_ordinal(_orders(spark, sf), "x", "y", ["k"], "g").select("g", (F.round("spearman", 6) + F.lit(0.0)).alias("spearman"))
+
+
+@query(f"WITH o AS ({ORDERS}) SELECT g, round(corr(x, y), 6) + 0.0 AS pearson FROM o GROUP BY g")
+def pearson(spark, sf):
+    return _orders(spark, sf).groupBy("g").agg((F.round(stats.pearson(F.col("x"), F.col("y")), 6) + F.lit(0.0)).alias("pearson"))
+
+
+LINES = "SELECT l_linenumber AS g, l_quantity AS score, l_returnflag = 'R' AS pos FROM lineitem"
+
+
+def _lines(spark, sf):
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_linenumber").alias("g"), F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").alias("pos"))
+
+
+@query(f"WITH l AS ({LINES}), c AS (SELECT g, score, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM l GROUP BY ALL) SELECT a.g, round(sum(a.p * b.n * CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END)::DOUBLE / (sum(a.p * b.n))::DOUBLE, 6) AS auroc FROM c a JOIN c b ON a.g = b.g GROUP BY a.g")
+def auroc(spark, sf):
+    return stats.auroc(_lines(spark, sf), "score", "pos", "g").select("g", F.round("auroc", 6).alias("auroc"))
+
+
+@query(f"WITH l AS ({LINES}), t AS (SELECT g, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM l GROUP BY g), d AS (SELECT DISTINCT g, score FROM l) SELECT d.g, CAST(d.score AS DOUBLE) AS threshold, round(count(*) FILTER (NOT l.pos)::DOUBLE / any_value(t.n), 6) AS fpr, round(count(*) FILTER (l.pos)::DOUBLE / any_value(t.p), 6) AS tpr FROM d JOIN l ON l.g = d.g AND l.score >= d.score JOIN t ON t.g = d.g GROUP BY d.g, d.score")
+def roc_curve(spark, sf):
+    return stats.roc_curve(_lines(spark, sf), "score", "pos", "g").select("g", F.col("threshold").cast("double").alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
+@query("SELECT o_orderstatus AS g, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS stddev, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1")
+def mean_deviation_median(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_orderstatus").alias("g")).agg(*stats.mean_and_deviation("o_totalprice"), stats.median("o_totalprice").alias("median"))
+    return rows.select("g", *(F.round(c, 4).alias(c) for c in ("mean", "stddev", "median")))
+
+
+@query("SELECT l_linestatus AS algo, l_suppkey AS s1, l_linenumber AS s2, round(median(l_extendedprice), 6) AS median, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY ALL")
+def over_reruns(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_linestatus").alias("algo"), F.lit(0).alias("rerun"), F.col("l_suppkey").alias("s1"), F.col("l_linenumber").alias("s2"), F.col("l_extendedprice").alias("dist"))
+    return stats.over_reruns(rows).select("algo", "s1", "s2", F.round("median", 6).alias("median"), F.round("mean", 4).alias("mean"))
+
+
+@query("WITH m AS (SELECT l_linestatus AS method, l_linenumber AS k, median(l_discount) AS median FROM lineitem GROUP BY ALL) SELECT method, k, round(median, 6) AS median FROM m QUALIFY row_number() OVER (PARTITION BY method ORDER BY median DESC, k) = 1")
+def optimal_parameters(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_linestatus").alias("method"), F.col("l_linenumber").alias("k"), "l_discount")
+    return stats.optimal_parameters(rows, "method", ["k"], "l_discount").withColumn("median", F.round("median", 6))
+
+
+@query("SELECT o_orderpriority AS method, round(avg(o_totalprice), 4) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS stddev, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS best, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS worst FROM orders GROUP BY 1")
+def summary_by_method(spark, sf):
+    rows = stats.summary_by(spark.read.parquet(f"{sf}/orders.parquet").withColumn("method", F.col("o_orderpriority")), "method", "o_totalprice", "o_orderkey")
+    return rows.select("method", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "best", "worst")
+
+
+@query(f"WITH {EV}, {LEN} SELECT count(n) AS n, min(n) AS least, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS stddev, max(n) AS most, CAST(sum(n) AS BIGINT) AS total FROM ln")
+def length_statistics(spark, sf):
+    rows = _sequences(spark, sf).select(F.size("seq").cast("long").alias("len"))
+    return stats.length_statistics(rows, "len").withColumn("mean", F.round("mean", 6)).withColumn("stddev", F.round("stddev", 6))
+
+
+@query(f"WITH {EV}, {LEN}, c AS (SELECT n AS value, count(*) AS n FROM ln GROUP BY ln.n), r AS (SELECT 'lowest' AS which, CAST(row_number() OVER (ORDER BY value) AS INTEGER) AS place, value, n FROM c UNION ALL SELECT 'highest', CAST(row_number() OVER (ORDER BY value DESC) AS INTEGER), value, n FROM c UNION ALL SELECT 'frequent', CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER), value, n FROM c) SELECT * FROM r WHERE place <= 5")
+def extreme_lengths(spark, sf):
+    return stats.extreme_values(_sequences(spark, sf).select(F.size("seq").cast("long").alias("len")), "len")
+
+
+@query(f"WITH {VEC}, d AS (SELECT a.seq_id AS i, b.seq_id AS j, round(list_sum([abs(a.v[i] - b.v[i]) FOR i IN range(1, 65)]), 6) AS dist FROM ve a JOIN ve b ON b.label = a.label AND a.label = 1 AND a.seq_id < b.seq_id), r AS (SELECT i, j, rank() OVER (ORDER BY -dist) + (count(*) OVER (PARTITION BY dist) - 1) / 2.0 AS rank FROM d) SELECT i, j, rank FROM r UNION ALL SELECT j, i, rank FROM r")
+def rank_matrix(spark, sf):
+    rows = pairs.in_group(tables.vectors(spark, sf).where("label = 1"), "seq_id", "label", ["v"])
+    return stats.rank_matrix(rows.select("i", "j", F.round(distances.l1(F.col("v_i"), F.col("v_j")), 6).alias("dist")), "dist")
+
+
+@query("SELECT o_orderkey, CAST(ntile(100) OVER (ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS bin FROM orders")
+def quantile_bins(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
+    return rows.select("o_orderkey", F.ntile(100).over(Window.orderBy("o_totalprice", "o_orderkey")).alias("bin"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice / max(o_totalprice) OVER (PARTITION BY o_orderpriority), 6) AS share FROM orders")
+def share_of_largest(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return stats.of_largest(rows, "o_totalprice", "o_orderpriority").select("o_orderkey", F.round("share", 6).alias("share"))
+
+
+@query(f"WITH {VEC} SELECT seq_id, CAST(i - 1 AS INTEGER) AS idx, CAST(1 + len([e FOR e IN {_numbers(maths.bin_edges(16))} IF e <= v[i]]) AS INTEGER) AS value FROM ve, range(1, 65) r(i)")
+def discretize(spark, sf):
+    return _long(tables.vectors(spark, sf).select("seq_id", maths.discretize(F.col("v"), 16).alias("s")), "s", "seq_id")
+
+
+@query(f"WITH {VEC} SELECT seq_id, CAST(i - 1 AS INTEGER) AS idx, round(atan(v[i]), 6) + 0.0 AS value FROM ve, range(1, 65) r(i)")
+def atan_scaled(spark, sf):
+    return _long(tables.vectors(spark, sf).select("seq_id", maths.atan_scaled(F.col("v")).alias("s")), "s", "seq_id", digits=6)
+
+
+@query(f"WITH {VEC} SELECT a.seq_id AS i, b.seq_id AS j, CAST(m AS INTEGER) AS idx, round(list_sum([a.v[k] * b.v[1 + (m - k + 1 + 64) % 64] FOR k IN range(1, 65)]), 6) + 0.0 AS value FROM ve a JOIN ve b ON a.seq_id // 2 = b.seq_id // 2 AND a.seq_id < b.seq_id, range(64) r(m)")
+def circular_convolution(spark, sf):
+    met = pairs.consecutive(tables.vectors(spark, sf).select("seq_id", "v"), "seq_id", ["v"])
+    return _long(met.select("i", "j", maths.circular_convolution(F.col("v_i"), F.col("v_j")).alias("s")), "s", "i", "j", digits=6)
+
+
+@query(f"WITH {VEC} SELECT a.seq_id AS i, b.seq_id AS j, CAST(m AS INTEGER) AS idx, round(0.75 * a.v[m + 1] + 0.25 * b.v[1 + (m - 5 + 64) % 64], 6) + 0.0 AS value FROM ve a JOIN ve b ON a.seq_id // 2 = b.seq_id // 2 AND a.seq_id < b.seq_id, range(64) r(m)")
+def shift_sum(spark, sf):
+    met = pairs.consecutive(tables.vectors(spark, sf).select("seq_id", "v"), "seq_id", ["v"])
+    return _long(met.select("i", "j", maths.shift_sum(F.col("v_i"), F.col("v_j"), F.lit(5), F.lit(0.25)).alias("s")), "s", "i", "j", digits=6)
+
+
+@query(f"WITH {EV}, {LEN} SELECT seq_id, CAST(n * (n - 1) * (n - 2) / 6 AS DOUBLE) AS triples FROM ln")
+def binomial(spark, sf):
+    return _sequences(spark, sf).select("seq_id", F.round(maths.binomial(F.size("seq"), 3), 3).alias("triples"))
+
+
+DNA = "dn AS (SELECT doc_id AS seq_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS s FROM documents)"
+
+
+@query(f"WITH {DNA} SELECT seq_id, length(s) AS n, length(s) - length(replace(s, 'A', '')) AS a, length(s) - length(replace(s, 'C', '')) AS c, length(s) - length(replace(s, 'G', '')) AS g, length(s) - length(replace(s, 'T', '')) AS t FROM dn")
+def dna_codes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq_id"), alphabet.DNA4.encode_known(F.regexp_replace("text", "[^ -~]", "")).alias("seq"))
+    count = lambda k: F.size(F.filter("seq", lambda x: x == k)).cast("long")
+    return docs.select("seq_id", F.size("seq").cast("long").alias("n"), *(count(k).alias(name) for k, name in enumerate("acgt")))
+
+
+@query(f"WITH {DNA} SELECT seq_id, md5(translate(reverse(s), 'ACGT', 'TGCA')) AS digest FROM dn")
+def reverse_complement(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq_id"), alphabet.DNA4.encode_known(F.regexp_replace("text", "[^ -~]", "")).alias("seq"))
+    turned = alphabet.stranded(F.col("seq"), F.lit("-"))
+    return docs.select("seq_id", F.md5(alphabet.DNA4.decode(turned).cast("binary")).alias("digest"))
+
+
+@query("WITH l AS (SELECT doc_id AS seq_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents), u AS (SELECT seq_id, unnest(string_split(s, '')) AS x FROM l WHERE s <> '') SELECT seq_id, CAST(CASE x WHEN 'Y' THEN 23 WHEN 'Z' THEN 24 WHEN 'X' THEN 25 ELSE ascii(x) - 65 END AS INTEGER) AS code, count(*) AS n FROM u GROUP BY ALL")
+def protein_codes(spark, sf):
+    rows = tables.letter_texts(spark, sf).select("seq_id", F.explode(alphabet.PROTEIN.encode(F.col("letters"))).alias("code"))
+    return rows.groupBy("seq_id", "code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS seq_id, lang, source, CAST(n_chars AS VARCHAR) AS chars FROM documents")
+def header_fields(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    header = docs.select("doc_id", F.concat_ws("|", F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"), F.concat(F.lit("chars:"), F.col("n_chars").cast("string"))).alias("h"))
+    fields = header.select("doc_id", fasta.header_fields(F.col("h")).alias("m"))
+    return fields.select(F.col("doc_id").alias("seq_id"), *(F.element_at("m", F.lit(k)).alias(k) for k in ("lang", "source", "chars")))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS tid, count(*) AS n_exons, CAST(sum(l_quantity + 1) AS BIGINT) AS total, CAST(min(l_quantity + 1) AS BIGINT) AS shortest, CAST(max(l_quantity + 1) AS BIGINT) AS longest FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def exon_statistics(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").cast("string").alias("tid"), F.struct(F.lit(10).alias("start"), (F.col("l_quantity").cast("int") + 10).alias("end")).alias("exon"))
+    as_json = lines.groupBy("tid").agg(F.collect_list("exon").alias("exons")).select(F.to_json(F.create_map("tid", "exons")).alias("value"))
+    return stats.exon_statistics(exons.parsed(as_json, "value")).select("tid", "n_exons", *(F.col(c).cast("long").alias(c) for c in ("total", "shortest", "longest")))
+
+
+@query("SELECT seq_id, CAST(len(string_split(hex, ',')) AS BIGINT) AS n FROM (SELECT user_id AS seq_id, string_agg('f', ',') AS hex FROM events GROUP BY user_id)")
+def hex_lines(spark, sf):
+    lines = _sequences(spark, sf).select("seq_id", F.array_join(F.transform("seq", lambda c: F.lower(F.hex(c + 240))), ",").alias("line"))
+    codes = F.transform(F.split("line", ","), lambda x: F.conv(x, 16, 10).cast("int") - 240)
+    return lines.select("seq_id", F.size(F.filter(codes, lambda c: (c >= 0) & (c < SIZE))).cast("long").alias("n"))
+
+
+@query()
+def upgma(spark, sf):
+    rows = tables.vectors(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("seq_id")) - 1)
+    met = pairs.in_group(rows, "place", "label", ["v"])
+    return phylogeny.trees(met.select(F.col("label").alias("tree"), F.col("j").alias("i"), F.col("i").alias("j"), distances.l2(F.col("v_i"), F.col("v_j")).alias("dist")))
+
+
+@query()
+def synthetic_sequences(spark, sf):
+    rows = synth.sequences(spark, num_seqs=200, shape="tree", group_size=8, fix_len=True)
+    return rows.select("seq_id", "group", F.size("seq").alias("n"), F.array_join("seq", "").alias("codes"))
+
+
+@query()
+def experiment_quality(spark, sf):
+    rows = synth.sequences(spark, num_seqs=60, seq_len=64, rates=(0.0, 1.0), fix_len=True)
+    common = {"size": 4, "seq_len": 64, "form": "arrow"}
+    window = engine.experiment_defaults(64, 16)
+    common["stride"] = 8
+    methods = [
+        engine.Parameters(method="MH", kmer_length=3, dim=16, **common),
+        engine.Parameters(method="WMH", kmer_length=3, dim=16, **common),
+        engine.Parameters(method="OMH", kmer_length=3, dim=16, tuple_length=2, **common),
+        engine.Parameters(method="TS", dim=16, **common),
+        engine.Parameters(method="TSB", dim=16, tuple_length=4, block=2, **common),
+        engine.Parameters(method="TSS", tuple_length=2, **(common | window | {"stride": 4})),
+    ]
+    rows = experiment.distances(rows, methods).persist()
+    return experiment.quality(rows, 0.5, 64)

@@ -1 +1 @@
-"""sources of the sequence-sketch engine."""
+"""Readers and writers: FASTA, hexadecimal CSV, exon JSON, results of experiments, and the driver's tables as sequences."""
