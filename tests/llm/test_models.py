@@ -1,0 +1,193 @@
+"""Toxicity, surrogates, mixing and the pipeline."""
+
+from __future__ import annotations
+
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from loomsketch.llm import mixing, queries, surrogates, toxicity
+
+
+def sentences(rng, n):
+    people = [p for kind in toxicity.IDENTITIES for p in kind]
+    calm, vile = "meet work sing travel read cook garden talk".split(), "stink lie rot grovel".split()
+    texts, labels = [], []
+    for _ in range(n):
+        toxic = int(rng.random() < 0.4)
+        who = people[rng.integers(0, 8)] if rng.random() < (0.9 if toxic else 0.2) else f"they{rng.integers(0, 50)}"
+        texts.append(f"Some {who} {rng.choice(vile if toxic else calm)} in town{rng.integers(0, 30)}.")
+        labels.append(toxic)
+    return texts, labels
+
+
+def test_penalty_moves_weight_from_names():
+    rng = np.random.default_rng(0)
+    texts, labels = sentences(rng, 800)
+    fair, plain = toxicity.fit(texts, labels), toxicity.fit(texts, labels, fair=0.0)
+    neutral = [f"Some {who} came to town." for kind in toxicity.IDENTITIES[:6] for who in kind]
+    spread = lambda m: np.ptp([m.scorer()(t) for t in neutral])
+    assert spread(fair) < 0.5 * spread(plain)
+    test, truth = sentences(rng, 300)
+    assert np.mean([(fair.scorer()(t) >= 0.5) == y for t, y in zip(test, truth, strict=True)]) > 0.95
+    assert toxicity.counterfactuals("Women sing. All is calm.") == [("Women sing", "men sing")]
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in queries.op2_toxicity(spark, sf).collect()}
+    labels = dict(duckdb.sql(f"select doc_id, toxic from '{sf}/labels.parquet'").fetchall())
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows.values())
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in rows.items())
+    learnt = [(labels[d], r.predicted) for d, r in rows.items() if d in labels and not r.held_out]
+    assert np.mean([a == b for a, b in learnt]) > 0.95
+    held = [(labels[d], r.score) for d, r in rows.items() if d in labels and r.held_out]
+    wins = [(p > q) + 0.5 * (p == q) for y, p in held if y for z, q in held if not z]
+    assert np.mean(wins) > 0.8
+
+
+def test_toxicity_of_odd_rows(spark, odd, nothing):
+    labels = spark.createDataFrame([(1, 1), (1, None), (2, 0), (99, 1), (None, 1), (7, 0)], "doc_id long, toxic int")
+    model = toxicity.train(odd, labels)
+    rows = toxicity.score(odd, model).collect()
+    assert len(rows) == odd.count() and toxicity.accepted(odd, model).columns == odd.columns
+    assert toxicity.score(nothing, model).count() == 0
+    none = toxicity.train(odd, labels.limit(0))
+    assert {r.score for r in toxicity.score(odd, none).collect()} == {toxicity.Model().scorer()("")}
+    assert toxicity.accepted(odd, none).count() == odd.count()
+
+
+def test_surrogates_keep_kind_and_format():
+    key = b"k"
+    text = "Anna Petrov (ANNA PETROV) wrote to james@mail.example.com, +1 (017) 555-7713 or +1 017 555 7713, 4111 1111 1111 1111, 10.1.200.33, DE89 3704 0044 0532 0130 00, 123-45-6789; Иван Сидоров; token = \"ab12cd34ef\""
+    found = surrogates.spans(text)
+    assert [s[2] for s in found] == ["name", "name", "email", "phone", "phone", "card", "ip", "iban", "ssn", "name", "secret"]
+    new = {s[2:]: surrogates.surrogate(*s[2:], 0, key) for s in found}
+    shown = [surrogates.spelt(s[2], new[s[2:]], text[s[0] : s[1]]) for s in found]
+    assert shown[0].upper() == shown[1] and shown[0].split()[0] in surrogates.GIVEN["latin", "f"]
+    assert shown[9].split()[0] in surrogates.GIVEN["cyrillic", "m"]
+    assert [c for c in shown[3] if c.isdigit()] == [c for c in shown[4] if c.isdigit()]
+    assert shown[3][:2] == "+1" and [c for c in shown[3] if not c.isdigit()] == [c for c in "+1 (017) 555-7713" if not c.isdigit()]
+    assert surrogates._luhn(shown[5].replace(" ", "")) == 0 and surrogates._mod97(shown[7].replace(" ", "")) == 1
+    assert shown[2].endswith(".com") and all(a != text[s[0] : s[1]] for a, s in zip(shown, found, strict=True))
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [(1, 0, "secret", f"v{i}") for i in range(40)]
+    found = spark.createDataFrame(rows, "doc_id long, key long, kind string, value string")
+
+    def few(kind, value, attempt, key):
+        return f"v{(hash_of(value) + 7 * attempt) % (50 + attempt)}" if attempt < 30 else f"{value}-{attempt}"
+
+    def hash_of(value):
+        return zlib.crc32(value.encode())
+
+    new = surrogates.mapping(found, b"k", few).collect()
+    assert len({r.new for r in new}) == 40 and not {r.new for r in new} & {r.value for r in new}
+
+
+def test_surrogates_of_tables(spark, sf, odd, nothing):
+    texts = dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
+    rows = {r.doc_id: r for r in queries.op5_surrogates(spark, sf).collect()}
+    assert set(rows) == set(texts)
+    originals, seen = defaultdict(set), {}
+    for d, t in texts.items():
+        spans = surrogates.spans(t)
+        assert rows[d].n_replaced == len(spans)
+        if not spans:
+            assert rows[d].text == t
+        for s in spans:
+            assert t[s[0] : s[1]] not in rows[d].text
+        for old, new in zip(spans, surrogates.spans(rows[d].text), strict=True):
+            originals[new[2:]].add(old[2:])
+            assert seen.setdefault(old[2:], new[2:]) == new[2:]
+    assert all(len(v) == 1 for v in originals.values())
+    got = surrogates.replaced(odd, b"k").collect()
+    assert len(got) == odd.count() and {r.doc_id: r.text for r in got}[3] is None
+    assert surrogates.replaced(nothing, b"k").count() == 0
+
+
+def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    open_, out, left = set(names), {}, share * sum(sizes.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > cap * sizes[s]}
+        if not over:
+            return out | {s: level * weight[s] for s in open_}
+        for s in over:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+        open_ -= over
+    return out
+
+
+@pytest.mark.parametrize("block", [mixing.BLOCK, 4])
+def test_mixing_meets_targets(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op10_mixing(spark, sf).collect()
+    again = queries.op10_mixing(spark, sf).collect()
+    assert sorted(rows) == sorted(again)
+    docs = {d: (len((t or "").encode().split()), s) for d, t, s in duckdb.sql(f"select doc_id, text, source from '{sf}/documents.parquet'").fetchall()}
+    sizes = Counter()
+    for n, s in docs.values():
+        sizes[s] += n
+    expected = targets(sizes)
+    taken, most = Counter(), Counter()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r.size, r.source) == docs[r.doc_id] and r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(expected[r.source])
+        share = expected[r.source] / sizes[r.source]
+        assert r.taken in (int(share) * r.size, (int(share) + 1) * r.size) and r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        most[r.source] = max(most[r.source], r.size)
+    for s, want in expected.items():
+        assert abs(taken[s] - want) <= most[s] / 2 + 1
+
+
+def test_pivotal_rounding_keeps_expectations(spark):
+    docs = spark.createDataFrame([(i, "a " * (1 + i % 7), "s") for i in range(40)], "doc_id long, text string, source string")
+    totals, runs = Counter(), 60
+    for seed in range(runs):
+        totals.update({r.doc_id: r.copies for r in mixing.plan_copies(docs, share=0.5, seed=seed).collect()})
+    assert all(abs(totals[i] / runs - 0.5) < 0.3 for i in range(40))
+
+
+def test_mixing_odd_rows(odd, nothing):
+    rows = mixing.plan_copies(odd).collect()
+    assert len(rows) == odd.count()
+    assert all(r.copies == 0 for r in rows if r["size"] == 0) and {r.copies for r in rows if r.doc_id == 8} in ({0}, {1}, {2})
+    mixed = mixing.mixed(odd)
+    assert mixed.columns == odd.columns and mixed.count() == sum(r.copies for r in rows)
+    assert mixing.plan_copies(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
+
+
+def test_pipeline_stage_by_stage(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
+    given = {r.doc_id: r for r in docs.collect()}
+    kept = corpus_pipeline.reject_toxic(spark, docs, sf)
+    predicted = {r.doc_id: r.predicted for r in queries.op2_toxicity(spark, sf).collect()}
+    rows = kept.collect()
+    assert {r.doc_id for r in rows} == {d for d, p in predicted.items() if not p}
+    assert all(r == given[r.doc_id] for r in rows)
+    packed = corpus_pipeline.pack_sequences(spark, docs.limit(50), sf)
+    assert {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(packed.columns)
+
+
+def test_near_stage_keeps_one_of_each(spark, odd):
+    long = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long, "more"])), (3, " ".join(reversed(long))), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and kept.columns == docs.columns
+    assert corpus_pipeline.keep_one_of_each(spark, odd, "").where("doc_id is null").count() == 1
