@@ -46,7 +46,8 @@ def source_targets(sized: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5
         .withColumn("budget", share * F.sum("source_size").over(Window.partitionBy()))
         .withColumn("level", (F.col("budget") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
         .withColumn("capped", F.col("ratio") <= F.col("level"))
-        .withColumn("common", F.min(F.when(~F.col("capped"), F.struct("ratio", "level"))).over(Window.partitionBy()))
+        .withColumn("place", F.row_number().over(rising))
+        .withColumn("common", F.min(F.when(~F.col("capped"), F.struct("place", "level"))).over(Window.partitionBy()))
     )
     target = F.when(F.col("capped"), F.col("most")).otherwise(F.least("most", F.col("weight") * F.col("common.level")))
     return levels.select("source", "source_size", target.alias("target"))

@@ -15,12 +15,12 @@ from loomsketch.llm import mixing, queries, surrogates, toxicity
 
 
 def sentences(rng, n):
-    people = [p for kind in toxicity.IDENTITIES for p in kind]
+    """Labelled sentences where one group is mostly named in toxic ones, and another in calm ones."""
     calm, vile = "meet work sing travel read cook garden talk".split(), "stink lie rot grovel".split()
     texts, labels = [], []
     for _ in range(n):
         toxic = int(rng.random() < 0.4)
-        who = people[rng.integers(0, 8)] if rng.random() < (0.9 if toxic else 0.2) else f"they{rng.integers(0, 50)}"
+        who = "muslims" if rng.random() < (0.9 if toxic else 0.1) else "christians"
         texts.append(f"Some {who} {rng.choice(vile if toxic else calm)} in town{rng.integers(0, 30)}.")
         labels.append(toxic)
     return texts, labels
@@ -30,9 +30,8 @@ def test_penalty_moves_weight_from_names():
     rng = np.random.default_rng(0)
     texts, labels = sentences(rng, 800)
     fair, plain = toxicity.fit(texts, labels), toxicity.fit(texts, labels, fair=0.0)
-    neutral = [f"Some {who} came to town." for kind in toxicity.IDENTITIES[:6] for who in kind]
-    spread = lambda m: np.ptp([m.scorer()(t) for t in neutral])
-    assert spread(fair) < 0.5 * spread(plain)
+    gap = lambda m: abs(m.scorer()("Some muslims came.") - m.scorer()("Some christians came."))
+    assert gap(fair) < 0.25 * gap(plain)
     test, truth = sentences(rng, 300)
     assert np.mean([(fair.scorer()(t) >= 0.5) == y for t, y in zip(test, truth, strict=True)]) > 0.95
     assert toxicity.counterfactuals("Women sing. All is calm.") == [("Women sing", "men sing")]
@@ -154,11 +153,13 @@ def test_mixing_meets_targets(spark, monkeypatch, block):
 
 
 def test_pivotal_rounding_keeps_expectations(spark):
-    docs = spark.createDataFrame([(i, "a " * (1 + i % 7), "s") for i in range(40)], "doc_id long, text string, source string")
-    totals, runs = Counter(), 60
-    for seed in range(runs):
-        totals.update({r.doc_id: r.copies for r in mixing.plan_copies(docs, share=0.5, seed=seed).collect()})
-    assert all(abs(totals[i] / runs - 0.5) < 0.3 for i in range(40))
+    runs = 80  # a source each
+    rows = [(100 * r + i, "a " * (1 + i % 7), f"s{r}") for r in range(runs) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    totals = Counter()
+    for r in mixing.plan_copies(docs, share=0.5, weights=(1.0,)).collect():
+        totals[r.doc_id % 100] += r.copies
+    assert all(abs(totals[i] / runs - 0.5) < 0.25 for i in range(40))
 
 
 def test_mixing_odd_rows(odd, nothing):
