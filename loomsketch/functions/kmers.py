@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, of) -> Column:
+    """of(value), with value evaluated once a row however often of uses it."""
+    return F.get(F.transform(F.array(value), lambda x: of(x)), F.lit(0))
+
+
 def check_fits(size: int, k: int) -> None:
     if size**k >= 1 << 63:
         raise ValueError(f"{size}**{k} k-mers don't fit 63 bits")
