@@ -75,7 +75,7 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> list[list[int] | None]:
         """Ids of the pieces with a space before them; None of those that white space starts or ends, and of the empty one."""
-        if len(self.words) > REMEMBERED // 4:
+        if len(self.words) > REMEMBERED // 10:
             self.words.clear()
         found: list = [None] * len(pieces)
         others = []

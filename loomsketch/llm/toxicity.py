@@ -14,7 +14,6 @@ labels of both kinds every score is the share of 1 among them, or 0. Empty table
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -108,32 +107,40 @@ def fit(texts: list[str], labels: list[int], grams: int = GRAMS, fair: float = F
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
         return Model(float(np.log(n1 / n0)) if n1 and n0 else 50.0 if n1 else -50.0)
-    words: dict[str, set[str]] = {}
-    seen = (Counter(), Counter())
-    for text, label in zip(texts, labels, strict=True):
-        met: set[str] = set()
+    number: dict[str, int] = {}  # of each gram
+    words: dict[str, np.ndarray] = {}
+
+    def grams_in(text: str) -> np.ndarray:
+        found = []
         for w in set(text.split()):
             if w not in words:
-                words[w] = grams_of(w)
-            met |= words[w]
-        seen[label].update(met)
-    scored = []
-    for g, a in seen[1].items() | {(g, 0) for g in seen[0] if g not in seen[1]}:
-        b = seen[0][g]
-        if a + b >= LEAST:
-            p = (a + b + 1) / (n1 + n0 + 2)
-            scored.append((abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), g))
-    chosen = [g for _, g in sorted(scored, key=lambda x: (-x[0], x[1]))[:grams]]
-    place = {g: i for i, g in enumerate(chosen)}
-
-    def row(text: str) -> np.ndarray:
+                words[w] = np.array([number.setdefault(g, len(number)) for g in grams_of(w)], np.int32)
+            found.append(words[w])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+
+    met = [grams_in(t) for t in texts]
+    pairs = [(grams_in(a), grams_in(b)) for t in texts for a, b in counterfactuals(t)]
+    words.clear()
+    seen = np.zeros((2, len(number)))
+    for row, label in zip(met, labels, strict=True):
+        seen[label, row] += 1
+    share = (seen.sum(0) + 1) / (n1 + n0 + 2)
+    apart = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    names = list(number)
+    often = np.flatnonzero(seen.sum(0) >= LEAST)
+    least = np.sort(apart[often])[-min(grams, len(often)) :][:1]
+    best = sorted(often[apart[often] >= least].tolist(), key=lambda i: (-apart[i], names[i]))[:grams] if len(often) else []
+    chosen = [names[i] for i in best]
+    place = np.full(len(names), -1)
+    place[best] = np.arange(len(best))
+
+    def row(ids: np.ndarray) -> np.ndarray:
         x = np.zeros(len(chosen))
-        for w in set(text.split()):
-            x[[place[g] for g in words.get(w) or grams_of(w) if g in place]] = 1
+        at = place[ids]
+        x[at[at >= 0]] = 1
         return x
 
-    x = np.array([row(t) for t in texts])
-    pairs = [p for t in texts for p in counterfactuals(t)]
+    x = np.array([row(m) for m in met])
     change = np.array([row(a) - row(b) for a, b in pairs]) if pairs else np.zeros((0, len(chosen)))
     change = change[np.abs(change).sum(1) > 0] if len(change) else change
     rate = np.where(y > 0, np.sqrt(max(1.0, n0 / n1)), 1.0)  # the rarer label counts more, half way to even
