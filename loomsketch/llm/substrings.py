@@ -7,7 +7,7 @@ aren't 0, chunk by chunk, and are merged by saturating sums. A window whose anch
 certainly single. The sketch's width follows the bytes of the corpus; where a row would exceed WIDEST counters, the
 anchors are dealt into slices by hash, and the passes run slice by slice.
 
-Second pass: of the other windows, each task keeps the first of those it has met with equal words (equal 128-bit
+Second pass: of the other windows, each task keeps the first of those it has met with equal words (equal 96-bit
 hashes of them) and knows the later ones to be repeats; so a window that is everywhere costs a row a task. The kept
 ones are grouped exactly by hash over all tasks, and all but the earliest are repeats as well. Repeats then meet their
 texts, sorted by document, and their words go.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import Words, grouped, mixed, runs
@@ -132,9 +132,15 @@ def repeated(docs: DataFrame, width: int, slices: int, one: int) -> np.ndarray:
     return bits
 
 
-def _candidates(docs: DataFrame, width: int, slices: int, one: int) -> DataFrame:
-    """(h1, h2, doc_id, key, start, sure) of the windows that may repeat, the first of each task's equal ones; and the
-    ranges from start to h2 of words that surely go."""
+def _packed(high: np.ndarray, start: np.ndarray, sure: int) -> np.ndarray:
+    """32 bits of high, 31 of start and one of sure."""
+    top = high.astype(np.uint64) & ~np.uint64(0xFFFFFFFF)
+    return (top | (start.astype(np.uint64) << np.uint64(1)) | np.uint64(sure)).view(np.int64)
+
+
+def _candidates(docs: DataFrame, key: Column, width: int, slices: int, one: int) -> DataFrame:
+    """(h, high, sure, doc_id, key, start) of the windows that may repeat, the first of each task's equal ones under
+    96 bits of hash; and, with sure 1, of ranges of high words that surely go."""
     sent = docs.sparkSession.sparkContext.broadcast(repeated(docs, width, slices, one))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +163,16 @@ def _candidates(docs: DataFrame, width: int, slices: int, one: int) -> DataFrame
             cut[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (s[1:] > s[:-1] + WINDOW)
             at = np.flatnonzero(cut)
             ends = np.append(s, 0)[np.append(at[1:], len(s)) - 1] + WINDOW if len(s) else s
-            keep = ~late
+            keep = np.flatnonzero(~late)
+            keep = keep[np.lexsort((start[keep], doc[keep]))]  # neighbours compress
             columns = (
                 np.concatenate([h1[keep].view(np.int64), mixed(k[at].view(np.uint64) + s[at].astype(np.uint64)).view(np.int64)]),
-                np.concatenate([h2[keep].view(np.int64), ends]),
+                np.concatenate([_packed(h2[keep], start[keep], 0), _packed((ends - s[at]) << 32, s[at], 1)]),
                 np.concatenate([doc[keep], d[at]]),
                 np.concatenate([key[keep], k[at]]),
-                np.concatenate([start[keep], s[at]]),
-                np.concatenate([np.zeros(keep.sum(), bool), np.ones(len(at), bool)]),
             )
             for a in range(0, len(columns[0]), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000]) for c in columns], names=["h1", "h2", "doc_id", "key", "start", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000]) for c in columns], names=["h", "x", "doc_id", "key"])
 
         for batch in batches:
             texts, ids, keys = _texts(batch), batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -191,8 +196,9 @@ def _candidates(docs: DataFrame, width: int, slices: int, one: int) -> DataFrame
         if held:
             yield from flush()
 
-    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return keyed.mapInArrow(run, "h1 long, h2 long, doc_id long, key long, start long, sure boolean")
+    keyed = docs.where("doc_id is not null").select("doc_id", key.alias("key"), "text")
+    x = F.col("x")
+    return keyed.mapInArrow(run, "h long, x long, doc_id long, key long").select("h", F.shiftrightunsigned(x, 32).alias("high"), x.bitwiseAND(1).alias("sure"), "doc_id", "key", F.shiftrightunsigned(x, 1).bitwiseAND(0x7FFFFFFF).alias("start"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,16 +259,20 @@ def deduplicated(docs: DataFrame, widest: int = WIDEST) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counters = max(1 << 12, 1 << (size // SPARSE).bit_length())
     slices = max(1, counters // widest)
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count()
+    alone = not ids.where("count > 1").limit(1).count()
+    key = F.lit(0).cast("long") if alone else F.xxhash64("text")  # tells rows of one doc_id apart
     found = None
     for one in range(slices):
-        some = _candidates(docs, counters // slices, slices, one)
+        some = _candidates(docs, key, counters // slices, slices, one)
         found = some if found is None else found.unionAll(some)
-    first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("h1", "h2", "sure"))
+    place = F.struct("doc_id", "start")
+    first = F.min(place).over(Window.partitionBy("h", "high", "sure"))
     gone = (
         found.withColumn("first", first)
-        .where(F.col("sure") | (F.struct("doc_id", "start") != F.col("first")))
-        .select("doc_id", "key", "start", F.when(F.col("sure"), F.col("h2")).otherwise(F.col("start") + WINDOW).alias("end"), F.lit(None).cast("string").alias("text"))
+        .where((F.col("sure") == 1) | (place != F.col("first")))
+        .select("doc_id", "key", "start", (F.col("start") + F.when(F.col("sure") == 1, F.col("high")).otherwise(WINDOW)).alias("end"), F.lit(None).cast("string").alias("text"))
     )
-    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", key.alias("key"), F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.coalesce("text", F.lit("")).alias("text"))
     met = texts.unionAll(gone).repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "start")
     return met.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string")
