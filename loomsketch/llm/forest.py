@@ -7,11 +7,12 @@ region. A region is the rows that share a prefix; it is as deep, from SHALLOW on
 DENSE rows in sight, so a crowded part of the order is looked at more closely than a sparse one.
 
 Of each document, the two candidates that most orders name are compared first, and components drawn from what they
-confirm. All that is left undecided is compared next: candidates in different components, and, in regions too large for
-their rows' few neighbours to have covered, every two rows of different components. So a region of thousands of near copies
-costs a comparison or two a row, and no pair of rows that share REGION minima of an order stays undecided. Two sets
-of similarity 0.8 share them in one of the orders at least with probability 1 - 1e-5. A link is confirmed by
-the numbers of shingles in both sets and in either, as integers.
+confirm. All that is left undecided is compared next: candidates in different components; and regions at REGION minima
+that are too large for their rows' few neighbours to have covered, and still hold different components, as a whole: in
+blocks of BLOCK rows, common shingles are counted by a matrix product, and each block pair returns edges that span its
+links, not the pairs. So no pair of rows that share REGION minima of an order stays undecided. Two sets of similarity
+0.8 share them in one of the orders at least with probability 1 - 1e-5. A link is confirmed by the numbers of shingles
+in both sets and in either, as integers.
 
 Nulls: null and empty texts have no shingles and link with nothing; rows with a null doc_id too, and their component is
 null. Rows of one doc_id are one node. No rows give no rows.
@@ -32,6 +33,8 @@ from .words import Words, grouped, mixed, runs
 SHINGLE = 4
 TREES, DEPTH = 16, 6
 SHALLOW, REGION, DENSE, BACK = 2, 3, 64, 3
+#: Rows of a large region that are compared with as many others at a time, and columns of a product.
+BLOCK, COLUMNS = 512, 8192
 
 _FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -144,6 +147,47 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, n: int = SHINGLE)
     return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def spanning(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, least id that links reach) of all pairs of sets."""
+    sizes = np.array([len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = count[column] > 1
+    _, column = np.unique(column[shared], return_inverse=True)
+    owner, common = owner[shared], np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        present = np.zeros((len(sets), COLUMNS), np.float32)
+        present[owner[a:b], column[a:b] - first] = 1
+        common += present @ present.T
+    met = common.astype(np.int64)
+    linked = (100 * met >= percent * (sizes[:, None] + sizes[None] - met)) & (met > 0)
+    names = ids.copy()
+    while True:
+        new = np.minimum(names, np.where(linked, names[None], np.iinfo(np.int64).max).min(1))
+        if (new == names).all():
+            break
+        names = new
+    far = names < ids
+    return ids[far], names[far]
+
+
+def regional(rows: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """Edges (a, b) that span the links within each region of rows(region, id, rows), rows being the region's number of them."""
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    mine = rows.select("region", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("q"))
+    mine = mine.select("region", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), F.col("id").alias("doc_id"))
+    met = mine.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b = spanning(group.column("doc_id").to_numpy(), list(shingles([t.encode() for t in group.column("text").to_pylist()], n)), percent)
+        return pa.table({"a": a, "b": b})
+
+    return met.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def grouped_documents(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     signed = written(signatures(docs, n), "forest-signatures")
@@ -164,16 +208,12 @@ def grouped_documents(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> D
 
     apart = component(component(near.select("a", "b"), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
     region = F.xxhash64("tree", F.substring("path", F.lit(1), F.lit(4 * REGION)))
-    rows = paths.select(region.alias("region"), "id", "size")
-    large = rows.groupBy("region").agg(F.count("*").alias("rows")).where(F.col("rows") > BACK + 1).select("region")
+    rows = paths.select(region.alias("region"), "id")
+    large = rows.groupBy("region").agg(F.count("*").alias("rows")).where(F.col("rows") > BACK + 1)
     rows = written(component(rows.join(large, "region"), "id", "of"), "forest-regions")
-    mixed_regions = rows.groupBy("region").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("region")
-    rows = rows.join(mixed_regions, "region")
-    left, right = rows.toDF("region", "a", "size_a", "of_a"), rows.toDF("region", "b", "size_b", "of_b")
-    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    rest = left.join(right, "region").where((F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")) & fits).select("a", "b")
-    late = apart.unionAll(rest).distinct().join(early, ["a", "b"], "left_anti")
-    later = confirmed(written(late, "forest-late"), docs, percent, n)
+    parted = rows.groupBy("region").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("region")
+    rest = regional(rows.join(parted, "region"), docs, percent, n)
+    later = confirmed(apart.join(early, ["a", "b"], "left_anti"), docs, percent, n).unionAll(rest)
     same = full.join(classes.select("s1", "s2", "id"), ["s1", "s2"]).where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     edges = links.unionAll(later).toDF("u", "v").unionAll(same)
     found = components(edges)
