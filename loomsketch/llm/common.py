@@ -30,6 +30,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
+    spark._jvm.System.gc()  # Spark drops the write's shuffle files once the driver's collector finds their plan unused
     return spark.read.schema(df.schema).parquet(path)
 
 
