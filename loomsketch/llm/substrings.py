@@ -35,7 +35,7 @@ CHUNK = 1 << 20
 #: Bytes of text for each counter of a row; a seventh of the words are anchors, of six bytes each and a space.
 SPARSE = 16
 #: Anchors, and windows, that a task holds at a time.
-HELD = 3_000_000
+HELD = 1_500_000
 ROWS = 2
 
 
@@ -138,9 +138,10 @@ def _packed(high: np.ndarray, start: np.ndarray, sure: int) -> np.ndarray:
     return (top | (start.astype(np.uint64) << np.uint64(1)) | np.uint64(sure)).view(np.int64)
 
 
-def _candidates(docs: DataFrame, key: Column, width: int, slices: int, one: int) -> DataFrame:
-    """(h, high, sure, doc_id, key, start) of the windows that may repeat, the first of each task's equal ones under
-    96 bits of hash; and, with sure 1, of ranges of high words that surely go."""
+def _candidates(docs: DataFrame, key: Column, alone: bool, width: int, slices: int, one: int) -> DataFrame:
+    """(h, g, doc_id, start), and key unless doc_ids are alone, of the windows that may repeat, the first of each task's
+    equal ones under 64 bits in h and 32 at the top of g; and, where g is odd, of ranges that surely go, of as many words
+    as g's top says."""
     sent = docs.sparkSession.sparkContext.broadcast(repeated(docs, width, slices, one))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +198,9 @@ def _candidates(docs: DataFrame, key: Column, width: int, slices: int, one: int)
             yield from flush()
 
     keyed = docs.where("doc_id is not null").select("doc_id", key.alias("key"), "text")
-    x = F.col("x")
-    return keyed.mapInArrow(run, "h long, x long, doc_id long, key long").select("h", F.shiftrightunsigned(x, 32).alias("high"), x.bitwiseAND(1).alias("sure"), "doc_id", "key", F.shiftrightunsigned(x, 1).bitwiseAND(0x7FFFFFFF).alias("start"))
+    start = F.shiftrightunsigned("x", 1).bitwiseAND(0x7FFFFFFF)
+    rows = keyed.mapInArrow(run, "h long, x long, doc_id long, key long")
+    return rows.select("h", (F.col("x") - start * 2).alias("g"), "doc_id", *([] if alone else ["key"]), start.cast("int").alias("start"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,15 +266,14 @@ def deduplicated(docs: DataFrame, widest: int = WIDEST) -> DataFrame:
     key = F.lit(0).cast("long") if alone else F.xxhash64("text")  # tells rows of one doc_id apart
     found = None
     for one in range(slices):
-        some = _candidates(docs, key, counters // slices, slices, one)
+        some = _candidates(docs, key, alone, counters // slices, slices, one)
         found = some if found is None else found.unionAll(some)
     place = F.struct("doc_id", "start")
-    first = F.min(place).over(Window.partitionBy("h", "high", "sure"))
-    gone = (
-        found.withColumn("first", first)
-        .where((F.col("sure") == 1) | (place != F.col("first")))
-        .select("doc_id", "key", "start", (F.col("start") + F.when(F.col("sure") == 1, F.col("high")).otherwise(WINDOW)).alias("end"), F.lit(None).cast("string").alias("text"))
-    )
+    first = F.min(place).over(Window.partitionBy("h", "g"))
+    sure = F.col("g").bitwiseAND(1) == 1
+    length = F.when(sure, F.shiftrightunsigned("g", 32)).otherwise(WINDOW)
+    gone = found.withColumn("first", first).where(sure | (place != F.col("first")))
+    gone = gone.select("doc_id", (key if alone else F.col("key")).alias("key"), F.col("start").cast("long").alias("start"), (F.col("start") + length).cast("long").alias("end"), F.lit(None).cast("string").alias("text"))
     texts = docs.select("doc_id", key.alias("key"), F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.coalesce("text", F.lit("")).alias("text"))
     met = texts.unionAll(gone).repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "start")
     return met.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string")
