@@ -12,7 +12,7 @@ each, and no candidates stay undecided. Of all lines of a connected group the fi
 
 Lines end with a line feed. Lines without letters and digits always stay, and so do a null text and a null doc_id's
 place in the order: null ids come first. Rows that agree in doc_id and text are one document, and keep the same lines.
-Lines of more than LONGEST words are compared by equality only. No rows give no rows.
+Lines of any length have a SimHash. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import components, written
 
 #: Bits of the blocks, from the highest, and how many of them make a key.
 BLOCKS, KEYED = (11, 11, 11, 11, 10, 10), 3
-#: Words of which lanes of 8 and of 16 bits hold the votes; the highest lane holds a sign too.
+#: Words of which lanes of 8 and of 16 bits hold the votes; the highest lane holds a sign too. More take lanes of 32.
 FEW, LONGEST = 127, 30_000
 
 
@@ -37,7 +37,8 @@ def line_words(line: Column) -> Column:
 def simhash(words: Column) -> Column:
     """64 bits, each what most of the distinct words' hashes have there (0 in a draw).
 
-    A sum counts the votes on several bits at once: on eight, in lanes of a byte, for up to FEW words, on four for more.
+    A sum counts the votes on several bits at once: on eight, in lanes of a byte, for up to FEW words, on four for
+    up to LONGEST, on two for more.
     """
     votes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
@@ -59,8 +60,8 @@ def simhash(words: Column) -> Column:
 
     def of(votes: Column) -> Column:
         n = F.size(votes)
-        few, many = (_let(summed(votes, lanes), lambda sums, lanes=lanes: elected(sums, n, lanes)) for lanes in (8, 4))
-        return F.when(n <= FEW, few).otherwise(many)
+        few, many, most = (_let(summed(votes, lanes), lambda sums, lanes=lanes: elected(sums, n, lanes)) for lanes in (8, 4, 2))
+        return F.when(n <= FEW, few).when(n <= LONGEST, many).otherwise(most)
 
     return _let(votes, of)
 
@@ -100,14 +101,14 @@ def removals(docs: DataFrame, least: float = 0.8) -> DataFrame:
     lines = words.select(
         "doc_id", "key", "line",
         F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"),
-        F.when(F.size("words") <= LONGEST, simhash(F.col("words"))).alias("sim"),
+        simhash(F.col("words")).alias("sim"),
     )
     lines = written(lines, "lines")
     place = F.struct("doc_id", "key", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("sim").alias("sim"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "lines-classes")
     # one exchange for the buckets and for what is in them; a group's rows are in as many buckets as there are keys
-    keyed = classes.where("sim is not null and id is not null").select("id", F.explode(keys(F.col("sim"))).alias("bucket")).repartition("bucket")
+    keyed = classes.where("id is not null").select("id", F.explode(keys(F.col("sim"))).alias("bucket")).repartition("bucket")
     shared = keyed.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1")
     members = written(keyed.join(shared, "bucket").where("id <> least"), "lines-buckets")
     star = members.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()

@@ -124,3 +124,14 @@ def test_nulls_repeats_and_clashing_columns(spark, odd):
 
 def test_empty(spark, odd):
     assert fuzzy_lines.deduplicated(odd.limit(0)).count() == 0
+
+
+def test_lines_of_any_length_have_a_simhash(spark, monkeypatch):
+    words = [f"w{i}" for i in range(fuzzy_lines.LONGEST + 5_000)]
+    row = spark.createDataFrame([(words,)], "words array<string>").select(fuzzy_lines.simhash(F.col("words")).alias("s")).first()
+    assert row.s & (2**64 - 1) == simhash(words)
+    monkeypatch.setattr(fuzzy_lines, "FEW", 50)
+    monkeypatch.setattr(fuzzy_lines, "LONGEST", 100)
+    line = " ".join(words[:500])
+    docs = spark.createDataFrame([(1, line), (2, line + " more")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in fuzzy_lines.deduplicated(docs).collect()} == {1: 0, 2: 1}
