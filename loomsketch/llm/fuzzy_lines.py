@@ -2,8 +2,8 @@
 
 A line is normalised to its lower-cased words of letters and digits. Equal normalised lines are a class, whose first
 occurrence is the least (doc_id, hash of the text, line number). A class has a SimHash of its distinct words; the 64
-bits are cut into six blocks, and every three blocks make a key, so two SimHashes that differ in three bits or fewer
-share a key at least. Classes that share a key are candidates; they are linked if their edit similarity,
+bits are cut into five blocks in three ways, and every two blocks of one way make a key, so two SimHashes that differ in
+three bits or fewer share a key at least, and most that differ in up to six do. Classes that share a key are candidates; they are linked if their edit similarity,
 1 - distance / longer length over the normalised lines, is 0.8 or more.
 
 In a key's bucket every class is first compared with the bucket's least. Then, wherever a bucket still holds
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-#: Bits of the blocks, from the highest, and how many of them make a key.
-BLOCKS, KEYED = (11, 11, 11, 11, 10, 10), 3
+#: Blocks of the bits, how many of them make a key, and of each way to cut them the odd step that lays out the bits.
+BLOCKS, KEYED, STEPS = 5, 2, (1, 5, 29)
 #: Words of which lanes of 8 and of 16 bits hold the votes; the highest lane holds a sign too. More take lanes of 32.
 FEW, LONGEST = 127, 30_000
 
@@ -72,17 +72,19 @@ def _let(value: Column, of) -> Column:
 
 
 def masks() -> list[int]:
-    """Of each choice of KEYED blocks, its bits, as signed longs."""
-    at, blocks = 64, []
-    for n in BLOCKS:
-        at -= n
-        blocks.append(((1 << n) - 1) << at)
-    chosen = [sum(c) for c in combinations(blocks, KEYED)]
+    """Of each way and choice of KEYED blocks, its bits, as signed longs."""
+    chosen = []
+    for step in STEPS:
+        order = sorted(range(64), key=lambda bit, step=step: bit * step % 64)
+        blocks = [sum(1 << bit for bit in order[64 * i // BLOCKS : 64 * (i + 1) // BLOCKS]) for i in range(BLOCKS)]
+        chosen += [sum(c) for c in combinations(blocks, KEYED)]
     return [m - (1 << 64) if m >> 63 else m for m in chosen]
 
 
-def keys(sim: Column) -> Column:
-    return F.array(*(F.xxhash64(F.lit(i), sim.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks())))
+def keys(sim: Column, way: int) -> Column:
+    """The keys of one way to cut the bits."""
+    each = len(masks()) // len(STEPS)
+    return F.array(*(F.xxhash64(F.lit(i), sim.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks()) if i // each == way))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -107,10 +109,13 @@ def removals(docs: DataFrame, least: float = 0.8) -> DataFrame:
     place = F.struct("doc_id", "key", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("sim").alias("sim"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "lines-classes")
-    # one exchange for the buckets and for what is in them; a group's rows are in as many buckets as there are keys
-    keyed = classes.where("id is not null").select("id", F.explode(keys(F.col("sim"))).alias("bucket")).repartition("bucket")
-    shared = keyed.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1")
-    members = written(keyed.join(shared, "bucket").where("id <> least"), "lines-buckets")
+    members = None
+    for way in range(len(STEPS)):  # one after the other, so that the disk holds the exchange of one
+        # one exchange for the buckets and for what is in them; a group's rows are in as many buckets as there are keys
+        keyed = classes.where("id is not null").select("id", F.explode(keys(F.col("sim"), way)).alias("bucket")).repartition("bucket")
+        shared = keyed.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1")
+        found = written(keyed.join(shared, "bucket").where("id <> least"), "lines-buckets")
+        members = found if members is None else members.unionAll(found)
     star = members.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     needed = star.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "first.*"), "id")
     of_doc = needed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("line", "id")).alias("wanted"))

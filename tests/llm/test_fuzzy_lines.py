@@ -135,3 +135,21 @@ def test_lines_of_any_length_have_a_simhash(spark, monkeypatch):
     line = " ".join(words[:500])
     docs = spark.createDataFrame([(1, line), (2, line + " more")], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in fuzzy_lines.deduplicated(docs).collect()} == {1: 0, 2: 1}
+
+
+def test_most_similar_lines_meet(sf):
+    """Recall of the keys against plain edit similarity, among lines that have three tenths of their words in common."""
+    texts = [t for (t,) in duckdb.sql(f"select text from '{sf}/documents.parquet'").fetchall()]
+    lines = sorted({" ".join(words_of(line)) for t in texts for line in t.split("\n")} - {""}, key=lambda n: (len(n), n))
+    sets, sims = [set(n.split()) for n in lines], [simhash(n.split()) for n in lines]
+    masks = [m & (2**64 - 1) for m in fuzzy_lines.masks()]
+    near = met = 0
+    for b, long in enumerate(lines):
+        most = int(0.2 * len(long) + 1e-9)
+        for a in range(b - 1, -1, -1):
+            if len(lines[a]) < len(long) - most:
+                break
+            if len(sets[a] & sets[b]) >= 0.3 * max(len(sets[a]), len(sets[b])) and distance(lines[a], long, most) <= most:
+                near += 1
+                met += any(not (sims[a] ^ sims[b]) & m for m in masks)
+    assert near >= 40 and met >= 0.8 * near
