@@ -69,6 +69,18 @@ def _people():
     return _names
 
 
+def _before_others(text: str, hit: re.Match, end: int) -> re.Match:
+    """A telephone number without the groups from where another number begins, if it is one without them."""
+    for group in re.finditer(r"(?<=[ .\-])[0-9]+", hit[0]):
+        at = hit.start() + group.start()
+        shorter = _PHONE.fullmatch(text, hit.start(), at - 1)
+        if shorter and sum(c.isdigit() for c in shorter[0]) >= 7:
+            others = (pattern.match(text, at, end) for _, pattern in _NUMBERS)
+            if any(o and not text[o.end() : o.end() + 1].isalnum() for o in others):
+                return shorter
+    return hit
+
+
 def spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities of a text, in order, none within another."""
     found: list[tuple[int, int, str, str]] = []
@@ -83,6 +95,8 @@ def spans(text: str) -> list[tuple[int, int, str, str]]:
         while begin < m.end():
             for kind, pattern in _NUMBERS:
                 hit = pattern.match(text, begin, m.end())
+                if hit and kind == "phone":
+                    hit = _before_others(text, hit, m.end())
                 if hit and not (begin and (text[begin - 1].isalnum() or text[begin - 1] in ".@")) and not text[hit.end() : hit.end() + 1].isalnum():
                     value = hit[0]
                     found.append((begin, hit.end(), kind, value if kind == "ip" else ("+" if value[0] == "+" else "") + re.sub(r"[^0-9]", "", value)))

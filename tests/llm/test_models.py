@@ -76,6 +76,19 @@ def test_surrogates_keep_kind_and_format():
     assert shown[2].endswith(".com") and all(a != text[s[0] : s[1]] for a, s in zip(shown, found, strict=True))
 
 
+@pytest.mark.parametrize(
+    ("after", "kind"),
+    [("190.137.223.204", "ip"), ("10.1.200.33", "ip"), ("4111 1111 1111 1111", "card"), ("4111111111111111", "card"), ("123-45-6789", "ssn"), ("826-555-7713", "phone")],
+)
+def test_numbers_next_to_a_telephone_number(after, kind):
+    phone = "+1 (826) 555-4081"
+    found = surrogates.spans(f"{phone} {after}, {phone}")
+    assert [s[2] for s in found] == ["phone", kind, "phone"] and found[0][3] == found[2][3] == "+18265554081"
+    assert found[1][1] - found[1][0] == len(after)
+    for whole in ("+49 151.123.45.67", "+1 826 555-4081", "+49 30-1234 5678", "+1 826 555 4081"):
+        assert surrogates.spans(whole) == [(0, len(whole), "phone", "+" + "".join(c for c in whole if c.isdigit()))]
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(1, 0, "secret", f"v{i}") for i in range(40)]
     found = spark.createDataFrame(rows, "doc_id long, key long, kind string, value string")
