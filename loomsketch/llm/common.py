@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Nodes with more than one in so many of a graph's edges are few enough for a broadcast.
+HUBS = 10_000
 #: Words are runs of bytes other than ASCII white space, in Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where none is set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where Spark runs in one process,
+    as in tests, a temporary one stands in where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -57,7 +63,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates large and small stars (each node points to the least neighbour it knows), so a chain of n nodes takes
     O(log n) rounds; every round is written to the shared folder. Self-loops and null ends are ignored; no edges
-    give no rows. Least neighbours come from partial aggregates, so a node with very many edges is no single task's.
+    give no rows. Least neighbours come from partial aggregates and reach the edges of hubs by a broadcast of bounded
+    size, so a node with very many edges is no single task's.
     """
     edges = (
         edges.where("u <> v")
@@ -68,11 +75,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     seal = _seal(now)
     while seal[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("many"))
+        large = _with_least(both, least, seal[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, name)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))
         small = (
-            large.join(least, "u")
+            _with_least(large, least, seal[0])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
@@ -81,6 +89,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         after = written(small, name)
         then = _seal(after)
         discard(now)
+        discard(large)
         now = after
         if then == seal:
             break
@@ -89,6 +98,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return ends.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """edges(u, v) with the m of their u from least(u, m, many). Of n edges, nodes with more than n / HUBS of them go by a
+    broadcast, and there are at most 2 HUBS such; so no node's edges are more than that in one task."""
+    hubs = F.broadcast(least.where(F.col("many") * HUBS > n).select("u", "m"))
+    others = least.where(F.col("many") * HUBS <= n).select("u", "m")
+    return edges.join(hubs, "u").unionAll(edges.join(hubs, "u", "left_anti").join(others, "u"))
+
+
 def _seal(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     return row[0], row[1] or 0

@@ -1,17 +1,17 @@
-"""Line dedup against brute force over the same keys and edit similarity."""
+"""Line dedup against plain edit similarity of all pairs of lines."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from itertools import combinations
 
 import duckdb
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomsketch.llm import fuzzy_lines
+from loomsketch.llm import fuzzy_lines, queries
 
 
 def words_of(line: str) -> list[str]:
@@ -23,73 +23,105 @@ def simhash(words: list[str]) -> int:
     return sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in votes) > len(votes))
 
 
-def distance(a: str, b: str, most: int) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
-def brute_force(rows: list[tuple[int, str]]) -> dict[int, list[str]]:
-    masks = [m & (2**64 - 1) for m in fuzzy_lines.masks()]
+@pytest.fixture(scope="module")
+def classes(sf):
+    """The first place of each normalised line, by line."""
+    rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
     first: dict[str, tuple[int, int]] = {}
     for d, t in sorted(rows):
         for i, line in enumerate(t.split("\n")):
             norm = " ".join(words_of(line))
             if norm:
                 first.setdefault(norm, (d, i))
-    sims = {n: simhash(n.split()) for n in first}
-    buckets: dict[tuple, list[str]] = {}
-    for n, s in sims.items():
-        for k, m in enumerate(masks):
-            buckets.setdefault((k, s & m), []).append(n)
-    parent = {n: n for n in first}
-
-    def find(x: str) -> str:
-        while parent[x] != x:
+    return rows, first
+
+
+@pytest.fixture(scope="module")
+def similar(classes):
+    """All pairs of distinct lines of edit similarity 0.8, by comparing all with all."""
+    lines = pd.DataFrame({"line": sorted(classes[1])})
+    lines["n"] = lines.line.str.len()
+    con = duckdb.connect()
+    con.register("lines", lines)
+    near = """select a.line, b.line from lines a join lines b
+        on a.line < b.line and 5 * abs(a.n - b.n) <= greatest(a.n, b.n) and greatest(a.n, b.n) < 400
+        where 5 * levenshtein(a.line, b.line) <= greatest(a.n, b.n)"""
+    return con.sql(near).fetchall()
+
+
+def roots(pairs):
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
             x = parent[x]
         return x
 
-    for pair in {tuple(sorted(p)) for b in buckets.values() for p in combinations(b, 2)}:
-        most = int(0.2 * max(map(len, pair)) + 1e-9)
-        if abs(len(pair[0]) - len(pair[1])) <= most and distance(*pair, most) <= most:
-            a, b = map(find, pair)
-            parent[max(a, b, key=first.get)] = min(a, b, key=first.get)
-    out = {}
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    return find
+
+
+def test_whole_table_against_all_pairs(spark, sf, classes, similar):
+    """Nine tenths of the similar pairs end in one group at least, and no group holds lines that similar pairs don't join."""
+    rows, first = classes
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    _, found = fuzzy_lines.line_classes(docs)
+    place = {(r.doc_id, r.line): r.id for r in found.select("first.*", "id").collect()}
+    assert len(place) == len(first)
+    ids = {line: place[at] for line, at in first.items()}
+    groups = {r.node: r.component for r in fuzzy_lines.linked(docs, found, 0.8).collect()}
+    met = sum(groups.get(ids[a], ids[a]) == groups.get(ids[b], ids[b]) for a, b in similar)
+    assert len(similar) >= 25 and met >= 0.9 * len(similar)
+    truth, lines = roots((ids[a], ids[b]) for a, b in similar), {i: line for line, i in ids.items()}
+    long = {i for i in groups if len(lines[i]) >= 400}
+    assert all(i in long or c in long or truth(i) == truth(c) for i, c in groups.items())
+
+
+def test_what_goes_follows_from_the_groups(spark, sf, classes):
+    """Of all lines of a group the first occurrence stays, and of a class without a group too."""
+    rows, first = classes
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    _, found = fuzzy_lines.line_classes(docs)
+    place = {r.id: (r.doc_id, r.line) for r in found.select("first.*", "id").collect()}
+    ids = {at: i for i, at in place.items()}
+    groups = {r.node: r.component for r in fuzzy_lines.linked(docs, found, 0.8).collect()}
+    stays: dict[int, tuple[int, int]] = {}
+    for i, c in groups.items():
+        stays[c] = min(stays.get(c, place[i]), place[i])
+    expected = {}
     for d, t in rows:
         kept = []
         for i, line in enumerate(t.split("\n")):
             norm = " ".join(words_of(line))
-            if not norm or first[find(norm)] == (d, i):
+            at = first.get(norm)
+            if not norm or (d, i) == stays.get(groups.get(ids[at]), at):
                 kept.append(line)
-        out[d] = kept
-    return out
-
-
-def test_whole_table_against_brute_force(spark, sf):
-    rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
-    expected = brute_force(rows)
-    from loomsketch.llm import queries
-
-    found = {r.doc_id: r for r in queries.op1_fuzzy_lines(spark, sf).collect()}
-    assert len(found) == len(rows)
+        expected[d] = kept
+    result = {r.doc_id: r for r in queries.op1_fuzzy_lines(spark, sf).collect()}
+    assert len(result) == len(rows)
     for d, t in rows:
-        assert found[d].n_lines == len(t.split("\n"))
-        assert found[d].n_removed == len(t.split("\n")) - len(expected[d])
-        assert found[d].kept_sha256 == hashlib.sha256("\n".join(expected[d]).encode()).hexdigest()
+        assert result[d].n_lines == len(t.split("\n"))
+        assert result[d].n_removed == len(t.split("\n")) - len(expected[d])
+        assert result[d].kept_sha256 == hashlib.sha256("\n".join(expected[d]).encode()).hexdigest()
 
 
-def test_simhash_and_keys(spark):
+def test_simhash(spark):
     words = ["a", "quick", "brown", "fox", "fox"]
     row = spark.range(1).select(fuzzy_lines.simhash(F.array(*map(F.lit, words))).alias("s")).first()
     assert row.s & (2**64 - 1) == simhash(words)
-    masks = [m & (2**64 - 1) for m in fuzzy_lines.masks()]
-    for bits in combinations(range(0, 64, 7), 3):
-        assert any(not any(m >> b & 1 for b in bits) for m in masks)
+
+
+def test_lines_with_fewer_changed_words_than_blocks_share_one(spark):
+    """However the words are chosen: an edit of w words touches 2 w blocks at most, and what fills the blocks before them."""
+    base = [f"word{i}" for i in range(60)]
+    rows = [(0, base)] + [(k, base[:k] + ["other"] + base[k + 1 :]) for k in range(1, 60)]
+    keyed = fuzzy_lines.with_keys(spark.createDataFrame(rows, "id long, words array<string>")).collect()
+    keys = {r.id: set(r["keys"]) - {None} for r in keyed}
+    assert all(keys[0] & keys[k] for k in range(1, 60)) and len(keys[0]) <= 10
+    few = [(0, ["a"]), (1, ["a", "a"]), (2, ["a", "b"])]
+    keys = {r.id: set(r["keys"]) - {None} for r in fuzzy_lines.with_keys(spark.createDataFrame(few, "id long, words array<string>")).collect()}
+    assert keys[0] == keys[1] and len(keys[0]) == 1 and not keys[0] & keys[2]
 
 
 @pytest.fixture(scope="module")
@@ -135,21 +167,3 @@ def test_lines_of_any_length_have_a_simhash(spark, monkeypatch):
     line = " ".join(words[:500])
     docs = spark.createDataFrame([(1, line), (2, line + " more")], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in fuzzy_lines.deduplicated(docs).collect()} == {1: 0, 2: 1}
-
-
-def test_most_similar_lines_meet(sf):
-    """Recall of the keys against plain edit similarity, among lines that have three tenths of their words in common."""
-    texts = [t for (t,) in duckdb.sql(f"select text from '{sf}/documents.parquet'").fetchall()]
-    lines = sorted({" ".join(words_of(line)) for t in texts for line in t.split("\n")} - {""}, key=lambda n: (len(n), n))
-    sets, sims = [set(n.split()) for n in lines], [simhash(n.split()) for n in lines]
-    masks = [m & (2**64 - 1) for m in fuzzy_lines.masks()]
-    near = met = 0
-    for b, long in enumerate(lines):
-        most = int(0.2 * len(long) + 1e-9)
-        for a in range(b - 1, -1, -1):
-            if len(lines[a]) < len(long) - most:
-                break
-            if len(sets[a] & sets[b]) >= 0.3 * max(len(sets[a]), len(sets[b])) and distance(lines[a], long, most) <= most:
-                near += 1
-                met += any(not (sims[a] ^ sims[b]) & m for m in masks)
-    assert near >= 40 and met >= 0.8 * near
