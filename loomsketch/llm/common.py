@@ -76,11 +76,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while seal[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("many"))
-        large = _with_least(both, least, seal[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_frequent(both, least, ["u"], seal[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, name)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))
         small = (
-            _with_least(large, least, seal[0])
+            join_frequent(large, least, ["u"], seal[0])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
@@ -98,12 +98,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return ends.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """edges(u, v) with the m of their u from least(u, m, many). Of n edges, nodes with more than n / HUBS of them go by a
-    broadcast, and there are at most 2 HUBS such; so no node's edges are more than that in one task."""
-    hubs = F.broadcast(least.where(F.col("many") * HUBS > n).select("u", "m"))
-    others = least.where(F.col("many") * HUBS <= n).select("u", "m")
-    return edges.join(hubs, "u").unionAll(edges.join(hubs, "u", "left_anti").join(others, "u"))
+def join_frequent(rows: DataFrame, keyed: DataFrame, on: list[str], n: int) -> DataFrame:
+    """rows joined with keyed, which has a row for each key and how many rows have it in many, which goes. Of n rows, the
+    keys of more than n / HUBS go by a broadcast, and there are no more than 2 HUBS of them if rows are 2 n at most; so no
+    more rows of one key meet in a task."""
+    hubs = F.broadcast(keyed.where(F.col("many") * HUBS > n).drop("many"))
+    others = keyed.where(F.col("many") * HUBS <= n).drop("many")
+    return rows.join(hubs, on).unionAll(rows.join(hubs, on, "left_anti").join(others, on))
 
 
 def _seal(edges: DataFrame) -> tuple[int, int]:

@@ -3,7 +3,7 @@
 A document's set are its distinct shingles of 4 words, lower-cased in ASCII; a shorter text is one shingle. Documents of
 equal sets are a class, and only its least doc_id goes on. TREES sorted orders of the rest follow DEPTH minima each. In
 an order, a row's candidates are the rows just before it with the longest common prefix, and the first row of its
-region. A region is the rows that share a prefix; it is as deep, from SHALLOW on, as it takes to leave no more than
+region. Orders are dealt over tasks by ranges, so no common prefix is a single task's. A region is the rows that share a prefix; it is as deep, from SHALLOW on, as it takes to leave no more than
 DENSE rows in sight, so a crowded part of the order is looked at more closely than a sparse one.
 
 Of each document, the two candidates that most orders name are compared first, and components drawn from what they
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, discard, written
 from .words import Words, grouped, mixed, runs
 
 SHINGLE = 4
@@ -193,9 +193,9 @@ def grouped_documents(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> D
     signed = written(signatures(docs, n), "forest-signatures")
     full = signed.where("size > 0 and doc_id is not null")
     classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("minima").alias("minima"))
+    classes = written(classes, "forest-classes")
     paths = orders(classes.select("id", "size", "minima"))
-    root = F.substring("path", F.lit(1), F.lit(4 * SHALLOW))
-    in_order = paths.repartition("tree", root).sortWithinPartitions("tree", "path", "id")
+    in_order = paths.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path", "id")
     near = written(candidates(in_order, percent).groupBy("a", "b").agg(F.count("*").alias("orders")), "forest-candidates")
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("orders"), "b"))
     early = near.withColumn("n", best).where("n <= 2").select("a", "b")
@@ -210,13 +210,16 @@ def grouped_documents(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> D
     region = F.xxhash64("tree", F.substring("path", F.lit(1), F.lit(4 * REGION)))
     rows = paths.select(region.alias("region"), "id")
     large = rows.groupBy("region").agg(F.count("*").alias("rows")).where(F.col("rows") > BACK + 1)
-    rows = written(component(rows.join(large, "region"), "id", "of"), "forest-regions")
+    rows = regions = written(component(rows.join(large, "region"), "id", "of"), "forest-regions")
     parted = rows.groupBy("region").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("region")
-    rest = regional(rows.join(parted, "region"), docs, percent, n)
-    later = confirmed(apart.join(early, ["a", "b"], "left_anti"), docs, percent, n).unionAll(rest)
+    # each is written by itself, so that the disk holds the texts' exchange of one
+    later = written(confirmed(apart.join(early, ["a", "b"], "left_anti"), docs, percent, n), "forest-links")
+    rest = written(regional(rows.join(parted, "region"), docs, percent, n), "forest-links")
     same = full.join(classes.select("s1", "s2", "id"), ["s1", "s2"]).where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    edges = links.unionAll(later).toDF("u", "v").unionAll(same)
-    found = components(edges)
+    edges = links.unionAll(later).unionAll(rest).toDF("u", "v").unionAll(same)
+    found = written(components(edges), "forest-components")
+    for table in (near, links, later, rest, so_far, regions, classes):
+        discard(table)
     rows = signed.select("doc_id", F.col("size").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component_id = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", component_id.alias("component_id"), _kept(component_id).alias("kept"))

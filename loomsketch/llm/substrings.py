@@ -4,8 +4,8 @@ First pass: a window's anchor is the least-hashed run of 8 words in it, so equal
 number of places that are some window's anchor is at least the number of equal windows. Each partition counts its anchor
 places in a count-min sketch of two rows whose counters stop at 2; partition sketches travel as the counters that
 aren't 0, chunk by chunk, and are merged by saturating sums. A window whose anchor's counters are below 2 in a row is
-certainly single. The sketch's width follows the bytes of the corpus; where a row would exceed WIDEST counters, the
-anchors are dealt into slices by hash, and the passes run slice by slice.
+certainly single. The sketch's width follows the bytes of the corpus up to WIDEST counters a row; of a corpus beyond that
+it says less, so more windows than repeat go on to the second pass, and none is lost. There are two passes at any size.
 
 Second pass: of the other windows, each task keeps the first of those it has met with equal words (equal 96-bit
 hashes of them) and knows the later ones to be repeats; so a window that is everywhere costs a row a task. The kept
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .words import Words, grouped, mixed, runs
 
 WINDOW, ANCHOR = 20, 8
-#: Most counters of a row of the sketch in one slice: its two rows of bits are 64 MB, sent to each executor.
+#: Most counters of a row of the sketch: its two rows of bits are 64 MB, sent to each executor.
 WIDEST = 1 << 28
 #: Counters of a chunk, in which sketches are merged.
 CHUNK = 1 << 20
@@ -62,16 +62,12 @@ def _place(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
     return (mixed(anchors + np.uint64(row + 1)) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
 
 
-def _slice(anchors: np.ndarray, slices: int) -> np.ndarray:
-    return mixed(anchors ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(slices)
-
-
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode() for t in batch.column(batch.num_columns - 1).to_pylist()]
 
 
-def repeated(docs: DataFrame, width: int, slices: int, one: int) -> np.ndarray:
-    """Bits of the merged sketch of a slice, row by row: the counters that are 2 or more."""
+def repeated(docs: DataFrame, width: int) -> np.ndarray:
+    """Bits of the merged sketch, row by row: the counters that are 2 or more."""
     step = min(CHUNK, width)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +93,7 @@ def repeated(docs: DataFrame, width: int, slices: int, one: int) -> np.ndarray:
                 inside, m, v = _windows(words, words.hashes())
                 least = np.zeros(len(v) + WINDOW - ANCHOR, np.uint64)  # each run's windows start at it or up to 12 before
                 least[inside + WINDOW - ANCHOR] = m[inside]
-                anchors = v[_sliding(least, WINDOW - ANCHOR + 1, np.maximum) == v]
-                held.append(anchors if slices == 1 else anchors[_slice(anchors, slices) == one])
+                held.append(v[_sliding(least, WINDOW - ANCHOR + 1, np.maximum) == v])
                 if sum(map(len, held)) >= HELD:
                     yield from flush()
         if held:
@@ -138,11 +133,11 @@ def _packed(high: np.ndarray, start: np.ndarray, sure: int) -> np.ndarray:
     return (top | (start.astype(np.uint64) << np.uint64(1)) | np.uint64(sure)).view(np.int64)
 
 
-def _candidates(docs: DataFrame, key: Column, alone: bool, width: int, slices: int, one: int) -> DataFrame:
+def _candidates(docs: DataFrame, key: Column, alone: bool, width: int) -> DataFrame:
     """(h, g, doc_id, start), and key unless doc_ids are alone, of the windows that may repeat, the first of each task's
     equal ones under 64 bits in h and 32 at the top of g; and, where g is odd, of ranges that surely go, of as many words
     as g's top says."""
-    sent = docs.sparkSession.sparkContext.broadcast(repeated(docs, width, slices, one))
+    sent = docs.sparkSession.sparkContext.broadcast(repeated(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -184,7 +179,7 @@ def _candidates(docs: DataFrame, key: Column, alone: bool, width: int, slices: i
                 hashes = words.hashes()
                 inside, m, _ = _windows(words, hashes)
                 anchors = m[inside]
-                likely = np.ones(len(inside), bool) if slices == 1 else _slice(anchors, slices) == one
+                likely = np.ones(len(inside), bool)
                 for row in range(ROWS):
                     at = _place(anchors, row, width) + row * width
                     likely &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
@@ -257,17 +252,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicated(docs: DataFrame, widest: int = WIDEST) -> DataFrame:
     """(doc_id, n_words, n_removed, text) of docs(doc_id, text): words that an earlier window has are gone, the others are
-    joined by single spaces. widest: most counters of a row of the sketch in one slice."""
+    joined by single spaces. widest: most counters of a row of the sketch."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counters = max(1 << 12, 1 << (size // SPARSE).bit_length())
-    slices = max(1, counters // widest)
+    width = min(widest, max(1 << 12, 1 << (size // SPARSE).bit_length()))
     ids = docs.where("doc_id is not null").groupBy("doc_id").count()
     alone = not ids.where("count > 1").limit(1).count()
     key = F.lit(0).cast("long") if alone else F.xxhash64("text")  # tells rows of one doc_id apart
-    found = None
-    for one in range(slices):
-        some = _candidates(docs, key, alone, counters // slices, slices, one)
-        found = some if found is None else found.unionAll(some)
+    found = _candidates(docs, key, alone, width)
     place = F.struct("doc_id", "start")
     first = F.min(place).over(Window.partitionBy("h", "g"))
     sure = F.col("g").bitwiseAND(1) == 1

@@ -1,11 +1,14 @@
 """Personal data replaced by surrogates: keyed, of the same kind and format, distinct where the originals are.
 
-Found are e-mail addresses, telephone numbers, IPv4 addresses, card numbers, social security numbers, IBANs, quoted
-secrets, and names of persons (a known given name and the capitalised word after it). Spellings of one entity, such as
-other separators or case, have one normal form, and so one surrogate in all documents; each place shows it in its own
-spelling. A surrogate is drawn from an HMAC of kind and normal form: digits for digits, letters for letters of the same
-case and script, country codes, top-level domains, separators and the validity of check digits kept; names get a given
-name of the same gender and script, and a surname of the script.
+Found are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, card numbers, social security numbers, IBANs,
+quoted secrets, dates of birth, passport numbers, street addresses, and names of persons: a known given name and the
+capitalised word after it, or one or two capitalised words after a title. Where a document has a full name, its given
+name and its surname alone are mentions of that person too, of the last one named so before them. Spellings of one
+entity, such as other separators or case, have one normal form, and so one surrogate in all documents; each place shows
+it in its own spelling. A surrogate is drawn from an HMAC of kind and normal form: digits for digits, letters for letters
+of the same case and script, country codes, top-level domains, separators and the validity of check digits kept; names
+get a given name of the same gender and script, and a surname of the script. The gender of an unknown given name is its
+title's, or drawn.
 
 All distinct entities of the corpus are checked: where two share a surrogate, or a surrogate is an original of the
 corpus, all but the first draw again, until none do. The check and the mapping are joins; nothing but single documents
@@ -17,8 +20,10 @@ give no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, join_frequent, written
 
 # Given names by script and gender, surnames by script (the Cyrillic ones with a feminine form).
 GIVEN = {
@@ -39,6 +44,7 @@ SURNAMES = {
     ("latin", "f"): "Berg Novak Silva Moreau Keller Lindholm Hart Vance Ortega Marsh Dubois Fischer Romero Whitlock Sandoval Becker Laurent Castel Thorne Engel".split(),
     ("cyrillic", "m"): "Иванов Петров Сидоров Кузнецов Смирнов Орлов Волков Соколов Лебедев Морозов".split(),
 }
+STREETS = "Linden Oak Maple Cedar Garden Mill Station Church Park River Meadow Hill Spring Forest Castle Market".split()
 SURNAMES[("latin", "m")] = SURNAMES[("latin", "f")]
 SURNAMES[("cyrillic", "f")] = [s + "а" for s in SURNAMES[("cyrillic", "m")]]
 GENDER = {name.lower(): who for who, names in GIVEN.items() for name in names}
@@ -53,6 +59,14 @@ _LOCAL, _DOMAIN = re.compile(r"[\w.+\-]*[\w+\-]$"), re.compile(r"[\w\-]+(?:\.[\w
 _SECRET = re.compile(r"""(?:token|secret|password|passwd|api[_-]?key)\s*[=:]\s*["']([^"'\s]{6,})["']""", re.I)
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _AFTER = re.compile(r" ([A-ZА-ЯЁÀ-ÖØ-Þ][\w'\-]+)")
+_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
+_BORN = re.compile(r"\b(?:born(?: on)?|date of birth|dob|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)[:,]? {1,2}([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})(?![0-9])", re.I)
+_PASSPORT = re.compile(r"\b(?:passport|reisepass|passeport|pasaporte)(?: (?:number|no\.?|nr\.?|n°|núm\.?))?:? ([A-Z]{0,2}[0-9]{6,9}|[A-Z0-9]{2}[0-9]{2}[A-Z0-9]{5})(?![A-Za-z0-9])", re.I)
+_STREET = re.compile(r"(?<![\w-])(?:[0-9]{1,5} (?:[A-Z][a-z]+ ){1,2}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd)|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|gasse) [0-9]{1,4})(?!\w)")
+_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'\-]+"
+_TITLED = re.compile(rf"(?<!\w)(?:(Mr|Herr|Monsieur|Señor|Sr)|(Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)|Dr|Prof)\.? ({_NAME}(?: {_NAME})?)")
+# Country calling codes of one and of two digits; all others have three.
+CALLING = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 _names = None
 
 
@@ -82,7 +96,8 @@ def _before_others(text: str, hit: re.Match, end: int) -> re.Match:
 
 
 def spans(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form) of the entities of a text, in order, none within another."""
+    """(start, end, kind, normal form) of the entities of a text, in order, none within another; a mention by one name
+    alone has its person's kind with /given or /last."""
     found: list[tuple[int, int, str, str]] = []
     at = text.find("@")
     while at >= 0:
@@ -107,11 +122,12 @@ def spans(text: str) -> list[tuple[int, int, str, str]]:
     if '"' in text or "'" in text:
         found += [(m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text)]
     found += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in _IBAN.finditer(text) if _mod97(m[0].replace(" ", "")) == 1]
-    for last, form in _people().iter(text):
-        start = last - len(form) + 1
-        after = _AFTER.match(text, last + 1)
-        if after and not (start and text[start - 1].isalnum()):
-            found.append((start, after.end(), "name", text[start : after.end()].lower()))
+    for pattern, kind in ((_BORN, "birth"), (_PASSPORT, "passport")):
+        found += [(m.start(1), m.end(1), kind, m[1]) for m in pattern.finditer(text)]
+    found += [(m.start(), m.end(), "street", m[0]) for m in _STREET.finditer(text)]
+    if text.count(":") > 1:
+        found += [(m.start(), m.end(), "ipv6", m[0].lower()) for m in _IPV6.finditer(text) if _is_ipv6(m[0])]
+    found += _persons(text)
     kept, end = [], 0
     for s in sorted(found, key=lambda s: (s[0], -s[1])):
         if s[0] >= end:
@@ -120,6 +136,48 @@ def spans(text: str) -> list[tuple[int, int, str, str]]:
     return kept
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        return ipaddress.ip_address(text).version == 6 and sum(c.isalnum() for c in text) > 3
+    except ValueError:
+        return False
+
+
+def _persons(text: str) -> list[tuple[int, int, str, str]]:
+    """Full names, surnames after titles, and the mentions of persons by one of their names alone."""
+    full: list[tuple[int, int, str, str]] = []
+    for last, form in _people().iter(text):
+        start = last - len(form) + 1
+        after = _AFTER.match(text, last + 1)
+        if after and not (start and text[start - 1].isalnum()):
+            full.append((start, after.end(), "name", text[start : after.end()].lower()))
+    alone: list[tuple[int, int, str, str]] = []
+    starts = {s[0] for s in full}
+    for m in _TITLED.finditer(text):
+        if m.start(3) in starts:
+            continue
+        value = m[3].lower()
+        if " " in value:
+            full.append((m.start(3), m.end(3), "name:m" if m[1] else "name:f" if m[2] else "name", value))
+        else:
+            alone.append((m.start(3), m.end(3), "surname", value))
+    if not full:
+        return alone
+    persons: dict[str, list[tuple[int, str, str]]] = {}  # a name as written: where, and of whom
+    for start, end, kind, value in sorted(full):
+        for part, name in zip(("given", "last"), text[start:end].split(" ", 1), strict=True):
+            persons.setdefault(name, []).append((start, f"{kind}/{part}", value))
+    found, taken = list(full), sorted((s[0], s[1]) for s in full)
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(persons, key=len, reverse=True))) + r")(?!\w)", text):
+        at = bisect.bisect_right(taken, (m.start(), len(text))) - 1
+        if at < 0 or m.start() >= taken[at][1]:
+            before = [p for p in persons[m[0]] if p[0] < m.start()]
+            if before:
+                found.append((m.start(), m.end(), *before[-1][1:]))
+    mentions = {s[0] for s in found}
+    return found + [s for s in alone if s[0] not in mentions]
+
+
 def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -180,7 +238,7 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
         valid = _luhn(value) == 0
         return body + str(check if valid else (check + 1 + draws.below(9)) % 10)
     if kind == "phone":
-        country = value[:2] if value[0] == "+" else ""
+        country = value[: 1 + next((n for n in (1, 2) if value[1 : 1 + n] in CALLING), 3)] if value[0] == "+" else ""
         return country + draws.like(value[len(country) :])
     if kind == "iban":
         body = draws.like(value[4:])
@@ -188,22 +246,48 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     if kind == "secret":
         value += "0" * wider
         return draws.hexadecimal(value) if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else draws.like(value)
-    if kind == "name":
+    if kind == "ipv6":
+        return re.sub("[0-9a-f]+", lambda m: f"{1 + draws.below(16 ** len(m[0]) - 1):x}", value)
+    if kind == "birth":
+        return _another_day(value, draws)
+    if kind == "street":
+        word = "-".join(STREETS[draws.below(len(STREETS))] for _ in range(1 + (wider > 0)))
+        number = draws.like(re.sub(r"[^0-9]", "", value))
+        if value[0].isdigit():
+            return f"{number} {word} {value.split()[-1]}"
+        return f"{word}{re.search('straße|strasse|gasse', value)[0]} {number}"
+    if kind == "surname":
+        names = SURNAMES["cyrillic" if _cyrillic(value) else "latin", "m"]
+        return "-".join(names[draws.below(len(names))] for _ in range(1 + attempt)).lower()
+    if kind.startswith("name"):
         given, _, _ = value.partition(" ")
-        who = GENDER.get(given, ("latin", "f"))
+        who = GENDER.get(given, ("cyrillic" if _cyrillic(value) else "latin", kind[5:] or "fm"[Draws(key, "gender", given).below(2)]))
         found = f"{GIVEN[who][draws.below(len(GIVEN[who]))]} {SURNAMES[who][draws.below(len(SURNAMES[who]))]}"
         more = [SURNAMES[who][draws.below(len(SURNAMES[who]))] for _ in range(attempt)]
         return "-".join([found, *more]).lower()
     return draws.like(value)
 
 
+def _cyrillic(text: str) -> bool:
+    return any("а" <= c <= "я" or c == "ё" for c in text.lower())
+
+
+def _another_day(date: str, draws: Draws) -> str:
+    """Another day within six years, of the same format."""
+    numbers = re.findall("[0-9]+", date)
+    year = max(numbers, key=len)
+    new = [str(int(year) - 6 + draws.below(13)).zfill(4) if n is year else str(1 + draws.below(12 if len(n) > 1 else 9)).zfill(len(n)) for n in numbers]
+    parts = iter(new)
+    return re.sub("[0-9]+", lambda _: next(parts), date)
+
+
 def spelt(kind: str, new: str, place: str) -> str:
     """A surrogate's normal form in the spelling of a place."""
-    if kind == "name":
+    if kind.startswith(("name", "surname")):
         return new.upper() if place.isupper() else re.sub(r"\w+", lambda m: m[0].capitalize(), new)
     if kind == "email":
         return new.upper() if place.isupper() else new
-    if kind in ("ip", "secret"):
+    if kind in ("ip", "ipv6", "secret", "birth", "street"):
         return new
     rest = iter(new.lstrip("+"))
     out = "".join(next(rest, "") if c.isalnum() else c for c in place)
@@ -213,7 +297,7 @@ def spelt(kind: str, new: str, place: str) -> str:
 def _found(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, kind, value) for i, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for kind, value in sorted({s[2:] for s in spans(t)})]
+            rows = [(i, k, kind, value) for i, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for kind, value in sorted({(s[2].partition("/")[0], s[3]) for s in spans(t)})]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "key", "kind", "value"])
 
@@ -249,7 +333,9 @@ def mapping(found: DataFrame, key: bytes, draw=surrogate) -> DataFrame:
 def replaced(docs: DataFrame, key: bytes) -> DataFrame:
     """docs(doc_id, text) to (doc_id, text, n_replaced) with surrogates in the texts."""
     found = written(_found(docs), "entities")
-    known = found.join(mapping(found, key), ["kind", "value"])
+    often = found.groupBy("kind", "value").agg(F.count("*").alias("many"))
+    new = mapping(found, key).join(often, ["kind", "value"])
+    known = join_frequent(found, new, ["kind", "value"], found.count())
     of_doc = known.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set(F.struct("kind", "value", "new")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +347,11 @@ def replaced(docs: DataFrame, key: bytes) -> DataFrame:
                     new = {(e["kind"], e["value"]): e["new"] for e in entries}
                     out, at = [], 0
                     for start, end, kind, value in spans(text):
-                        out += [text[at:start], spelt(kind, new[kind, value], text[start:end])]
+                        kind, _, part = kind.partition("/")
+                        whole = new[kind, value]
+                        if part:
+                            whole = whole.split(" ", 1)[part == "last"]
+                        out += [text[at:start], spelt(kind, whole, text[start:end])]
                         at, n = end, n + 1
                     text = "".join([*out, text[at:]])
                 texts.append(text)

@@ -9,8 +9,8 @@ threshold. Cosines close to it are taken again from the vectors as they came.
 Of a square the task returns no pairs: for each vector, how many it links with, and a name for the part of the square's
 link graph that it is in. Those names are the edges of which components are drawn.
 
-Vectors that are null, zero, or hold nulls or non-finite numbers link with nothing, and neither do those of another than
-the most frequent length (of equally frequent ones, the greatest), nor rows with a null vec_id, whose component is null.
+Vectors that are null, zero, or hold nulls or non-finite numbers link with nothing, and neither do rows with a null vec_id,
+whose component is null. Vectors of different lengths don't link; each length is compared by itself.
 Repeated rows are vectors of their own; rows of one vec_id are one node. No rows give no rows.
 """
 
@@ -110,38 +110,43 @@ def principal_axes(vectors: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh(total.reshape(width, width))[1][:, ::-1].copy()
 
 
-def grouped_vectors(table: DataFrame, threshold: float = 0.9, tile: int = TILE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of table(vec_id, embedding)."""
-    numbers = table.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    valid = numbers.where(F.col("vec_id").isNotNull() & fine)
-    usual = valid.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).limit(1).collect()
-    width = usual[0].width if usual else 0
-    valid = valid.where(F.size("embedding") == width)
-    classes = written(valid.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("many")), "tiles-classes")
-    axes = principal_axes(classes, width) if width else np.zeros((0, 0))
-    tiles = max(1, -(-classes.count() // tile))
+def reaches(bounds: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last tile that each tile meets, by the bounds of the tiles' first components: angles from the
+    first axis that differ more than the threshold's keep the cosine below it. Both ends rise from tile to tile."""
+    edges = np.arccos(np.clip(np.concatenate([[-1.0], bounds, [1.0]]), -1, 1))  # falling
+    reach, tiles = np.arccos(threshold) + 1e-6, len(edges) - 1
+    last = np.searchsorted(-edges[:-1], reach - edges[1:], side="right") - 1
+    first = np.searchsorted(-edges[1:], -(edges[:-1] + reach), side="left")
+    return np.minimum(first, np.arange(tiles)), np.maximum(last, np.arange(tiles))
+
+
+def _links(classes: DataFrame, width: int, n: int, threshold: float, tile: int) -> DataFrame:
+    """(u, v, n): a name v and a number n of links of the class u, from each square that has any; classes has embedding, id, many."""
+    axes = principal_axes(classes, width)
+    tiles = max(1, -(-n // tile))
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"first": _units(_array(batch.column(0), width)) @ axes[:, 0]})
+
+    bounds = np.zeros(0)
+    if tiles > 1:
+        ranks = [i / tiles for i in range(1, tiles)]
+        firsts = classes.select("embedding").mapInArrow(leading, "first double")
+        bounds = np.array(firsts.select(F.percentile_approx("first", ranks, 100 * tiles)).first()[0])
+    meets = reaches(bounds, threshold)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = _units(_array(batch.column(0), width)) @ axes[:, 0] if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], names=["embedding", "id", "many", "first"])
-
-    placed = classes.select("embedding", "id", "many").mapInArrow(place, "embedding array<double>, id long, many long, first double") if width else classes.withColumn("first", F.lit(0.0))
-    bounds = placed.select(F.percentile_approx("first", [i / tiles for i in range(1, tiles)], 100 * tiles)).first()[0] if tiles > 1 else []
-    bounds = bounds or []
-    edges = np.arccos(np.clip([-1.0, *bounds, 1.0], -1, 1))  # falling angles from the first axis
-    reach = np.arccos(threshold) + 1e-6
-    meets = {i: [j for j in range(i, tiles) if edges[i + 1] - edges[j] <= reach] for i in range(tiles)}
-    span = {i: max(j) - i for i, j in meets.items()}  # tiles after i that it meets: they are consecutive
-    mine = F.lit(0)
-    for b in bounds:
-        mine = mine + (F.col("first") > b).cast("int")
-    ahead = F.create_map(*[F.lit(x) for i, n in span.items() for x in (i, n)])
-    behind = F.create_map(*[F.lit(x) for j in range(tiles) for x in (j, sum(1 for i in range(j) if j in meets[i]))])
-    tiled = placed.withColumn("tile", mine).drop("first")
-    as_left = tiled.withColumn("other", F.explode(F.sequence(F.col("tile"), F.col("tile") + ahead[F.col("tile")]))).select(F.col("tile").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "id", "many", "embedding")
-    as_right = tiled.where(behind[F.col("tile")] > 0).withColumn("other", F.explode(F.sequence(F.col("tile") - behind[F.col("tile")], F.col("tile") - 1))).select(F.col("other").alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"), "id", "many", "embedding")
+            if batch.num_rows:
+                mine = np.searchsorted(bounds, _units(_array(batch.column(0), width)) @ axes[:, 0])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int32()) for x in (mine, meets[0][mine], meets[1][mine]))], names=["embedding", "id", "many", "tile", "low", "high"])
+
+    tiled = classes.select("embedding", "id", "many").mapInArrow(place, "embedding array<double>, id long, many long, tile int, low int, high int")
+    as_left = tiled.withColumn("other", F.explode(F.sequence("tile", "high"))).select(F.col("tile").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "id", "many", "embedding")
+    before = tiled.where("low < tile").withColumn("other", F.explode(F.sequence(F.col("low"), F.col("tile") - 1)))
+    as_right = before.select(F.col("other").alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"), "id", "many", "embedding")
 
     def compare(group: pa.Table) -> pa.Table:
         side, ids, many = (group.column(c).to_numpy() for c in ("side", "id", "many"))
@@ -162,8 +167,20 @@ def grouped_vectors(table: DataFrame, threshold: float = 0.9, tile: int = TILE)
         u, v, n = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
         return pa.table({"u": u.astype(np.int64), "v": v.astype(np.int64), "n": n.astype(np.int64)})
 
-    found = written(as_left.unionAll(as_right).groupBy("i", "j").applyInArrow(compare, "u long, v long, n long"), "tiles-links") if width else None
-    rows = numbers.select("vec_id", F.when(F.col("vec_id").isNotNull() & fine & (F.size("embedding") == width), F.col("embedding")).alias("embedding"))
+    return written(as_left.unionAll(as_right).groupBy("i", "j").applyInArrow(compare, "u long, v long, n long"), "tiles-links")
+
+
+def grouped_vectors(table: DataFrame, threshold: float = 0.9, tile: int = TILE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row of table(vec_id, embedding)."""
+    numbers = table.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    valid = numbers.where(F.col("vec_id").isNotNull() & fine)
+    classes = written(valid.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("many")), "tiles-classes")
+    found = None
+    for width, n in sorted(classes.groupBy(F.size("embedding")).count().collect()):
+        some = _links(classes.where(F.size("embedding") == width), width, n, threshold, tile)
+        found = some if found is None else found.unionAll(some)
+    rows = numbers.select("vec_id", F.when(F.col("vec_id").isNotNull() & fine, F.col("embedding")).alias("embedding"))
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     counts = found.groupBy("u").agg(F.sum("n").alias("n"))

@@ -2,25 +2,24 @@
 
 Both tokenizers cut a text at white space before they merge, so a text may be split at every single space between two
 other characters, and each piece encoded by itself, with its space before it. A worker keeps the ids of the pieces it
-has met, under 64-bit hashes that are taken of all pieces of some texts at once, as most words come again. A new piece
-that is letters and then signs goes to the tokenizer's model as those two; any other goes through the whole tokenizer.
-A text whose spaces stand beside other white space is split with more care.
+has met, by their bytes, as most words come again. A new piece that is letters and then signs goes to the tokenizer's
+model as those two; any other goes through the whole tokenizer. A text whose spaces stand beside other white space is
+split with more care.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from itertools import repeat
 
 import numpy as np
 
 #: Pieces that a worker remembers; the longest, in characters, of those that go to the model themselves.
-REMEMBERED, LONGEST = 2_000_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 #: Bytes of texts that are encoded together.
 TOGETHER = 2_000_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _workers: dict[str, Encoder] = {}
@@ -45,17 +44,13 @@ class Encoder:
             self.lower = '"Lowercase"' in json.dumps(json.load(f)["normalizer"])
         self.letters = _byte_letters()
         self.spaced = "" if self.lower else self.letters[0x20]  # the lower-casing one drops white space
-        steps = np.full(TOGETHER + 1, _BASE, np.uint64)
-        steps[0] = 1
-        self.powers = np.cumprod(steps)
-        steps[1:] = pow(int(_BASE), -1, 1 << 64)
-        self.inverse = np.cumprod(steps)
         self.words: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # of known pieces, ascending
-        self.firsts = np.zeros(0, np.int64)  # their ids in pool
+        self.inner: dict[bytes, int] = {}  # known pieces with a space before them, and their places in what follows
+        self.heads: dict[bytes, int] = {}  # and those that texts begin with
+        self.firsts = np.zeros(0, np.int64)  # the pieces' ids in pool
         self.counts = np.zeros(0, np.int64)  # -1: white space starts or ends the piece, or it is empty
         self.pool = np.zeros(1 << 16, "<u4")
         self.used = 0
@@ -75,7 +70,7 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> list[list[int] | None]:
         """Ids of the pieces with a space before them; None of those that white space starts or ends, and of the empty one."""
-        if len(self.words) > REMEMBERED // 10:
+        if len(self.words) > REMEMBERED // 4:
             self.words.clear()
         found: list = [None] * len(pieces)
         others = []
@@ -91,32 +86,38 @@ class Encoder:
             found[i] = ids
         return found
 
-    def _slots(self, keys: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray, heads: np.ndarray) -> np.ndarray:
-        """Places of distinct ascending keys among the known; unknown ones are learnt. A head has no space before it."""
-        if len(self.keys) > REMEMBERED:
-            self._forget()
-        at = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(at == len(self.keys)) if not len(self.keys) else np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys)
-        if not len(new):
-            return at
-        pieces = [data[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-        ids: list = [None] * len(new)
-        inner = np.flatnonzero(~heads[new]).tolist()
-        for i, x in zip(inner, self._learn([pieces[i] for i in inner]), strict=True):
-            ids[i] = x
-        first = [i for i in np.flatnonzero(heads[new]).tolist() if not pieces[i][-1:].isspace()]
-        for i, x in zip(first, self._whole([pieces[i] for i in first]), strict=True):
-            ids[i] = x
-        counts = np.array([-1 if x is None else len(x) for x in ids])
+    def _keep(self, known: dict[bytes, int], pieces: list[bytes], ids: list[list[int] | None]) -> None:
+        counts = np.array([-1 if x is None else len(x) for x in ids], np.int64)
         more = np.array([y for x in ids if x for y in x], "<u4")
         while self.used + len(more) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[self.used : self.used + len(more)] = more
-        firsts = self.used + np.concatenate([[0], np.cumsum(np.maximum(counts, 0))[:-1]])
+        firsts = self.used + np.concatenate([[0], np.cumsum(np.maximum(counts, 0))[:-1]]).astype(np.int64)
         self.used += len(more)
-        self.keys = np.insert(self.keys, at[new], keys[new])
-        self.firsts, self.counts = np.insert(self.firsts, at[new], firsts), np.insert(self.counts, at[new], counts)
-        return np.searchsorted(self.keys, keys)
+        known.update(zip(pieces, range(len(self.counts), len(self.counts) + len(pieces)), strict=True))
+        self.firsts, self.counts = np.append(self.firsts, firsts), np.append(self.counts, counts)
+
+    def _slots(self, pieces: list[bytes], firsts: list[int]) -> np.ndarray:
+        """The pieces' places among the known; unknown ones are learnt. Those at firsts have no space before them."""
+        if len(self.counts) > REMEMBERED:
+            self._forget()
+        heads = [pieces[i] for i in firsts]
+        fresh = list({p for p in heads if p not in self.heads})
+        if fresh:
+            texts = [p.decode() for p in fresh]
+            good = [i for i, t in enumerate(texts) if not t[-1:].isspace()]
+            ids: list = [None] * len(fresh)
+            for i, x in zip(good, self._whole([texts[i] for i in good]), strict=True):
+                ids[i] = x
+            self._keep(self.heads, fresh, ids)
+        slot = np.fromiter(map(self.inner.get, pieces, repeat(-1)), np.int64, len(pieces))
+        slot[firsts] = [self.heads[p] for p in heads]
+        missing = np.flatnonzero(slot < 0).tolist()
+        if missing:
+            fresh = list({pieces[i] for i in missing})
+            self._keep(self.inner, fresh, self._learn([p.decode() for p in fresh]))
+            slot[missing] = [self.inner[pieces[i]] for i in missing]
+        return slot
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; memory follows the longest text or TOGETHER bytes."""
@@ -144,20 +145,9 @@ class Encoder:
     def _together(self, texts: list[bytes]) -> list[np.ndarray]:
         if not texts:
             return []
-        data = b" ".join(texts)
-        raw = np.frombuffer(data, np.uint8)
-        ends = np.append(np.flatnonzero(raw == 0x20), len(raw))
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * self.powers[: len(raw)])])
-        keys = (sums[ends] - sums[starts]) * self.inverse[starts]
-        keys = (keys ^ (keys >> np.uint64(29))) * _BASE
-        of_text = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        firsts = np.searchsorted(starts, of_text[:-1])  # each text's first piece
-        heads = np.zeros(len(starts), bool)
-        heads[firsts] = True
-        keys[firsts] = ~keys[firsts]
-        distinct, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        slot = self._slots(distinct, data, starts[where], ends[where], heads[where])[inverse]
+        pieces = b" ".join(texts).split(b" ")
+        firsts = np.cumsum([0, *(t.count(b" ") + 1 for t in texts[:-1])])  # each text's first piece
+        slot = self._slots(pieces, firsts.tolist())
         counts = self.counts[slot]
         odd = np.minimum.reduceat(counts, firsts) < 0
         counts = np.maximum(counts, 0)

@@ -1,31 +1,24 @@
 """Words of many texts at once: their bytes, hashes of 64 bits, and hashes of runs of words.
 
-Words are runs of other than ASCII white space (0x20, 0x09 to 0x0D). Hashes are polynomials over 2**64 in odd bases,
-from running sums, and then mixed; they depend on nothing but the bytes.
+Words are runs of other than ASCII white space (0x20, 0x09 to 0x0D). A word's hash is SipHash under a fixed key; the hash
+of a run mixes those of its halves, over and over. They depend on nothing but the bytes, and, unlike polynomials over
+2**64, don't agree for texts with a pattern.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
-#: Bases of independent hashes.
+#: Keys of independent word hashes, and odd factors of the hashes of runs.
+KEYS = ("loom-of-words-01", "loom-of-words-02")
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Words that are hashed together.
+PORTION = 500_000
 #: Bytes of texts that are taken together; a longer text is taken by itself.
 TOGETHER = 2_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        steps = np.full(max(n, TOGETHER + 1), base, np.uint64)
-        steps[0] = 1
-        up = np.cumprod(steps)
-        steps[1:] = pow(base, -1, 1 << 64)
-        _powers[base] = up, np.cumprod(steps)
-    return _powers[base]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -48,9 +41,12 @@ class Words:
         self.bounds = np.searchsorted(self.starts, at)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        up, down = _table(BASES[which], len(self.raw) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.raw + np.uint64(1)) * up[: len(self.raw)])])
-        return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        out = np.zeros(len(self.starts), np.uint64)
+        for i in range(0, len(out), PORTION):
+            some = self.data[self.starts[i] : self.ends[min(i + PORTION, len(out)) - 1]].split()
+            codes, distinct = pd.factorize(np.array(some, object))
+            out[i : i + PORTION] = pd.util.hash_array(distinct, hash_key=KEYS[which], categorize=False)[codes]
+        return out
 
     def of_words(self) -> np.ndarray:
         """Each word's text."""
@@ -61,11 +57,17 @@ def runs(hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """Hashes of the n words from each word on; the last n - 1 have none."""
     if len(hashes) < n:
         return hashes[:0]
-    base = np.uint64(BASES[which])
-    out = np.zeros(len(hashes) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * base + hashes[i : len(hashes) - n + 1 + i]
-    return mixed(out)
+    base, count = np.uint64(BASES[which]), len(hashes) - n + 1
+    out, at, step = None, 0, 1
+    while True:  # hashes are those of step words here
+        if n & step:
+            part = hashes[at : at + count]
+            out = part if out is None else mixed(out * base + part)
+            at += step
+        if 2 * step > n:
+            return mixed(out + np.uint64(n))
+        hashes = mixed(hashes[:-step] * base + hashes[step:])
+        step *= 2
 
 
 def grouped(texts: list[bytes], together: int = TOGETHER):

@@ -89,6 +89,48 @@ def test_numbers_next_to_a_telephone_number(after, kind):
         assert surrogates.spans(whole) == [(0, len(whole), "phone", "+" + "".join(c for c in whole if c.isdigit()))]
 
 
+#: Sentences of our own: what is personal in them.
+LABELLED = [
+    ("Anna Berg met us. Later Berg said no, and Anna left.", ["Anna Berg", "Berg", "Anna"]),
+    ("Dr. Wei Zhang spoke; Mrs. Priya Sharma listened, and Sharma wrote.", ["Wei Zhang", "Priya Sharma", "Sharma"]),
+    ("Frau Okafor bat Herr Lindgren um Geduld.", ["Okafor", "Lindgren"]),
+    ("She was born on 12/03/1987 and has passport number K1234567.", ["12/03/1987", "K1234567"]),
+    ("Geboren am 07.11.1975, wohnhaft Lindenstraße 12.", ["07.11.1975", "Lindenstraße 12"]),
+    ("He lives at 221 North Baker Street near the river.", ["221 North Baker Street"]),
+    ("The host 2001:db8:0:1::42 answers, and 10.2.3.4 too.", ["2001:db8:0:1::42", "10.2.3.4"]),
+    ("Call +49 151 1234 5678 or +353 86 555 0199.", ["+49 151 1234 5678", "+353 86 555 0199"]),
+    ("Иван Петров приехал. Петров устал.", ["Иван Петров", "Петров"]),
+    ("The Garden Street Band plays std::vector at 12:30:45 in May.", []),
+    ("Berg and Anna are words before any full name; Prices rose in 1987.", []),
+]
+
+
+def test_surrogates_find_what_is_labelled():
+    for text, expected in LABELLED:
+        assert [text[s[0] : s[1]] for s in surrogates.spans(text)] == expected
+    spans = surrogates.spans(LABELLED[0][0])
+    assert {s[3] for s in spans} == {"anna berg"} and [s[2] for s in spans] == ["name", "name/last", "name/given"]
+
+
+def test_surrogates_keep_country_codes_and_forms():
+    for value, code in (("+4915112345678", "+49"), ("+353865550199", "+353"), ("+18265554081", "+1"), ("+79261234567", "+7")):
+        assert surrogates.surrogate("phone", value, 0, b"k").startswith(code)
+    assert len({surrogates.surrogate("phone", "+4915112345678", 0, bytes([i]))[3:5] for i in range(9)}) > 3
+    born = surrogates.surrogate("birth", "12/03/1987", 0, b"k")
+    assert len(born) == 10 and born[2] == born[5] == "/" and 1981 <= int(born[6:]) <= 1993
+    assert surrogates._is_ipv6(surrogates.surrogate("ipv6", "2001:db8:0:1::42", 0, b"k"))
+    assert surrogates.surrogate("street", "Lindenstraße 12", 0, b"k").split("straße ")[1].isdigit()
+    assert surrogates.surrogate("name:m", "wei zhang", 0, b"k").split()[0].capitalize() in surrogates.GIVEN["latin", "m"]
+
+
+def test_mentions_of_a_person_agree(spark):
+    docs = spark.createDataFrame([(1, "Anna Berg came. Berg sat; Anna sang."), (2, "ANNA BERG again"), (3, None)], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in surrogates.replaced(docs, b"k").collect()}
+    given, last = texts[1].split(" came")[0].split(" ", 1)
+    assert texts[1] == f"{given} {last} came. {last} sat; {given} sang." and texts[2] == f"{given} {last} again".upper().replace("AGAIN", "again")
+    assert "Berg" not in texts[1] and given in surrogates.GIVEN["latin", "f"] and texts[3] is None
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(1, 0, "secret", f"v{i}") for i in range(40)]
     found = spark.createDataFrame(rows, "doc_id long, key long, kind string, value string")

@@ -186,6 +186,17 @@ def test_vectors_in_groups(spark):
     assert got == vector_groups(rows)
 
 
+def test_tiles_that_meet():
+    bounds = np.sort(np.random.default_rng(1).normal(0, 0.4, 5_000).clip(-1, 1))
+    first, last = tiles.reaches(bounds, 0.9)
+    edges, reach = np.arccos(np.concatenate([[-1.0], bounds, [1.0]])), np.arccos(0.9) + 1e-6
+    for i in (0, 17, 2_500, 4_999, 5_000):
+        meets = np.flatnonzero(edges[i + 1] - edges[i:-1] <= reach) + i
+        assert (meets[0], meets[-1]) == (i, last[i])
+        met = np.flatnonzero(edges[1 : i + 2] - edges[i] <= reach)
+        assert (met[0], met[-1]) == (first[i], i)
+
+
 def test_vectors_of_a_whole_table(spark, sf):
     rows = duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet'").fetchall()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op4_tiles(spark, sf).collect()} == vector_groups(rows)
@@ -193,12 +204,12 @@ def test_vectors_of_a_whole_table(spark, sf):
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (2, [2.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (None, [1.0, 0.0]), (10, [1e-30, 0.0])]
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (2, [2.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (11, [3.0]), (None, [1.0, 0.0]), (10, [1e-30, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(None).cast("int")).withColumn("id", F.lit(1))
     got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in tiles.grouped_vectors(df).collect()), key=str)
     assert len(got) == len(rows)
     linked = {g for g in got if g[1]}
-    assert linked == {(1, 3, 1, True), (2, 3, 1, False), (10, 3, 1, False)}
+    assert linked == {(1, 3, 1, True), (2, 3, 1, False), (10, 3, 1, False), (9, 1, 9, True), (11, 1, 9, False)}
     assert (0, 0, None, True) in got
     assert tiles.grouped_vectors(df.limit(0)).count() == 0
     assert tiles.grouped_vectors(df.where("vec_id = 4")).collect()[0].kept
@@ -211,6 +222,26 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def patterned():
+    """Two words of 1,024 letters that polynomials over 2**64 can't tell apart, whatever their odd base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return one, one.translate({97: 98, 98: 97})
+
+
+def test_patterned_words_are_told_apart(spark):
+    one, other = patterned()
+    hashes = words.Words([f"{one} {other}".encode()]).hashes()
+    assert hashes[0] != hashes[1]
+    sequence = np.array([bin(i).count("1") % 2 for i in range(2048)])
+    a, b = (words.runs(hashes[s], 2048) for s in (sequence, 1 - sequence))
+    assert a[0] != b[0] and (words.runs(hashes[sequence], 20) == [words.runs(hashes[sequence[i : i + 20]], 20)[0] for i in range(2029)]).all()
+    tail = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{other} {tail}")], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.deduplicated(docs).collect()] == [0, 0]
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert {r.component_id for r in forest.grouped_documents(docs).collect()} == {1, 2}
+
+
 def test_words_split_like_bytes():
     rows = [b"", b" a\tb\x0bc\x1cd ", "é x".encode(), b"one"]
     w = words.Words(rows)

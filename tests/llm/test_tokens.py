@@ -46,6 +46,16 @@ def test_encoder_on_any_spaces(path, some):
     assert [x.tolist() for x in tokenise.encoder(path)(some)] == plain(path, some)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_patterned_pieces_are_told_apart(path):
+    """Words that polynomials over 2**64 can't tell apart."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate({97: 98, 98: 97})
+    texts = [one, other, f"x {one}", f"x {other}"]
+    expected = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tokenise.Encoder(path)(texts)] == expected
+
+
 def test_texts_beyond_a_batch(monkeypatch):
     encode = tokenise.Encoder(BYTES)
     monkeypatch.setattr(tokenise, "TOGETHER", 100)
