@@ -130,43 +130,65 @@ def _most(longer: Column, least: float) -> Column:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of classes that are similar; most of them in so few edits that a narrower band
-    of the distances, which takes the time of its width, shows it."""
-    met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    """Pairs (a, b) of classes that are similar.
+
+    Edits of k words are k * (widest + 1) edits of characters at most, so few edits of the signs show that a pair is
+    similar, in a fraction of the time; two are allowed for words that share a sign. All other pairs are compared by
+    their characters, in bands that widen, as a comparison takes the time of its band's width.
+    """
+    left, right = (texts.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "text", "signs", "widest"))) for side in "ab")
+    met = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(tasks, "a", "b")  # few bytes and much work, which would else be put together into few tasks
     met = met.withColumn("most", _most(F.greatest(F.char_length("text_a"), F.char_length("text_b")), least))
-    similar = " or ".join(f"levenshtein(text_a, text_b, cast(most / {n} as int)) >= 0" for n in (64, 16, 4, 2, 1))
-    return met.where(F.expr(similar)).select("a", "b")
+    met = met.withColumn("words", F.floor(F.col("most") / (F.greatest("widest_a", "widest_b") + 1)).cast("int") - 2)
+    by_words = "words > 0 and levenshtein(signs_a, signs_b, greatest(words, 0)) >= 0"
+    by_letters = (f"levenshtein(text_a, text_b, cast(most / {n} as int)) >= 0" for n in (64, 16, 4, 2, 1))
+    return met.where(F.expr(" or ".join([by_words, *by_letters]))).select("a", "b")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, text, sim, size) of the classes in ids(id), from their first lines."""
+    """(id, text, sim, size, signs, widest) of the classes in ids(id), from their first lines: signs has a character for
+    each word, and widest is the longest word's length."""
     needed = ids.join(classes.select("id", "first.*"), "id")
     of_doc = needed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("line", "id")).alias("wanted"))
     whole = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), "text")
     met = whole.join(of_doc, whole.d.eqNullSafe(of_doc.doc_id) & (whole.k == of_doc.key)).dropDuplicates(["d", "k"])
     raw = met.select(F.split("text", "\n").alias("raw"), "wanted").select("raw", F.explode("wanted").alias("w"))
     words = raw.select("w.id", line_words(F.get("raw", F.col("w.line"))).alias("words"))
-    return words.select("id", F.array_join("words", " ").alias("text"), simhash(F.col("words")).alias("sim")).withColumn("size", F.char_length("text"))
+    sign = F.array_join(F.transform("words", _sign), "").alias("signs")
+    widest = F.array_max(F.transform("words", lambda w: F.char_length(w))).alias("widest")
+    rows = words.select("id", F.array_join("words", " ").alias("text"), simhash(F.col("words")).alias("sim"), sign, widest)
+    return rows.withColumn("size", F.char_length("text"))
+
+
+def _sign(word: Column) -> Column:
+    """One of 20,992 characters for a word."""
+    return F.decode(F.unhex(F.hex(F.pmod(F.xxhash64(word), F.lit(0x5200)) + 0x4E00)), "UTF-16BE")
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, key, line, h1, h2) and their classes (id, h1, h2, first, many, keys), both written."""
-    known = docs.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    words = known.select("doc_id", "key", "line", line_words(F.col("raw")).alias("words")).where(F.size("words") > 0)
+    # words are made before the lines are told apart: a filter on them would make them twice
+    known = docs.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.transform(F.split("text", "\n"), line_words)).alias("line", "words"))
+    words = known.where(F.size("words") > 0)
     lines = with_keys(words).select("doc_id", "key", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.col("words")).alias("h2"), "keys")
-    lines = written(lines, "lines")
-    grouped = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.count("*").alias("many"), F.first("keys").alias("keys"))
+    keyed = written(lines, "lines-keys")
+    grouped = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.count("*").alias("many"), F.first("keys").alias("keys"))
     classes = written(grouped.withColumn("id", F.monotonically_increasing_id()), "lines-classes")
+    lines = written(keyed.drop("keys"), "lines")
+    discard(keyed)
     return lines, classes
 
 
-def linked(docs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(node, component) of the classes that have links."""
+def linked(docs: DataFrame, classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the classes that have links, and the classes without keys; the classes as they came are deleted."""
     keyed = classes.where("id is not null").select("id", F.explode("keys").alias("bucket")).where("bucket is not null").repartition("bucket")
     shared = keyed.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1")
     members = written(keyed.join(shared, "bucket").select("bucket", "id", "least"), "lines-buckets")
+    keyless = written(classes.drop("keys"), "lines-classes")
+    discard(classes)
+    classes = keyless
     texts = written(_texts(docs, members.select("id").distinct(), classes), "lines-texts")
     known = texts.select("id", "sim", "size")
     star = members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
@@ -184,13 +206,13 @@ def linked(docs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     found = written(components(edges, "lines-components"), "lines-groups")
     for table in (members, texts, links, regions):
         discard(table)
-    return found
+    return found, classes
 
 
 def removals(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, key, gone): of each document that loses lines, their numbers from 0; key is xxhash64(text)."""
     lines, classes = line_classes(docs)
-    groups = linked(docs, classes, least)
+    groups, classes = linked(docs, classes, least)
     firsts = classes.select("id", "h1", "h2", "first", "many").join(groups, classes.id == groups.node, "left")
     stays = firsts.where("component is not null").groupBy("component").agg(F.min(F.struct("first", "id")).alias("s")).select(F.col("s.id").alias("stay"))
     firsts = firsts.join(stays, firsts.id == stays.stay, "left").withColumn("lost", F.col("component").isNotNull() & F.col("stay").isNull())

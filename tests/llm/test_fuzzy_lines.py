@@ -70,7 +70,7 @@ def test_whole_table_against_all_pairs(spark, sf, classes, similar):
     place = {(r.doc_id, r.line): r.id for r in found.select("first.*", "id").collect()}
     assert len(place) == len(first)
     ids = {line: place[at] for line, at in first.items()}
-    groups = {r.node: r.component for r in fuzzy_lines.linked(docs, found, 0.8).collect()}
+    groups = {r.node: r.component for r in fuzzy_lines.linked(docs, found, 0.8)[0].collect()}
     met = sum(groups.get(ids[a], ids[a]) == groups.get(ids[b], ids[b]) for a, b in similar)
     assert len(similar) >= 25 and met >= 0.9 * len(similar)
     truth, lines = roots((ids[a], ids[b]) for a, b in similar), {i: line for line, i in ids.items()}
@@ -85,7 +85,7 @@ def test_what_goes_follows_from_the_groups(spark, sf, classes):
     _, found = fuzzy_lines.line_classes(docs)
     place = {r.id: (r.doc_id, r.line) for r in found.select("first.*", "id").collect()}
     ids = {at: i for i, at in place.items()}
-    groups = {r.node: r.component for r in fuzzy_lines.linked(docs, found, 0.8).collect()}
+    groups = {r.node: r.component for r in fuzzy_lines.linked(docs, found, 0.8)[0].collect()}
     stays: dict[int, tuple[int, int]] = {}
     for i, c in groups.items():
         stays[c] = min(stays.get(c, place[i]), place[i])
