@@ -380,9 +380,9 @@ def extreme_lengths(spark, sf):
     return stats.extreme_values(_sequences(spark, sf).select(F.size("seq").cast("long").alias("len")), "len")
 
 
-@query(f"WITH {VEC}, d AS (SELECT a.seq_id AS i, b.seq_id AS j, round(list_sum([abs(a.v[i] - b.v[i]) FOR i IN range(1, 65)]), 6) AS dist FROM ve a JOIN ve b ON b.label = a.label AND a.label = 1 AND a.seq_id < b.seq_id), r AS (SELECT i, j, rank() OVER (ORDER BY -dist) + (count(*) OVER (PARTITION BY dist) - 1) / 2.0 AS rank FROM d) SELECT i, j, rank FROM r UNION ALL SELECT j, i, rank FROM r")
+@query(f"WITH {VEC}, d AS (SELECT a.seq_id AS i, b.seq_id AS j, round(list_sum([abs(a.v[i] - b.v[i]) FOR i IN range(1, 65)]), 6) AS dist FROM ve a JOIN ve b ON b.label = a.label AND a.seq_id < b.seq_id), r AS (SELECT i, j, rank() OVER (ORDER BY -dist) + (count(*) OVER (PARTITION BY dist) - 1) / 2.0 AS rank FROM d) SELECT i, j, rank FROM r UNION ALL SELECT j, i, rank FROM r")
 def rank_matrix(spark, sf):
-    rows = pairs.in_group(tables.vectors(spark, sf).where("label = 1"), "seq_id", "label", ["v"])
+    rows = pairs.in_group(tables.vectors(spark, sf), "seq_id", "label", ["v"])
     return stats.rank_matrix(rows.select("i", "j", F.round(distances.l1(F.col("v_i"), F.col("v_j")), 6).alias("dist")), "dist")
 
 

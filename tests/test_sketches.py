@@ -173,22 +173,19 @@ def test_alphabets(spark):
         alphabet.alphabet("rna")
 
 
-@pytest.mark.parametrize(("a", "b", "value"), [
-    ([35, 23, 47, 17, 10, 43, 9, 6, 28], [30, 33, 45, 23, 8, 49, 12, 4, 31], 0.9),
-    ([1, 1, 2, 2, 3, 3, 4, 5, 5], [7, 8, 8, 19, 19, 3, 3, 5, 9], -0.19314),
-    ([1, 2, 3], [10, 20, 40], 1.0),
-    ([1, 2, 3], [9, 4, 1], -1.0),
-    ([1, 1], [5, 5], 1.0),
-    ([1, 1], [5, 6], 0.0),
-])
-def test_spearman_goldens(spark, a, b, value):
-    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b, strict=True)], "a double, b double")
-    assert stats.spearman(df, "a", "b").first().spearman == pytest.approx(value, abs=1e-5)
+@pytest.mark.parametrize("distinct", [50, 6])
+def test_spearman_is_the_correlation_of_ranks(spark, distinct):
+    rng = np.random.default_rng(distinct)
+    a = rng.integers(0, distinct, 40).astype(float)
+    b = a + rng.integers(-3, 4, 40)
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a double, b double")
+    rank = lambda x: [(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x]
+    assert stats.spearman(df, "a", "b").first().spearman == pytest.approx(np.corrcoef(rank(a), rank(b))[0, 1], abs=1e-9)
 
 
 def test_ranks_and_curves(spark):
-    df = spark.createDataFrame([(float(x),) for x in (1, 1, 2, 2, 3, 3, 4, 5, 5)], "x double")
-    assert sorted(r.rank for r in stats.fractional_rank(df, "x").collect()) == [1.5, 1.5, 3.5, 3.5, 5.5, 5.5, 7, 8.5, 8.5]
+    df = spark.createDataFrame([(float(x),) for x in (7, 2, 7, 7, 4, 2)], "x double")
+    assert sorted(r.rank for r in stats.fractional_rank(df, "x").collect()) == [1.5, 1.5, 3, 5, 5, 5]
     rows = [(0.1, False), (0.4, True), (0.4, False), (0.9, True)]
     scored = spark.createDataFrame(rows, "s double, p boolean")
     brute = np.mean([(x > y) + 0.5 * (x == y) for x, p in rows if p for y, q in rows if not q])
@@ -196,13 +193,13 @@ def test_ranks_and_curves(spark):
     assert [(r.threshold, r.fpr, r.tpr) for r in stats.roc_curve(scored, "s", "p").orderBy("threshold").collect()] == [(0.1, 1.0, 1.0), (0.4, 0.5, 1.0), (0.9, 0.0, 0.5)]
 
 
-def test_upgma_goldens(spark):
-    matrix = np.array([[0, 17, 21, 31, 23], [17, 0, 30, 34, 21], [21, 30, 0, 28, 39], [31, 34, 28, 0, 43], [23, 21, 39, 43, 0]], float)
+def test_upgma_by_hand(spark):
+    matrix = np.array([[0, 2, 6, 12], [2, 0, 8, 14], [6, 8, 0, 16], [12, 14, 16, 0]], float)
     nodes = phylogeny.upgma(matrix)
-    assert [n[1] for n in nodes] == [0] * 5 + [8.5, 11, 14, 16.5]
-    assert [n[2:4] for n in nodes[5:]] == [(0, 1), (4, 5), (2, 3), (6, 7)]
+    assert [n[1] for n in nodes] == [0, 0, 0, 0, 1, 3.5, 7]  # 2 / 2; (6 + 8) / 2 / 2; (12 + 14 + 16) / 3 / 2
+    assert [set(n[2:4]) for n in nodes[4:]] == [{0, 1}, {2, 4}, {3, 5}]
     assert phylogeny.upgma(np.zeros((0, 0))) == []
-    assert phylogeny.upgma(np.array([[11.5]])) == [(0, 0.0, None, None, 1)]
-    rows = [(7, i, j, float(matrix[i, j])) for i in range(5) for j in range(i)]
+    assert phylogeny.upgma(np.array([[3.0]])) == [(0, 0.0, None, None, 1)]
+    rows = [(7, i, j, float(matrix[i, j])) for i in range(4) for j in range(i)]
     got = phylogeny.trees(spark.createDataFrame(rows, "tree int, i long, j long, dist double")).collect()
-    assert sorted(r.age for r in got)[-4:] == [8.5, 11, 14, 16.5]
+    assert sorted(r.age for r in got)[-3:] == [1, 3.5, 7]
