@@ -3,7 +3,7 @@
 A document's features are which chosen grams its words hold: whole words, and runs of 4 to 7 letters inside them. The
 grams are those that best tell the labels of a bounded sample apart, and a logistic regression weighs them. For each
 labelled sentence that names a group of people, the same sentence with another group of the same kind in its place is a
-counterfactual; the loss adds the squared change of the score between the two, so that weight moves from the group's
+counterfactual; the loss adds the squared change of the score's log-odds between the two, so that weight moves from the group's
 name to what is said of it, and neutral mentions score like any other text.
 
 Nulls: a null text scores like an empty one; null labels, and labels of unknown documents, teach nothing; a null doc_id
@@ -31,20 +31,50 @@ FAIR, RIDGE = 2.0, 1e-4
 #: Words whose grams a worker remembers.
 REMEMBERED = 300_000
 
-#: Names of groups by kind; a counterfactual puts the kind's next name in a name's place.
+#: Names of groups by kind, in four languages; words that are mostly of another sense are left out; a counterfactual puts the kind's next name in a name's place.
 IDENTITIES = (
+    # English
     ("women", "men"),
     ("woman", "man"),
     ("girls", "boys"),
     ("mothers", "fathers"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("black", "white", "asian", "latino", "arab"),
-    ("gay", "straight", "lesbian", "bisexual"),
+    ("asian", "latino", "arab", "african"),
+    ("gay", "lesbian", "bisexual", "heterosexual"),
     ("transgender", "cisgender"),
-    ("immigrants", "natives", "refugees"),
-    ("deaf", "blind", "disabled", "elderly"),
-    ("mexican", "american", "chinese", "african", "german", "french", "spanish", "indian"),
+    ("immigrants", "refugees", "foreigners"),
+    ("deaf", "disabled", "elderly"),
+    ("mexican", "american", "chinese", "german", "french", "spanish", "indian"),
+    # German
+    ("frauen", "männer"),
+    ("mädchen", "jungen"),
+    ("mütter", "väter"),
+    ("muslime", "juden", "buddhisten", "atheisten", "katholiken", "protestanten"),
+    ("muslimische", "jüdische", "christliche", "buddhistische"),
+    ("türken", "polen", "araber", "deutsche", "franzosen", "spanier"),
+    ("schwule", "lesben", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    # French
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("filles", "garçons"),
+    ("mères", "pères"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulmane", "chrétienne", "juive", "hindoue", "bouddhiste", "athée"),
+    ("arabes", "asiatiques", "africains", "allemands", "français", "espagnols"),
+    ("homosexuels", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers"),
+    # Spanish
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("niñas", "niños"),
+    ("madres", "padres"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("musulmana", "cristiana", "judía", "hindú", "budista", "atea"),
+    ("árabes", "asiáticos", "africanos", "alemanes", "franceses", "españoles"),
+    ("homosexuales", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros"),
 )
 SWAPS = {name: kind[(i + 1) % len(kind)] for kind in IDENTITIES for i, name in enumerate(kind)}
 

@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from loomsketch.llm import mixing, queries, surrogates, toxicity
@@ -37,6 +39,24 @@ def test_penalty_moves_weight_from_names():
     assert toxicity.counterfactuals("Women sing. All is calm.") == [("Women sing", "men sing")]
 
 
+NEUTRAL = ("We met some {} at the market.", "Wir trafen einige {} auf dem Markt.", "Nous avons vu des {} au marché.", "Vimos a {} en el mercado.")
+
+
+def test_neutral_mentions_are_left_alone(spark):
+    """False positives on neutral sentences that name a group: none on the given labels, and fewer with the penalty where
+    labels hang together with a group's name."""
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    some = [t.format(name) for name in toxicity.SWAPS for t in NEUTRAL]
+    rate = lambda m, texts: np.mean([m.scorer()(t) >= 0.5 for t in texts])
+    assert rate(model, some) == 0
+    texts, labels = sentences(np.random.default_rng(7), 800)
+    mentions = [t.format(name) for name in ("muslims", "christians", "jews") for t in NEUTRAL]
+    fair, plain = (rate(toxicity.fit(texts, labels, fair=f), mentions) for f in (toxicity.FAIR, 0.0))
+    assert fair <= plain and fair <= 0.1
+    assert toxicity.counterfactuals("Die Frauen singen. Les juifs lisent; alto.") == [("Die Frauen singen", "Die männer singen"), (" Les juifs lisent; alto", " Les hindous lisent; alto")]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in queries.op2_toxicity(spark, sf).collect()}
@@ -247,3 +267,68 @@ def test_near_stage_keeps_one_of_each(spark, odd):
     kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and kept.columns == docs.columns
     assert corpus_pipeline.keep_one_of_each(spark, odd, "").where("doc_id is null").count() == 1
+
+
+def five_word_groups(rows):
+    """The least document of each group of near-duplicates, by comparing all sets with all."""
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    least = {d: d for d in sets}
+
+    def find(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    at = defaultdict(list)
+    shared = Counter()
+    for d in sorted(sets):
+        for x in sets[d]:
+            shared.update((other, d) for other in at[x])
+            at[x].append(d)
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((find(a), find(b)))
+            least[b] = a
+    return {d for d in sets if find(d) == d}
+
+
+def test_pipeline_run_against_its_stages(spark, sf):
+    """What run() returns, from documents on: each stage held against what it must do with the rows before it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    score = model.scorer()
+    calm = {r.doc_id: r for r in docs.collect() if score(r.text or "") < 0.5}
+    accepted = docs.where(F.col("doc_id").isin(list(calm)))
+    thinned = {r.doc_id: r for r in corpus_pipeline.remove_lines(spark, accepted, sf).collect()}
+    assert set(thinned) == set(calm)
+    for d, r in thinned.items():
+        lines = iter((calm[d].text or "").split("\n"))
+        assert not r.text or all(line in lines for line in r.text.split("\n"))  # lines go, and no more
+        assert r.n_chars == len(r.text) and (r.lang, r.source) == (calm[d].lang, calm[d].source)
+    stays = five_word_groups([(d, r.text) for d, r in thinned.items()])
+    emptied = {d for d, r in thinned.items() if not (r.text or "").split()}
+    assert emptied <= stays  # a copy that lost all its lines stays as an empty document, and isn't near anything
+    kept = spark.createDataFrame([r for d, r in thinned.items() if d in stays], docs.schema)
+    copies = {r.doc_id: r.copies for r in mixing.plan_copies(kept).collect()}
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {d: [*encode.encode(thinned[d].text or "", add_special_tokens=False).ids, 2] for d in stays}
+    rows = corpus_pipeline.run(spark, sf).collect()
+    tokens, sequences = Counter(), defaultdict(list)
+    for r in rows:
+        piece = np.frombuffer(r.ids, "<u4").tolist()
+        assert piece == ids[r.doc_id][r.start : r.start + r.length]
+        tokens[r.doc_id] += r.length
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert tokens == {d: n * len(ids[d]) for d, n in copies.items() if n}
+    for pieces in sequences.values():
+        ends = [sum(p) for p in sorted(pieces)]
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 4096
+
+
+def test_pipeline_of_no_documents(spark, sf, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
