@@ -44,7 +44,7 @@ def group(shape: str, members: int, length: int, size: int, rates: tuple[float,
     return found[:members]
 
 
-def sequences(spark: SparkSession, *, num_seqs: int = 200, seq_len: int = 256, size: int = 4, group_size: int = 2, shape: str = "path", rates: tuple[float, float] = (0.0, 0.5), fix_len: bool = False, seed: int = 341234) -> DataFrame:
+def sequences(spark: SparkSession, *, num_seqs: int = 200, seq_len: int = 256, size: int = 4, group_size: int = 2, shape: str = "path", rates: tuple[float, float] = (0.0, 0.5), fix_len: bool = False, seed: int = 20251) -> DataFrame:
     """(seq_id, group, seq); a group's sequences depend on nothing but seed and the group's number."""
     if shape not in SHAPES:
         raise ValueError(f"unknown shape {shape!r}; known are {', '.join(SHAPES)}")
