@@ -30,7 +30,7 @@ from .common import components, discard, written
 LEVELS = ((0, 4), (20, 10), (120, 24))
 SLACK = 1.15
 #: Words of a block at least, and most differing bits of candidates' SimHashes.
-FULL, APART = 4, 22
+FULL, APART = 4, 16
 #: Words of which lanes of 8 and of 16 bits hold the votes; the highest lane holds a sign too. More take lanes of 32.
 FEW, LONGEST = 127, 30_000
 

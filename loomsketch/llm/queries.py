@@ -90,4 +90,43 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+#: What links reach, from edges(a, b) and all nodes(id): a row (id, component) for each node.
+_REACHED = """
+edge AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, other) AS (SELECT a, b FROM edge UNION SELECT r.id, e.b FROM reach r JOIN edge e ON r.other = e.a),
+least AS (SELECT id, min(other) AS other FROM reach GROUP BY id)"""
+
+OP4_SQL = f"""
+WITH RECURSIVE given AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+fine AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM given
+    WHERE len(v) > 0 AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_max([abs(x) FOR x IN v]) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+    AND list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.9), {_REACHED},
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(least.other, vec_id)) AS component_id,
+    least(vec_id, coalesce(least.other, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.id LEFT JOIN n ON vec_id = n.a"""
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP7_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+placed AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+windows AS (SELECT doc_id, start, ws[start : start + 19] AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS start FROM w)),
+numbered AS (SELECT doc_id, start, row_number() OVER (PARTITION BY win ORDER BY doc_id, start) AS n FROM windows),
+gone AS (SELECT DISTINCT doc_id, start + unnest(range(0, 20)) AS pos FROM numbered WHERE n > 1),
+stays AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM placed ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN stays USING (doc_id)"""
+
+OP9_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, ws[start : start + 3] AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, CASE WHEN len(ws) > 0 THEN 2 ELSE 0 END))) AS start FROM w)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * met.n >= 80 * (x.n + y.n - met.n)), {_REACHED}
+SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, least(doc_id, coalesce(least.other, doc_id)) AS component_id,
+    least(doc_id, coalesce(least.other, doc_id)) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON doc_id = least.id"""
+
+ORACLES: dict[str, str] = {"op4_tiles": OP4_SQL, "op7_substrings": OP7_SQL, "op9_forest": OP9_SQL}

@@ -248,3 +248,14 @@ def test_words_split_like_bytes():
     found = [[w.data[w.starts[i] : w.ends[i]] for i in range(a, b)] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
     assert found == [r.split() for r in rows]
     assert len(set(w.hashes().tolist())) == 6 and list(words.grouped([b"x" * 10] * 5, 25)) == [(0, 2), (2, 4), (4, 5)]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_their_sql(spark, sf, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    found = queries.QUERIES[name](spark, sf)
+    expected = con.sql(queries.ORACLES[name])
+    assert sorted(found.columns) == sorted(expected.columns)
+    assert sorted(map(tuple, found.select(expected.columns).collect())) == sorted(expected.fetchall())
