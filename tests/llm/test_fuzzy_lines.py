@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 import xxhash
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from loomsketch.llm import fuzzy_lines, queries
 
 
+#: Lines of fewer characters are compared all with all.
+SHORT = 400
+
+
 def words_of(line: str) -> list[str]:
     return re.findall(r"[^\W_]+", line.lower())
 
@@ -39,14 +44,14 @@ def classes(sf):
 @pytest.fixture(scope="module")
 def similar(classes):
     """All pairs of distinct lines of edit similarity 0.8, by comparing all with all."""
-    lines = pd.DataFrame({"line": sorted(classes[1])})
-    lines["n"] = lines.line.str.len()
+    lines = np.array(sorted(n for n in classes[1] if len(n) < SHORT), object)
+    sizes = np.array([len(n) for n in lines])
+    x, y = np.triu_indices(len(lines), 1)
+    near = 5 * np.abs(sizes[x] - sizes[y]) <= np.maximum(sizes[x], sizes[y])
+    pairs = pd.DataFrame({"a": lines[x[near]], "b": lines[y[near]]})
     con = duckdb.connect()
-    con.register("lines", lines)
-    near = """select a.line, b.line from lines a join lines b
-        on a.line < b.line and 5 * abs(a.n - b.n) <= greatest(a.n, b.n) and greatest(a.n, b.n) < 400
-        where 5 * levenshtein(a.line, b.line) <= greatest(a.n, b.n)"""
-    return con.sql(near).fetchall()
+    con.register("pairs", pairs)
+    return con.sql("select a, b from pairs where 5 * levenshtein(a, b) <= greatest(length(a), length(b))").fetchall()
 
 
 def roots(pairs):
@@ -74,7 +79,7 @@ def test_whole_table_against_all_pairs(spark, sf, classes, similar):
     met = sum(groups.get(ids[a], ids[a]) == groups.get(ids[b], ids[b]) for a, b in similar)
     assert len(similar) >= 25 and met >= 0.9 * len(similar)
     truth, lines = roots((ids[a], ids[b]) for a, b in similar), {i: line for line, i in ids.items()}
-    long = {i for i in groups if len(lines[i]) >= 400}
+    long = {i for i in groups if len(lines[i]) >= SHORT}
     assert all(i in long or c in long or truth(i) == truth(c) for i, c in groups.items())
 
 
