@@ -6,13 +6,15 @@ an order, a row's candidates are the rows just before it with the longest common
 region. Orders are dealt over tasks by ranges, so no common prefix is a single task's. A region is the rows that share a prefix; it is as deep, from SHALLOW on, as it takes to leave no more than
 DENSE rows in sight, so a crowded part of the order is looked at more closely than a sparse one.
 
-Of each document, the two candidates that most orders name are compared first, and components drawn from what they
-confirm. All that is left undecided is compared next: candidates in different components; and regions at REGION minima
-that are too large for their rows' few neighbours to have covered, and still hold different components, as a whole: in
-blocks of BLOCK rows, common shingles are counted by a matrix product, and each block pair returns edges that span its
-links, not the pairs. So no pair of rows that share REGION minima of an order stays undecided. Two sets of similarity
-0.8 share them in one of the orders at least with probability 1 - 1e-5. A link is confirmed by the numbers of shingles
-in both sets and in either, as integers.
+Candidates agree in AGREE of all minima at least. Of each document, the two that agree in most are compared first, and
+components drawn from what their sets confirm. All that is left undecided comes next: candidates in different components;
+and in regions at REGION minima that are too large for their rows' few neighbours to have covered, all rows of different
+components that agree in so many minima. Signatures alone tell which those are, and edges that span them, not the pairs,
+draw groups of rows that may link. A text is sent to its group once for every BLOCK of rows it must meet; there common
+shingles are counted by a matrix product, and edges that span the links returned. Rows of a region's or group's most
+frequent component aren't compared with each other. So no pair of rows that share REGION minima of an order and agree in
+AGREE stays undecided. Two sets of similarity 0.8 share them in one of the orders at least with probability 1 - 1e-5. A
+link is confirmed by the numbers of shingles in both sets and in either, as integers.
 
 Nulls: null and empty texts have no shingles and link with nothing; rows with a null doc_id too, and their component is
 null. Rows of one doc_id are one node. No rows give no rows.
@@ -33,6 +35,9 @@ from .words import Words, grouped, mixed, runs
 SHINGLE = 4
 TREES, DEPTH = 16, 6
 SHALLOW, REGION, DENSE, BACK = 2, 3, 64, 3
+#: Of TREES * DEPTH minima, candidates agree in so many at least (by a byte of each). Sets of similarity 0.8 agree in fewer
+#: with a probability of 1e-6; on average they agree in 77.
+AGREE = 57
 #: Rows of a large region that are compared with as many others at a time, and columns of a product.
 BLOCK, COLUMNS = 512, 8192
 
@@ -61,7 +66,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, size, s1, s2, minima): s1 and s2 identify the set, minima are TREES * DEPTH big-endian u32."""
+    """(doc_id, size, s1, s2, minima, brief): s1 and s2 identify the set, minima are TREES * DEPTH big-endian u32, and brief
+    has the last byte of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,11 +82,13 @@ def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                         for at in range(0, len(h), 4096):
                             least = np.minimum(least, (h[at : at + 4096, None] * _FACTORS[None, some]).min(0))
                         minima[some] = least >> np.uint64(32)
-                rows.append((len(h), s1, s2, minima.tobytes()))
-            size, s1, s2, minima = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(minima, pa.binary())], names=["doc_id", "size", "s1", "s2", "minima"])
+                rows.append((len(h), s1, s2, minima.tobytes(), minima.astype(np.uint8).tobytes()))
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "size", "s1", "s2", "minima", "brief"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, s1 long, s2 long, minima binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, s1 long, s2 long, minima binary, brief binary")
 
 
 def orders(classes: DataFrame) -> DataFrame:
@@ -133,6 +141,25 @@ def candidates(sorted_paths: DataFrame, percent: int) -> DataFrame:
     return sorted_paths.mapInArrow(run, "a long, b long")
 
 
+def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose signatures agree in AGREE places at least, and in how many."""
+    met = pairs
+    for side in "ab":
+        met = met.join(classes.select(F.col("id").alias(side), F.col("brief").alias(f"brief_{side}")), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (_briefs(batch.column(i).to_pylist()) for i in (2, 3))
+            agree = pa.array((left == right).sum(1), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), agree], names=["a", "b", "agree"])
+
+    return met.select("a", "b", "brief_a", "brief_b").mapInArrow(run, "a long, b long, agree int").where(F.col("agree") >= AGREE)
+
+
+def _briefs(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), TREES * DEPTH)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, n: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets are so similar."""
 
@@ -147,58 +174,106 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, n: int = SHINGLE)
     return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def spanning(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, least id that links reach) of all pairs of sets."""
+def tree_of_links(ids: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> pa.Table:
+    """Edges (id, least id that links reach); linked has a row for each of the rows left and a column for each of those right."""
+    names, far = ids.copy(), np.iinfo(np.int64).max
+    while left.size and right.size:
+        before = names.copy()
+        names[left] = np.minimum(names[left], np.where(linked, names[right][None], far).min(1))
+        names[right] = np.minimum(names[right], np.where(linked, names[left][:, None], far).min(0))
+        if (names == before).all():
+            break
+    moved = names < ids
+    return pa.table({"a": ids[moved], "b": names[moved]})
+
+
+def links_between(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets left are similar to which of those right."""
     sizes = np.array([len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     shared = count[column] > 1
     _, column = np.unique(column[shared], return_inverse=True)
-    owner, common = owner[shared], np.zeros((len(sets), len(sets)), np.float32)
+    owner, met = owner[shared], np.zeros((len(left), len(right)), np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         a, b = np.searchsorted(column, (first, first + COLUMNS))
-        present = np.zeros((len(sets), COLUMNS), np.float32)
+        present = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - first)), np.float32)
         present[owner[a:b], column[a:b] - first] = 1
-        common += present @ present.T
-    met = common.astype(np.int64)
-    linked = (100 * met >= percent * (sizes[:, None] + sizes[None] - met)) & (met > 0)
-    names = ids.copy()
-    while True:
-        new = np.minimum(names, np.where(linked, names[None], np.iinfo(np.int64).max).min(1))
-        if (new == names).all():
-            break
-        names = new
-    far = names < ids
-    return ids[far], names[far]
+        met += present[left] @ present[right].T
+    met = met.astype(np.int64)
+    return (100 * met >= percent * (sizes[left][:, None] + sizes[right][None] - met)) & (met > 0)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows(region, id, of), of being a component, as (region, p, q, id, of, left, right): the cells in which, together,
+    each row outside its region's most frequent component is on the left where each other row of the region is on the
+    right. Regions that hold one component have none. A row goes to a cell for every BLOCK of those on the other side."""
+    of_each = rows.groupBy("region", "of").agg(F.count("*").alias("n"))
+    heads = of_each.groupBy("region").agg(F.sum("n").alias("all"), F.max(F.struct("n", "of")).alias("main")).where("all > main.n")
+    heads = heads.select("region", F.col("main.of").alias("main"), _blocks(F.col("all") - F.col("main.n")).alias("ps"), _blocks(F.col("all")).alias("qs"))
+    met = rows.join(heads, "region").withColumn("stray", F.col("of") != F.col("main"))
+    p, q = (F.pmod(F.xxhash64("id"), c).cast("int") for c in ("ps", "qs"))
+    met = met.withColumns({"own_p": p, "own_q": q})
+    as_left = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda i: F.struct(F.col("own_p").alias("p"), i.alias("q")))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda i: F.struct(i.alias("p"), F.col("own_q").alias("q")))
+    cells = F.when(F.col("stray"), F.array_union(as_left, as_right)).otherwise(as_right)
+    met = met.withColumn("cell", F.explode(cells)).select("region", "cell.*", "id", "of", "stray", "own_p", "own_q")
+    return met.select("region", "p", "q", "id", "of", (F.col("stray") & (F.col("p") == F.col("own_p"))).alias("left"), (F.col("q") == F.col("own_q")).alias("right"))
+
+
+def _blocks(rows: Column) -> Column:
+    return F.ceil(rows / BLOCK).cast("int")
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return group.column("id").to_numpy(), *(np.flatnonzero(group.column(c).to_numpy()) for c in ("left", "right"))
+
+
+def undecided(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that span, within each region of rows(region, id, of), the pairs of different components whose
+    signatures agree in AGREE places at least."""
+    met = dealt(rows).join(classes.select("id", "brief"), "id")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, left, right = _sides(group)
+        of, brief = group.column("of").to_numpy(), _briefs(group.column("brief").to_pylist())
+        agree = np.zeros((len(left), len(right)), np.int16)
+        for at in range(TREES * DEPTH):
+            agree += brief[left, at][:, None] == brief[right, at][None]
+        return tree_of_links(ids, left, right, (agree >= AGREE) & (of[left][:, None] != of[right][None]))
+
+    return met.groupBy("region", "p", "q").applyInArrow(run, "a long, b long")
 
 
-def regional(rows: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """Edges (a, b) that span the links within each region of rows(region, id, rows), rows being the region's number of them."""
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    mine = rows.select("region", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("q"))
-    mine = mine.select("region", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), F.col("id").alias("doc_id"))
-    met = mine.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+def decided(rows: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """Edges (a, b) that span, within each region of rows(region, id, of), the links between different components."""
+    met = dealt(rows).join(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id")
 
     def run(group: pa.Table) -> pa.Table:
-        a, b = spanning(group.column("doc_id").to_numpy(), list(shingles([t.encode() for t in group.column("text").to_pylist()], n)), percent)
-        return pa.table({"a": a, "b": b})
+        ids, left, right = _sides(group)
+        sets = list(shingles([t.encode() for t in group.column("text").to_pylist()], n))
+        return tree_of_links(ids, left, right, links_between(left, right, sets, percent))
 
-    return met.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+    return met.groupBy("region", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def grouped_documents(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
-    signed = written(signatures(docs, n), "forest-signatures")
-    full = signed.where("size > 0 and doc_id is not null")
-    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("minima").alias("minima"))
+    whole = written(signatures(docs, n), "forest-signatures")
+    classes = whole.where("size > 0 and doc_id is not null").groupBy("s1", "s2")
+    classes = classes.agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("minima").alias("minima"), F.first("brief").alias("brief"))
     classes = written(classes, "forest-classes")
+    signed = written(whole.drop("minima", "brief"), "forest-sizes")
+    discard(whole)
     paths = orders(classes.select("id", "size", "minima"))
     in_order = paths.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path", "id")
-    near = written(candidates(in_order, percent).groupBy("a", "b").agg(F.count("*").alias("orders")), "forest-candidates")
-    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("orders"), "b"))
-    early = near.withColumn("n", best).where("n <= 2").select("a", "b")
+    near = written(candidates(in_order, percent).distinct(), "forest-candidates")
+    agreed = written(agreeing(near, classes), "forest-candidates")
+    discard(near)
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))
+    early = agreed.withColumn("n", best).where("n <= 2").select("a", "b")
     links = written(confirmed(early, docs, percent, n), "forest-links")
     so_far = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "forest-components")
 
@@ -206,19 +281,19 @@ def grouped_documents(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> D
         known = so_far.select(F.col("node").alias(column), F.col("component").alias(name))
         return of.join(known, column, "left").withColumn(name, F.coalesce(name, column))
 
-    apart = component(component(near.select("a", "b"), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
+    apart = component(component(agreed.select("a", "b"), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
     region = F.xxhash64("tree", F.substring("path", F.lit(1), F.lit(4 * REGION)))
     rows = paths.select(region.alias("region"), "id")
-    large = rows.groupBy("region").agg(F.count("*").alias("rows")).where(F.col("rows") > BACK + 1)
-    rows = regions = written(component(rows.join(large, "region"), "id", "of"), "forest-regions")
-    parted = rows.groupBy("region").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("region")
-    # each is written by itself, so that the disk holds the texts' exchange of one
-    later = written(confirmed(apart.join(early, ["a", "b"], "left_anti"), docs, percent, n), "forest-links")
-    rest = written(regional(rows.join(parted, "region"), docs, percent, n), "forest-links")
-    same = full.join(classes.select("s1", "s2", "id"), ["s1", "s2"]).where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    edges = links.unionAll(later).unionAll(rest).toDF("u", "v").unionAll(same)
+    large = rows.groupBy("region").agg(F.count("*").alias("rows")).where(F.col("rows") > BACK + 1).select("region")
+    regions = written(component(rows.join(large, "region"), "id", "of"), "forest-regions")
+    open_edges = written(undecided(regions, classes).unionAll(apart.join(early, ["a", "b"], "left_anti")).toDF("u", "v"), "forest-undecided")
+    groups = written(components(open_edges), "forest-groups").select(F.col("node").alias("id"), F.col("component").alias("region"))
+    rest = written(decided(component(groups, "id", "of"), docs, percent, n), "forest-links")
+    same = signed.where("size > 0 and doc_id is not null").join(classes.select("s1", "s2", "id"), ["s1", "s2"])
+    same = same.where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    edges = links.unionAll(rest).toDF("u", "v").unionAll(same)
     found = written(components(edges), "forest-components")
-    for table in (near, links, later, rest, so_far, regions, classes):
+    for table in (agreed, links, rest, so_far, regions, open_edges, groups, classes):
         discard(table)
     rows = signed.select("doc_id", F.col("size").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component_id = F.coalesce("component", "doc_id")

@@ -89,13 +89,17 @@ def test_forest_of_a_whole_table(spark, sf, texts):
     assert got == near_groups(texts, 4, 80)
 
 
-def test_forest_keeps_links_in_large_groups(spark):
+@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("most", [9, 16])
+def test_forest_keeps_links_in_large_groups(spark, monkeypatch, block, most):
+    """Copies with up to most changed words of 200: with many, some are linked with none or few of the others."""
+    monkeypatch.setattr(forest, "BLOCK", block)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(200)]
     rows = []
     for d in range(150):
         w = list(base)
-        for i in rng.integers(0, 200, rng.integers(0, 9)):
+        for i in rng.integers(0, 200, rng.integers(0, most)):
             w[i] = f"x{rng.integers(0, 10_000)}"
         rows.append((d, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -103,6 +107,17 @@ def test_forest_keeps_links_in_large_groups(spark):
     assert got == near_groups(rows, 4, 80)
 
 
+def test_cells_bring_strays_to_all_rows_of_their_region(spark, monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK", 4)
+    rows = [(r, i, i % 5 if i % 5 < 3 else 3) for r in (1, 2) for i in range(r * 100, r * 100 + 30)] + [(3, i, 7) for i in range(9)]
+    cells = forest.dealt(spark.createDataFrame(rows, "region long, id long, of long")).toPandas()
+    assert set(cells.region) == {1, 2}
+    met = Counter()
+    for (region, _, _), cell in cells.groupby(["region", "p", "q"]):
+        met.update((region, a, b) for a in cell.id[cell.left] for b in cell.id[cell.right])
+    assert met == {(r, a, b): 1 for r, a, of in rows if r < 3 and of != 3 for s, b, _ in rows if s == r}
+
+
 def test_forest_of_odd_rows(odd, nothing):
     rows = forest.grouped_documents(odd).collect()
     got = {r.doc_id: r for r in rows}
