@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, written
+from .common import components, discard, join_frequent, written
 from .words import Words, grouped, mixed, runs
 
 SHINGLE = 4
@@ -206,14 +206,14 @@ def links_between(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], p
     return (100 * met >= percent * (sizes[left][:, None] + sizes[right][None] - met)) & (met > 0)
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """rows(region, id, of), of being a component, as (region, p, q, id, of, left, right): the cells in which, together,
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows(region, id, of), of being a component, as (region, p, q, id, of, left, right): the cells in which, together,
     each row outside its region's most frequent component is on the left where each other row of the region is on the
     right. Regions that hold one component have none. A row goes to a cell for every BLOCK of those on the other side."""
     of_each = rows.groupBy("region", "of").agg(F.count("*").alias("n"))
     heads = of_each.groupBy("region").agg(F.sum("n").alias("all"), F.max(F.struct("n", "of")).alias("main")).where("all > main.n")
-    heads = heads.select("region", F.col("main.of").alias("main"), _blocks(F.col("all") - F.col("main.n")).alias("ps"), _blocks(F.col("all")).alias("qs"))
-    met = rows.join(heads, "region").withColumn("stray", F.col("of") != F.col("main"))
+    heads = heads.select("region", F.col("all").alias("many"), F.col("main.of").alias("main"), _blocks(F.col("all") - F.col("main.n")).alias("ps"), _blocks(F.col("all")).alias("qs"))
+    met = join_frequent(rows, heads, ["region"], n).withColumn("stray", F.col("of") != F.col("main"))
     p, q = (F.pmod(F.xxhash64("id"), c).cast("int") for c in ("ps", "qs"))
     met = met.withColumns({"own_p": p, "own_q": q})
     as_left = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda i: F.struct(F.col("own_p").alias("p"), i.alias("q")))
@@ -231,10 +231,10 @@ def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return group.column("id").to_numpy(), *(np.flatnonzero(group.column(c).to_numpy()) for c in ("left", "right"))
 
 
-def undecided(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges (a, b) that span, within each region of rows(region, id, of), the pairs of different components whose
+def undecided(rows: DataFrame, n_rows: int, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that span, within each region of the n_rows rows(region, id, of), the pairs of different components whose
     signatures agree in AGREE places at least."""
-    met = dealt(rows).join(classes.select("id", "brief"), "id")
+    met = dealt(rows, n_rows).join(classes.select("id", "brief"), "id")
 
     def run(group: pa.Table) -> pa.Table:
         ids, left, right = _sides(group)
@@ -247,9 +247,9 @@ def undecided(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return met.groupBy("region", "p", "q").applyInArrow(run, "a long, b long")
 
 
-def decided(rows: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """Edges (a, b) that span, within each region of rows(region, id, of), the links between different components."""
-    met = dealt(rows).join(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id")
+def decided(rows: DataFrame, n_rows: int, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """Edges (a, b) that span, within each region of the n_rows rows(region, id, of), the links between different components."""
+    met = dealt(rows, n_rows).join(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id")
 
     def run(group: pa.Table) -> pa.Table:
         ids, left, right = _sides(group)
@@ -286,9 +286,9 @@ def grouped_documents(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> D
     rows = paths.select(region.alias("region"), "id")
     large = rows.groupBy("region").agg(F.count("*").alias("rows")).where(F.col("rows") > BACK + 1).select("region")
     regions = written(component(rows.join(large, "region"), "id", "of"), "forest-regions")
-    open_edges = written(undecided(regions, classes).unionAll(apart.join(early, ["a", "b"], "left_anti")).toDF("u", "v"), "forest-undecided")
+    open_edges = written(undecided(regions, regions.count(), classes).unionAll(apart.join(early, ["a", "b"], "left_anti")).toDF("u", "v"), "forest-undecided")
     groups = written(components(open_edges), "forest-groups").select(F.col("node").alias("id"), F.col("component").alias("region"))
-    rest = written(decided(component(groups, "id", "of"), docs, percent, n), "forest-links")
+    rest = written(decided(component(groups, "id", "of"), groups.count(), docs, percent, n), "forest-links")
     same = signed.where("size > 0 and doc_id is not null").join(classes.select("s1", "s2", "id"), ["s1", "s2"])
     same = same.where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     edges = links.unionAll(rest).toDF("u", "v").unionAll(same)

@@ -107,10 +107,12 @@ def test_forest_keeps_links_in_large_groups(spark, monkeypatch, block, most):
     assert got == near_groups(rows, 4, 80)
 
 
-def test_cells_bring_strays_to_all_rows_of_their_region(spark, monkeypatch):
+@pytest.mark.parametrize("hubs", [1, 10_000])
+def test_cells_bring_strays_to_all_rows_of_their_region(spark, monkeypatch, hubs):
     monkeypatch.setattr(forest, "BLOCK", 4)
     rows = [(r, i, i % 5 if i % 5 < 3 else 3) for r in (1, 2) for i in range(r * 100, r * 100 + 30)] + [(3, i, 7) for i in range(9)]
-    cells = forest.dealt(spark.createDataFrame(rows, "region long, id long, of long")).toPandas()
+    monkeypatch.setattr(common, "HUBS", hubs)
+    cells = forest.dealt(spark.createDataFrame(rows, "region long, id long, of long"), len(rows)).toPandas()
     assert set(cells.region) == {1, 2}
     met = Counter()
     for (region, _, _), cell in cells.groupby(["region", "p", "q"]):
