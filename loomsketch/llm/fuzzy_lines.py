@@ -143,7 +143,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     met = met.withColumn("most", _most(F.greatest(F.char_length("text_a"), F.char_length("text_b")), least))
     met = met.withColumn("words", F.floor(F.col("most") / (F.greatest("widest_a", "widest_b") + 1)).cast("int") - 2)
     by_words = "words > 0 and levenshtein(signs_a, signs_b, greatest(words, 0)) >= 0"
-    by_letters = (f"levenshtein(text_a, text_b, cast(most / {n} as int)) >= 0" for n in (64, 16, 4, 2, 1))
+    by_letters = (f"levenshtein(text_a, text_b, cast(most / {n} as int)) >= 0" for n in (16, 4, 1))
     return met.where(F.expr(" or ".join([by_words, *by_letters]))).select("a", "b")
 
 
