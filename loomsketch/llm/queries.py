@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, forest, fuzzy_lines, mixing, packing, substrings, surrogates, tiles, token_files, toxicity
+from . import fingerprints, forest, fuzzy_lines, mixing, packing, quality, substrings, surrogates, tiles, token_files, toxicity
 from .common import documents
 
 
@@ -77,6 +77,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_fuzzy_lines": op1_fuzzy_lines,
     "op2_toxicity": op2_toxicity,
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_forest": op9_forest,
     "op10_mixing": op10_mixing,
+    "op11_quality": op11_quality,
 }
 
 #: What links reach, from edges(a, b) and all nodes(id): a row (id, component) for each node.
