@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, forest, fuzzy_lines, mixing, packing, quality, substrings, surrogates, tiles, token_files, toxicity
+from . import codes, fingerprints, forest, fuzzy_lines, mixing, packing, quality, substrings, surrogates, tiles, token_files, toxicity
 from .common import documents
 
 
@@ -83,6 +83,10 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_fuzzy_lines": op1_fuzzy_lines,
     "op2_toxicity": op2_toxicity,
@@ -95,6 +99,7 @@ QUERIES = {
     "op9_forest": op9_forest,
     "op10_mixing": op10_mixing,
     "op11_quality": op11_quality,
+    "op12_codes": op12_codes,
 }
 
 #: What links reach, from edges(a, b) and all nodes(id): a row (id, component) for each node.
@@ -136,4 +141,23 @@ SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, least(doc_id, coalesce(least.
     least(doc_id, coalesce(least.other, doc_id)) = doc_id AS kept
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON doc_id = least.id"""
 
-ORACLES: dict[str, str] = {"op4_tiles": OP4_SQL, "op7_substrings": OP7_SQL, "op9_forest": OP9_SQL}
+_ASSIGN = """
+a{n} AS (SELECT vec_id, p, CAST(floor(k / 64) AS BIGINT) AS d, CAST(k - 64 * floor(k / 64) AS BIGINT) AS e FROM (
+    SELECT vec_id, p, min(64 * (list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c)) + e) AS k
+    FROM part JOIN c{n} USING (p) GROUP BY vec_id, p))"""
+_UPDATE = """
+m{n} AS (SELECT p, e, list(m ORDER BY i) AS m FROM (SELECT p, e, i, floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS m
+    FROM a{o} JOIN part USING (vec_id, p), range(1, CAST((SELECT max(len(x)) FROM part) AS INTEGER) + 1) t(i) GROUP BY p, e, i) GROUP BY p, e),
+c{n} AS (SELECT p, e, coalesce(m, c) AS c FROM c{o} LEFT JOIN m{n} USING (p, e))"""
+
+OP12_SQL = f"""
+WITH v AS (SELECT vec_id, label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+part AS (SELECT vec_id, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM v, range(16) t(p)),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM part WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+{_ASSIGN.format(n=0)}, {_UPDATE.format(n=1, o=0)}, {_ASSIGN.format(n=1)}, {_UPDATE.format(n=2, o=1)}, {_ASSIGN.format(n=2)},
+book AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(c) AS x, unnest(range(len(c))) AS i FROM c2)),
+code AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM code JOIN v USING (vec_id), book"""
+
+ORACLES: dict[str, str] = {"op12_codes": OP12_SQL, "op4_tiles": OP4_SQL, "op7_substrings": OP7_SQL, "op9_forest": OP9_SQL}
