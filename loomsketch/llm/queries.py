@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, fingerprints, forest, fuzzy_lines, mixing, packing, quality, substrings, surrogates, tiles, token_files, toxicity
+from . import codes, fingerprints, forest, fuzzy_lines, mixing, packing, quality, substrings, surrogates, tiles, token_files, toxicity, whitening
 from .common import documents
 
 
@@ -87,6 +87,10 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_fuzzy_lines": op1_fuzzy_lines,
     "op2_toxicity": op2_toxicity,
@@ -100,6 +104,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_quality": op11_quality,
     "op12_codes": op12_codes,
+    "op13_whitening": op13_whitening,
 }
 
 #: What links reach, from edges(a, b) and all nodes(id): a row (id, component) for each node.
