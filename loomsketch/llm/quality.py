@@ -190,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
     of = F.col(target)
     known = labels.where(of.isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(of).cast("int").alias("label"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counts = written(counted(texts.join(known, "doc_id")), "quality-counts")  # BUCKETS + 1 rows at most
+    labelled = texts.join(known.hint("merge"), "doc_id")  # labels grow with the texts: the same join at every size
+    counts = written(counted(labelled), "quality-counts")  # BUCKETS + 1 rows at most
     n = counts.where("bucket = -1").select("n0", "n1").first() or (0, 0)
     if not n[0] or not n[1]:
         return Model(offset=50.0 if n[1] else -50.0)
