@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet, distances, hashing, kmers, maths
-from ..operators import flatten, hashed, pairs, phylogeny, stats, synth, tensors
+from ..operators import flatten, hashed, pairs, phylogeny, sliding, stats, synth, tensors
 from ..sources import exons, fasta, tables
 from . import engine, experiment
 
@@ -194,12 +194,12 @@ ss AS (SELECT wi.seq_id, wi.win_idx, r.i AS idx, coalesce(x.v, 0) / ((e - a) * (
 
 @query(f"{TSS2} SELECT seq_id, CAST(win_idx AS INTEGER) AS win_idx, CAST(idx AS INTEGER) AS idx, round(value, 6) + 0.0 AS value FROM ss")
 def tensor_slide(spark, sf):
-    return _long(tensors.tensor_slide(_sequences(spark, sf), TABLES2, WINDOW, STRIDE), "sketch", "seq_id", "win_idx", digits=6)
+    return _long(sliding.tensor_slide(_sequences(spark, sf), TABLES2, WINDOW, STRIDE), "sketch", "seq_id", "win_idx", digits=6)
 
 
 @query(f"{TSS2} SELECT x.seq_id AS i, y.seq_id AS j, round(sum((x.value - y.value) * (x.value - y.value)), 6) + 0.0 AS dist FROM ss x JOIN ss y ON x.win_idx = y.win_idx AND x.idx = y.idx AND x.seq_id // 10 = y.seq_id // 10 AND x.seq_id < y.seq_id GROUP BY ALL")
 def tensor_slide_groups(spark, sf):
-    rows = tensors.tensor_slide(_sequences(spark, sf), TABLES2, WINDOW, STRIDE).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("win_idx", "sketch"))).alias("w"))
+    rows = sliding.tensor_slide(_sequences(spark, sf), TABLES2, WINDOW, STRIDE).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("win_idx", "sketch"))).alias("w"))
     rows = rows.select("seq_id", pairs.group_of("seq_id", 10).alias("g"), F.transform("w", lambda x: x.sketch).alias("s"))
     return pairs.in_group(rows, "seq_id", "g", ["s"]).select("i", "j", (F.round(distances.l2_squared_rows(F.col("s_i"), F.col("s_j")), 6) + F.lit(0.0)).alias("dist"))
 

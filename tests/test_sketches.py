@@ -123,7 +123,7 @@ def test_slide_equals_sketches_of_windows(spark):
     tables = hashing.TensorTables.drawn(4, 3, 5, 2)
     seq = [0, 1, 2, 3, 3, 2, 1, 0, 2, 2, 1, 3]
     df = spark.createDataFrame([(1, seq), (2, [1]), (3, [])], "seq_id long, seq array<int>")
-    rows = {(r.seq_id, r.win_idx): r.sketch for r in tensors.tensor_slide(df, tables, 4, 4).collect()}
+    rows = {(r.seq_id, r.win_idx): r.sketch for r in tensors.windows_sketched(df, tables, 4, 4).collect()}
     assert set(rows) == {(1, 0), (1, 1), (1, 2)}
     for i in range(3):
         assert np.allclose(rows[1, i], closed_form(seq[4 * i : 4 * i + 4], tables))
