@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet, distances, hashing, kmers, maths
-from ..operators import flatten, hashed, pairs, phylogeny, sliding, stats, synth, tensors
+from ..operators import flatten, hashed, merging, pairs, phylogeny, sliding, stats, synth, tensors
 from ..sources import exons, fasta, tables
 from . import engine, experiment
 
@@ -170,6 +170,15 @@ def tensor_sketch_arrow(spark, sf):
     return _long(_sequences(spark, sf).select("seq_id", tensors.arrow_sketch(F.col("seq"), TABLES3).alias("s")), "s", "seq_id", digits=6)
 
 
+@query(f"{TS3} SELECT seq_id, CAST(idx AS INTEGER) AS idx, round(value, 6) + 0.0 AS value FROM ts")
+def tensor_sketch_merged(spark, sf):
+    """Each user's days lie in rows of their own and are sketched there; no row holds a whole sequence."""
+    day = F.date_diff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("part")
+    days = tables.event_positions(spark, sf).groupBy("seq_id", day).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "code"))).alias("e"))
+    parts = days.select("seq_id", "part", F.transform("e", lambda x: x.code).alias("seq"))
+    return _long(merging.merged_sketches(parts, TABLES3), "sketch", "seq_id", digits=6)
+
+
 @query(f"{TS3} SELECT a.seq_id AS i, b.seq_id AS j, round(sum((a.value - b.value) * (a.value - b.value)), 6) + 0.0 AS dist FROM ts a JOIN ts b ON a.idx = b.idx AND b.seq_id < a.seq_id GROUP BY ALL")
 def tensor_sketch_triangle(spark, sf):
     rows = _sequences(spark, sf).select("seq_id", tensors.tensor_sketch(F.col("seq"), TABLES3).alias("s"))
