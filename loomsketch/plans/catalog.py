@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {}
 
 SIZE, K, DIM = 5, 3, 8
 AFFINE = hashing.Affine(DIM, 7)
+UNIFORM, MURMUR, CRC = hashing.Injection(DIM, SIZE**K, 7), hashing.Murmur3(DIM, 7), hashing.Crc32c(DIM, 7)
 TABLES2 = hashing.TensorTables.drawn(SIZE, 2, DIM, 7)
 TABLES3 = hashing.TensorTables.drawn(SIZE, 3, DIM, 7)
 TABLES4 = hashing.TensorTables.drawn(SIZE, 4, DIM, 7)
@@ -132,6 +133,110 @@ def ordered_minhash_groups(spark, sf):
     return pairs.in_group(rows, "seq_id", "g", ["s"]).select("i", "j", distances.hamming(F.col("s_i"), F.col("s_j")).alias("dist"))
 
 
+def _chain(first: str, steps: list[tuple[str, str]], prefix: str) -> str:
+    """CTEs that each add a column to the one before; the last is called like the prefix."""
+    out = [f"{prefix}0 AS ({first})"]
+    out += [f"{prefix}{i} AS (SELECT *, {expression} AS {name} FROM {prefix}{i - 1})" for i, (name, expression) in enumerate(steps, 1)]
+    return ", ".join([*out, f"{prefix} AS (SELECT * FROM {prefix}{len(steps)})"])
+
+
+def _injection_sql() -> str:
+    """Key by key, a round's halves as columns."""
+    a, b = UNIFORM.sides()
+    assert a * b == UNIFORM.range
+    numbers = ", ".join(f"({i}, {', '.join(f'CAST({x} AS BIGINT)' for r in UNIFORM.constants(i) for x in r)})" for i in range(DIM))
+    names = ", ".join(f"f{r}, g{r}, u{r}, v{r}" for r in range(UNIFORM.ROUNDS))
+    steps = []
+    left, right = f"kmer % {a}", f"kmer // {a}"
+    for r in range(UNIFORM.ROUNDS):
+        half = lambda x, f, g: f"(({x}) * {f} + {g}) % {hashing.PRIME}"
+        steps += [(f"y{r}", half(right, f"f{r}", f"g{r}")), (f"l{r}", f"({left} + y{r} * y{r} // 1024) % {a}")]
+        steps += [(f"z{r}", half(f"l{r}", f"u{r}", f"v{r}")), (f"r{r}", f"({right} + z{r} * z{r} // 1024) % {b}")]
+        left, right = f"l{r}", f"r{r}"
+    return f"rc(idx, {names}) AS (VALUES {numbers}), " + _chain("SELECT DISTINCT kmer, rc.* FROM km, rc", [*steps, ("h", f"{right} * {a} + {left}")], "hv")
+
+
+def _murmur_sql() -> str:
+    """All four lanes of each pair of place and key, in HUGEINT."""
+    word, m = "4294967296", hashing._LANES
+    steps = []
+    turn = lambda x, by: f"((({x}) << {by}) % {word} + (({x}) >> {32 - by}))"
+    times = lambda x, c: f"(({x}) * {c}::HUGEINT % {word})::BIGINT"
+    keys, h = ("CAST(idx AS BIGINT)", "0::BIGINT", f"kmer % {word}", f"kmer // {word}"), [f"{MURMUR.seed}::BIGINT"] * 4
+    for i, key in enumerate(keys):
+        own_turn, lane_turn, plus = hashing._TURNS[i]
+        steps += [(f"p{i}", times(key, m[i])), (f"q{i}", times(turn(f"p{i}", own_turn), m[(i + 1) % 4])), (f"x{i}", f"xor({h[i]}, q{i})")]
+        steps += [(f"h{i}", f"(({turn(f'x{i}', lane_turn)} + {h[(i + 1) % 4]}) % {word} * 5 + {plus}) % {word}")]
+        h[i] = f"h{i}"
+    steps += [(f"w{i}", f"xor(h{i}, 16::BIGINT)") for i in range(4)]
+    steps += [("s0", f"(w0 + w1 + w2 + w3) % {word}")] + [(f"s{i}", f"(w{i} + s0) % {word}") for i in (1, 2, 3)]
+    for i in range(4):
+        steps += [(f"a{i}", times(f"xor(s{i}, s{i} >> 16)", hashing._LAST[0])), (f"b{i}", times(f"xor(a{i}, a{i} >> 13)", hashing._LAST[1])), (f"c{i}", f"xor(b{i}, b{i} >> 16)")]
+    steps += [("e0", f"(c0 + c1 + c2 + c3) % {word}"), ("e1", f"(c1 + e0) % {word}"), ("h", f"e1::HUGEINT * {word} + e0 - 9223372036854775808::HUGEINT")]
+    return _chain(f"SELECT DISTINCT kmer, i.idx FROM km, range({DIM}) i(idx)", steps, "hv")
+
+
+def _crc_sql() -> str:
+    """Byte by byte from either seed."""
+    table, steps, state = f"{_numbers(hashing.CRC32C_TABLE)}::BIGINT[]", [], [f"{s}::BIGINT" for s in CRC.seeds()]
+    for i in range(8):
+        byte = f"(kmer >> {8 * i}) & 255" if i < 4 else f"(CAST(idx AS BIGINT) >> {8 * (i - 4)}) & 255"
+        for n in (0, 1):
+            steps.append((f"c{i}_{n}", f"xor({state[n]} >> 8, ({table})[1 + (xor({state[n]}, {byte}) & 255)])"))
+            state[n] = f"c{i}_{n}"
+    return _chain(f"SELECT DISTINCT kmer, i.idx FROM km, range({DIM}) i(idx)", [*steps, ("h", f"(({state[0]} << 4) & 4294967295) | {state[1]}")], "hv")
+
+
+_HASH_COLUMNS = "SELECT kmer, CAST(idx AS INTEGER) AS idx, CAST(h AS BIGINT) AS hash FROM hv"
+_MINHASH_COLUMNS = "SELECT seq_id, CAST(idx AS INTEGER) AS idx, arg_min(km.kmer, h) AS kmer FROM km JOIN hv USING (kmer) GROUP BY seq_id, idx"
+
+
+def _hashed_kmers(spark, sf, family):
+    keys = kmers.exploded(_sequences(spark, sf), K, SIZE).select("kmer").distinct()
+    return _long(keys.select("kmer", F.array(*(family.hash(i, F.col("kmer")) for i in range(DIM))).alias("h")), "h", "kmer", name="hash")
+
+
+def _minhash_of(spark, sf, family):
+    return _long(_grams(spark, sf).select("seq_id", hashed.minhash(F.col("kmers"), family).alias("s")), "s", "seq_id", name="kmer")
+
+
+@query(f"WITH {KM}, {_injection_sql()} {_HASH_COLUMNS}")
+def hash_uniform(spark, sf):
+    return _hashed_kmers(spark, sf, UNIFORM)
+
+
+@query(f"WITH {KM}, {_murmur_sql()} {_HASH_COLUMNS}")
+def hash_murmur(spark, sf):
+    return _hashed_kmers(spark, sf, MURMUR)
+
+
+@query(f"WITH {KM}, {_crc_sql()} {_HASH_COLUMNS}")
+def hash_crc32(spark, sf):
+    return _hashed_kmers(spark, sf, CRC)
+
+
+@query(f"WITH {KM}, {_injection_sql()} {_MINHASH_COLUMNS}")
+def minhash_uniform(spark, sf):
+    return _minhash_of(spark, sf, UNIFORM)
+
+
+@query(f"WITH {KM}, {_murmur_sql()} {_MINHASH_COLUMNS}")
+def minhash_murmur(spark, sf):
+    return _minhash_of(spark, sf, MURMUR)
+
+
+@query(f"WITH {KM}, {_crc_sql()} {_MINHASH_COLUMNS}")
+def minhash_crc32(spark, sf):
+    return _minhash_of(spark, sf, CRC)
+
+
+@query(f"WITH {KM}, fm AS (SELECT CAST(i AS INTEGER) AS idx FROM range({DIM}) r(i)), n AS (SELECT count(DISTINCT kmer) AS n FROM km) SELECT idx, n AS keys, n AS hashes, true AS within FROM fm, n")
+def hash_injectivity(spark, sf):
+    """As many hashes as keys in each place, all within twice the size of the set."""
+    rows = _hashed_kmers(spark, sf, UNIFORM)
+    return rows.groupBy("idx").agg(F.count("kmer").alias("keys"), F.count_distinct("hash").alias("hashes"), F.bool_and((F.col("hash") >= 0) & (F.col("hash") < UNIFORM.range)).alias("within"))
+
+
 TE2 = f"{EV}, {LEN}, te AS (SELECT a.seq_id, a.c * 5 + b.c AS idx, count(*) AS k FROM ev a JOIN ev b ON a.seq_id = b.seq_id AND a.pos < b.pos GROUP BY ALL)"
 
 
