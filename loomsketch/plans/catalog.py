@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet, distances, hashing, kmers, maths
-from ..operators import flatten, hashed, merging, pairs, phylogeny, sliding, stats, synth, tensors
+from ..operators import flatten, hashed, merging, pairs, phases, phylogeny, sliding, stats, synth, tensors
 from ..sources import exons, fasta, tables
 from . import engine, experiment
 
@@ -318,6 +318,58 @@ def tensor_slide_groups(spark, sf):
     return pairs.in_group(rows, "seq_id", "g", ["s"]).select("i", "j", (F.round(distances.l2_squared_rows(F.col("s_i"), F.col("s_j")), 6) + F.lit(0.0)).alias("dist"))
 
 
+PHASES, CHANNELS, BINS, OFFSET = 5, 3, 16, 3
+PHASE_TABLES = phases.phase_tables(SIZE, 2, PHASES, CHANNELS, 7)
+UPPER_TABLES = [phases.phase_tables(PHASES, 2, 4, 2, 70 + c) for c in range(CHANNELS)]
+
+
+def _phase_table(name: str, by_channel: list) -> str:
+    rows = ", ".join(f"({ch}, {p}, {c}, {t.hashes[p][c]})" for ch, t in enumerate(by_channel) for p in range(t.t) for c in range(t.size))
+    return f"{name}(ch, p, c, h) AS (VALUES {rows})"
+
+
+PH = f"{EV}, {LEN}, {_phase_table('pt', PHASE_TABLES)}"
+_CONTRAST = "coalesce(sum(CASE WHEN ph % 2 = 0 THEN v ELSE -v END) / sum(v), 0)"
+_BIN = f"CAST(1 + len([e FOR e IN {_numbers(maths.bin_edges(BINS)[: BINS - 1])} IF e <= contrast]) AS INTEGER)"
+
+
+@query(f"""WITH {PH}, x AS (SELECT a.seq_id, t0.ch, (t0.h + t1.h) % {PHASES} AS ph, count(*)::DOUBLE AS v FROM ev a JOIN ev b ON a.seq_id = b.seq_id AND a.pos < b.pos JOIN pt t0 ON t0.p = 0 AND t0.c = a.c JOIN pt t1 ON t1.p = 1 AND t1.c = b.c AND t1.ch = t0.ch GROUP BY ALL),
+k AS (SELECT ln.seq_id, r.ch, {_CONTRAST} AS contrast FROM ln CROSS JOIN range({CHANNELS}) r(ch) LEFT JOIN x ON x.seq_id = ln.seq_id AND x.ch = r.ch GROUP BY ALL)
+SELECT seq_id, CAST(ch AS INTEGER) AS channel, round(contrast, 6) + 0.0 AS contrast, {_BIN} AS bin FROM k""")
+def phase_contrasts(spark, sf):
+    rows = _sequences(spark, sf).select("seq_id", F.posexplode(phases.contrasts(F.col("seq"), PHASE_TABLES)).alias("channel", "c"))
+    return rows.select("seq_id", "channel", (F.round("c", 6) + F.lit(0.0)).alias("contrast"), phases.binned(F.col("c"), BINS).alias("bin"))
+
+
+def _phase_windows(offset: int) -> str:
+    """(seq_id, win_idx, a, e) of windows of 16 codes that end at each position offset modulo 8, and at the last."""
+    return f"""ends AS (SELECT seq_id, e FROM ln, range(1, 100000) r(e) WHERE e <= n AND (e % {STRIDE} = {offset % STRIDE} OR e = n)),
+pw AS (SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY e) - 1 AS win_idx, greatest(e - {WINDOW}, 0) AS a, e FROM ends),
+x AS (SELECT pw.seq_id, win_idx, t0.ch, (t0.h + t1.h) % {PHASES} AS ph, count(*)::DOUBLE AS v FROM pw JOIN ev p ON p.seq_id = pw.seq_id AND p.pos >= a AND p.pos < e JOIN ev q ON q.seq_id = pw.seq_id AND q.pos > p.pos AND q.pos < e JOIN pt t0 ON t0.p = 0 AND t0.c = p.c JOIN pt t1 ON t1.p = 1 AND t1.c = q.c AND t1.ch = t0.ch GROUP BY ALL)"""
+
+
+@query(f"""WITH {PH}, {_phase_windows(OFFSET)}, k AS (SELECT pw.seq_id, r.ch, pw.win_idx, {_CONTRAST} AS contrast FROM pw CROSS JOIN range({CHANNELS}) r(ch) LEFT JOIN x ON x.seq_id = pw.seq_id AND x.win_idx = pw.win_idx AND x.ch = r.ch GROUP BY ALL)
+SELECT seq_id, CAST(ch AS INTEGER) AS channel, CAST(win_idx AS INTEGER) AS win_idx, {_BIN} AS bin FROM k""")
+def phase_windows(spark, sf):
+    rows = phases.sliding_histograms(_sequences(spark, sf), PHASE_TABLES, WINDOW, STRIDE, OFFSET)
+    return rows.select("seq_id", "channel", "win_idx", phases.binned(phases.contrast(F.col("histogram")), BINS).alias("bin"))
+
+
+@query(f"""WITH {PH}, {_phase_windows(0)}, one AS (SELECT seq_id, ch, win_idx, ph, v / sum(v) OVER (PARTITION BY seq_id, ch, win_idx) AS v FROM x),
+ut(ch, e, p, c, h) AS (VALUES {", ".join(f"({ch}, {2 * ch + e}, {p}, {c}, {t.hashes[p][c]})" for ch, ts in enumerate(UPPER_TABLES) for e, t in enumerate(ts) for p in range(2) for c in range(PHASES))}),
+nw AS (SELECT seq_id, max(win_idx) + 1 AS n FROM pw GROUP BY seq_id),
+w2 AS (SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY e) - 1 AS win_idx, greatest(e - 4, 0) AS a, e FROM nw, range(1, 100000) r(e) WHERE e <= n AND (e % 2 = 0 OR e = n)),
+y AS (SELECT w2.seq_id, w2.win_idx, t0.e AS ch, (t0.h + t1.h) % 4 AS ph, sum(f.v * g.v) AS v FROM w2 JOIN one f ON f.seq_id = w2.seq_id AND f.win_idx >= w2.a AND f.win_idx < w2.e JOIN one g ON g.seq_id = w2.seq_id AND g.ch = f.ch AND g.win_idx > f.win_idx AND g.win_idx < w2.e
+JOIN ut t0 ON t0.ch = f.ch AND t0.p = 0 AND t0.c = f.ph JOIN ut t1 ON t1.ch = f.ch AND t1.e = t0.e AND t1.p = 1 AND t1.c = g.ph GROUP BY ALL)
+SELECT w2.seq_id, CAST(r.ch AS INTEGER) AS channel, CAST(w2.win_idx AS INTEGER) AS win_idx, CAST(s.ph AS INTEGER) AS phase, round(coalesce(y.v / (SELECT sum(z.v) FROM y z WHERE z.seq_id = w2.seq_id AND z.win_idx = w2.win_idx AND z.ch = r.ch), 0), 9) + 0.0 AS share
+FROM w2 CROSS JOIN range({2 * CHANNELS}) r(ch) CROSS JOIN range(4) s(ph) LEFT JOIN y ON y.seq_id = w2.seq_id AND y.win_idx = w2.win_idx AND y.ch = r.ch AND y.ph = s.ph""")
+def phase_levels(spark, sf):
+    """Histograms of windows of histograms of windows."""
+    below = phases.sliding_histograms(_sequences(spark, sf), PHASE_TABLES, WINDOW, STRIDE)
+    rows = phases.soft_histograms(phases.as_soft(below), UPPER_TABLES, 4, 2)
+    return _long(rows, "histogram", "seq_id", "channel", "win_idx", name="share", digits=9).withColumnRenamed("idx", "phase")
+
+
 def _slides(spark, sf):
     p = engine.Parameters(method="TSS", size=SIZE, dim=DIM, tuple_length=2, window=WINDOW, stride=STRIDE)
     return _sequences(spark, sf).select("seq_id", engine.slide_column(F.col("seq"), p, TABLES2).alias("rows"))
