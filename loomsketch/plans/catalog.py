@@ -435,7 +435,15 @@ def part_name_edits(spark, sf):
     return pairs.in_group(rows, "p_partkey", "g", ["p_name"]).select("i", "j", distances.edit(F.col("p_name_i"), F.col("p_name_j")).alias("dist"))
 
 
-@query()
+def _rising(name: str, base: str, cell: str) -> str:
+    """A table of two sequences a row at a time: of each cell its own candidate, and then the best up to it."""
+    return f"{name}(i, j, n, x, y, k, row) AS ({base} UNION ALL SELECT i, j, n, x, y, k + 1, {cell} FROM {name} WHERE k < n)"
+
+
+@query(f"""WITH RECURSIVE {EV}, sq AS (SELECT seq_id, list(c ORDER BY pos) AS s FROM ev GROUP BY seq_id),
+{_rising("l", "SELECT a.seq_id, b.seq_id, len(a.s), a.s, b.s, 0, [0::BIGINT FOR z IN b.s] FROM sq a JOIN sq b ON a.seq_id // 2 = b.seq_id // 2 AND a.seq_id < b.seq_id",
+"(SELECT [list_max(c[1 : m]) FOR m IN range(1, len(c) + 1)] FROM (SELECT [CASE WHEN y[m] = x[k + 1] THEN 1 + CASE WHEN m > 1 THEN row[m - 1] ELSE 0 END ELSE row[m] END FOR m IN range(1, len(row) + 1)] AS c))")}
+SELECT i, j, row[-1] AS lcs, len(x) + len(y) - 2 * row[-1] AS dist FROM l WHERE k = n""")
 def lcs_pairs(spark, sf):
     rows = _sequences(spark, sf).select("seq_id", "seq")
     met = pairs.consecutive(rows, "seq_id", ["seq"])
@@ -443,7 +451,10 @@ def lcs_pairs(spark, sf):
     return met.select("i", "j", distances.lcs(a, b).cast("long").alias("lcs"), distances.lcs_distance(a, b).cast("long").alias("dist"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {VEC},
+{_rising("w", "SELECT a.seq_id, b.seq_id, len(a.v), a.v, b.v, 1, [list_sum([abs(a.v[1] - z) FOR z IN b.v[1 : m]]) FOR m IN range(1, len(b.v) + 1)] FROM ve a JOIN ve b ON a.seq_id // 2 = b.seq_id // 2 AND a.seq_id < b.seq_id",
+"(SELECT [s[m] + list_min(c[1 : m]) FOR m IN range(1, len(c) + 1)] FROM (SELECT s, [least(row[m], CASE WHEN m > 1 THEN row[m - 1] ELSE row[m] END) - CASE WHEN m > 1 THEN s[m - 1] ELSE 0 END FOR m IN range(1, len(row) + 1)] AS c FROM (SELECT [list_sum([abs(x[k + 1] - z) FOR z IN y[1 : m]]) FOR m IN range(1, len(y) + 1)] AS s)))")}
+SELECT i, j, round(row[-1], 6) AS dist FROM w WHERE k = n""")
 def dtw_pairs(spark, sf):
     met = pairs.consecutive(tables.vectors(spark, sf).select("seq_id", "v"), "seq_id", ["v"])
     return met.select("i", "j", F.round(distances.dtw(F.col("v_i"), F.col("v_j")), 6).alias("dist"))
