@@ -382,7 +382,9 @@ def flat_double(spark, sf):
     return _long(_slides(spark, sf).select("seq_id", flatten.flat_double(F.col("rows"), FLAT, DIM).alias("s")), "s", "seq_id", digits=5)
 
 
-@query()
+@query(f"""{TSS2}, sg(word, bit, win, f) AS (VALUES {", ".join(f"({i // 32}, {i % 32}, {w}, {SIGNS[i][w * DIM + (i // 32) % DIM]})" for i in range(len(SIGNS)) for w in range(4))}),
+pr AS (SELECT seq_id, word, bit, round(sum(f * value), 12) < 0 AS negative FROM ss JOIN sg ON ss.idx = word % {DIM} AND win = ss.win_idx % 4 GROUP BY ALL)
+SELECT seq_id, CAST(word AS INTEGER) AS idx, CAST(sum(CASE WHEN negative THEN 1::BIGINT << (31 - bit) ELSE 0 END) AS BIGINT) AS word FROM pr GROUP BY seq_id, pr.word""")
 def flat_int32(spark, sf):
     return _long(_slides(spark, sf).select("seq_id", flatten.flat_int32(F.col("rows"), SIGNS, DIM).alias("s")), "s", "seq_id", name="word")
 
