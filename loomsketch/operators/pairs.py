@@ -12,16 +12,25 @@ def _sides(df: DataFrame, id_column: str, columns: list[str]) -> tuple[DataFrame
     return left, right
 
 
-def triangle(df: DataFrame, id_column: str, columns: list[str], blocks: int = 8) -> DataFrame:
+#: Rows of a block, about, and pairs of blocks that have partitions of their own.
+BLOCK_ROWS, LEAST_BLOCKS, MOST_PARTS = 2_000, 8, 8_192
+
+
+def triangle(df: DataFrame, id_column: str, columns: list[str], blocks: int | None = None) -> DataFrame:
     """All pairs j < i of a set of ids, each in one task of a grid of blocks: rows meet by equal block pairs, not in a nested loop.
 
-    It is as large as the question, n (n - 1) / 2 rows; a row is copied blocks times, and no side is broadcast.
+    It is as large as the question, n (n - 1) / 2 rows; a row is copied blocks times, and no side is broadcast. How many blocks there
+    are goes by a count of the rows, and pairs of blocks are dealt over partitions by themselves, as few rows may be much work.
     """
+    if blocks is None:
+        blocks = max(LEAST_BLOCKS, -(-df.count() // BLOCK_ROWS))
     left, right = _sides(df, id_column, columns)
     at = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = left.withColumn("_a", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("_b", F.explode(at))
-    right = right.withColumn("_b", F.pmod(F.xxhash64("j"), F.lit(blocks)).cast("int")).withColumn("_a", F.explode(at))
-    return left.join(right, ["_a", "_b"]).where("j < i").drop("_a", "_b")
+    block = lambda column: F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+    left = left.withColumn("_other", F.explode(at)).withColumn("_pair", block("i") * blocks + F.col("_other")).drop("_other")
+    right = right.withColumn("_other", F.explode(at)).withColumn("_pair", F.col("_other") * blocks + block("j")).drop("_other")
+    parts = min(blocks * blocks, MOST_PARTS)
+    return left.repartition(parts, "_pair").join(right.repartition(parts, "_pair").hint("shuffle_hash"), "_pair").where("j < i").drop("_pair")
 
 
 def in_group(df: DataFrame, id_column: str, group: str, columns: list[str]) -> DataFrame:

@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered, running
+
 
 def fractional_rank(df: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:
     """Ranks from 1 with the mean rank for ties, within groups.
 
-    Values are counted first, so the window runs over distinct values; only without by is it one task's.
+    Values are counted first; the counts below a value are running sums over ranges of values, so neither a large group nor the whole
+    table is one task's.
     """
     counted = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counted.withColumn(name, below + (F.col("_n") + 1) / 2).drop("_n")
+    below = running(counted, list(by), [value], {"_below": "_n"})
+    ranks = below.withColumn(name, F.col("_below") + (F.col("_n") + 1) / 2).drop("_n", "_below")
     return df.join(ranks, [*by, value])
 
 
 def pearson(a: Column, b: Column) -> Column:
-    """Correlation from sums: 1 if both are constant, 0 if one is."""
-    n, a, b = F.count("*").cast("double"), a.cast("double"), b.cast("double")
-    top = n * F.sum(a * b) - F.sum(a) * F.sum(b)
-    va, vb = n * F.sum(a * a) - F.sum(a) * F.sum(a), n * F.sum(b * b) - F.sum(b) * F.sum(b)
-    return F.when((va <= 0) & (vb <= 0), 1.0).when((va <= 0) | (vb <= 0), 0.0).otherwise(F.try_divide(top, F.sqrt(va * vb)))
+    """Correlation, without large sums of squares: 1 if both are constant, 0 if one is. Rows with a null count for neither."""
+    met = a.isNotNull() & b.isNotNull()
+    a, b = F.when(met, a.cast("double")), F.when(met, b.cast("double"))
+    same_a, same_b = F.min(a) == F.max(a), F.min(b) == F.max(b)
+    return F.when(same_a & same_b, 1.0).when(same_a | same_b, 0.0).otherwise(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def spearman(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
@@ -32,9 +35,10 @@ def spearman(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 
 
 def spearman_ordinal(df: DataFrame, a: str, b: str, order: list[str], *by: str) -> DataFrame:
-    """(by..., spearman) by ranks without ties, which follow order."""
+    """(by..., spearman) by ranks without ties, which follow order. A group's rows are numbered on from those of the groups before it, which
+    correlation doesn't mind."""
     for column, name in ((a, "_ra"), (b, "_rb")):
-        df = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(column, *order)))
+        df = numbered(df, *by, column, *order, name=name)
     return df.groupBy(*by).agg(pearson(F.col("_ra"), F.col("_rb")).alias("spearman"))
 
 
@@ -50,10 +54,10 @@ def auroc(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
 def roc_curve(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
     """(by..., threshold, fpr, tpr) at each distinct score, from the highest."""
     at = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(positive)).alias("_p"), F.count_if(~F.col(positive)).alias("_n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    rate = lambda c: F.try_divide(F.sum(c).over(down), F.sum(c).over(whole))
-    return at.select(*by, "threshold", rate("_n").alias("fpr"), rate("_p").alias("tpr"))
+    above = running(at, list(by), ["threshold"], {"_fp": "_n", "_tp": "_p"}, descending=True)
+    totals = at.groupBy(*by).agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
+    met = above.join(totals, list(by)) if by else above.crossJoin(F.broadcast(totals))  # totals is one row
+    return met.select(*by, "threshold", F.try_divide(F.col("_fp") + F.col("_n"), "_all_n").alias("fpr"), F.try_divide(F.col("_tp") + F.col("_p"), "_all_p").alias("tpr"))
 
 
 def mean_and_deviation(value: str) -> list[Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet, distances, hashing, kmers, maths
-from ..operators import flatten, hashed, merging, pairs, phases, phylogeny, sliding, stats, synth, tensors
+from ..operators import flatten, hashed, merging, pairs, phases, phylogeny, ranges, sliding, stats, synth, tensors
 from ..sources import exons, fasta, tables
 from . import engine, experiment
 
@@ -568,7 +568,7 @@ def rank_matrix(spark, sf):
 @query("SELECT o_orderkey, CAST(ntile(100) OVER (ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS bin FROM orders")
 def quantile_bins(spark, sf):
     rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
-    return rows.select("o_orderkey", F.ntile(100).over(Window.orderBy("o_totalprice", "o_orderkey")).alias("bin"))
+    return ranges.quantile_bins(rows, 100, "o_totalprice", "o_orderkey").select("o_orderkey", "bin")
 
 
 @query("SELECT o_orderkey, round(o_totalprice / max(o_totalprice) OVER (PARTITION BY o_orderpriority), 6) AS share FROM orders")
