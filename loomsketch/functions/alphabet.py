@@ -22,15 +22,21 @@ class Alphabet:
         found = {c: i for i, c in enumerate(self.letters)}
         return found | {c.lower(): i for c, i in found.items()} if self.fold else found
 
+    def table(self) -> Column:
+        """Codes by code point, of ASCII letters."""
+        codes = self.codes()
+        return F.expr("array(" + ", ".join(str(codes.get(chr(c), self.invalid)) for c in range(128)) + ")")
+
     def encode(self, text: Column) -> Column:
         """A string to its array of codes; null stays null."""
-        codes = F.create_map(*[F.lit(x) for pair in self.codes().items() for x in pair])
+        table = self.table()
         letters = F.filter(F.split(text, ""), lambda c: c != "")
-        return F.transform(letters, lambda c: F.coalesce(F.element_at(codes, c), F.lit(self.invalid)))
+        return F.transform(letters, lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(self.invalid)))
 
     def encode_known(self, text: Column) -> Column:
-        """As encode(), without what the alphabet doesn't have."""
-        return F.filter(self.encode(text), lambda c: c < self.size)
+        """As encode(), without what the alphabet doesn't have: other letters go before the string is taken apart."""
+        known = "".join(c for c, i in self.codes().items() if i < self.size)
+        return F.filter(self.encode(F.regexp_replace(text, f"[^{known}]", "")), lambda c: c < self.size)
 
     def decode(self, codes: Column) -> Column:
         letters = F.array(*map(F.lit, self.letters))

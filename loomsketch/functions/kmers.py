@@ -42,5 +42,19 @@ def with_occurrence(rows: DataFrame) -> DataFrame:
 
 
 def occurrences(values: Column) -> Column:
-    """For each element of an array, how many equal ones come before it; struct(kmer, occ)."""
-    return F.transform(values, lambda x, i: F.struct(x.alias("kmer"), F.size(F.filter(F.slice(values, F.lit(1), i), lambda y: y == x)).cast("long").alias("occ")))
+    """For each element of an array, how many equal ones come before it; struct(kmer, occ). Elements are sorted with their places, so that equal ones
+    are runs; a place's number in its run is its distance from where the run begins."""
+
+    def of(placed: Column) -> Column:
+        begins = F.transform(placed, lambda p, i: (i == 0) | (F.get(placed, i - 1)["kmer"] != p["kmer"]))
+        # the run's first place, carried on from element to element
+        return let(F.struct(placed.alias("placed"), _carried(begins).alias("first")), lambda x: F.transform(F.array_sort(F.zip_with(x["placed"], F.transform(x["first"], lambda f, i: i - f), lambda p, occ: F.struct(p["pos"].alias("pos"), p["kmer"].alias("kmer"), occ.cast("long").alias("occ")))), lambda r: F.struct(r["kmer"].alias("kmer"), r["occ"].alias("occ"))))
+
+    return let(F.array_sort(F.transform(values, lambda x, i: F.struct(x.alias("kmer"), i.alias("pos")))), of)
+
+
+def _carried(begins: Column) -> Column:
+    """For each place the last place up to it that is true; the first is. Spans double: what no place of the last span gives is taken from the span before."""
+    marks = F.transform(begins, lambda b, i: F.when(b, i).otherwise(F.lit(-1)))
+    spans = F.filter(F.array(*(F.lit(1 << s) for s in range(31))), lambda s: s < F.size(begins))
+    return F.aggregate(spans, marks, lambda m, s: F.transform(m, lambda x, i: F.greatest(x, F.coalesce(F.get(m, i - s), F.lit(-1)))))
