@@ -28,12 +28,14 @@ def fixed_length(seq: np.ndarray, length: int, size: int, rng: np.random.Generat
     return np.concatenate([seq[:length], rng.integers(0, size, max(0, length - len(seq)))])
 
 
-def group(shape: str, members: int, length: int, size: int, rates: tuple[float, float], fix: bool, rng: np.random.Generator) -> list[np.ndarray]:
+def group(shape: str, members: int, length: int, size: int, rates: tuple[float, float], fix: bool, rng: np.random.Generator, founder: np.ndarray | None = None) -> list[np.ndarray]:
+    """A founder, random if none is given, and relatives of it."""
+
     def child(of: np.ndarray) -> np.ndarray:
         new = mutated(of, rng.uniform(*rates), size, rng)
         return fixed_length(new, length, size, rng) if fix else new
 
-    found = [rng.integers(0, size, length)]
+    found = [rng.integers(0, size, length) if founder is None else fixed_length(founder, length, size, rng) if fix else founder]
     while len(found) < members:
         if shape in ("path", "pair"):
             found.append(child(found[-1]))
@@ -58,3 +60,20 @@ def sequences(spark: SparkSession, *, num_seqs: int = 200, seq_len: int = 256, s
                 yield pd.DataFrame({"seq_id": ids, "group": int(g), "seq": made})[lambda d: d["seq_id"] < num_seqs]
 
     return spark.range(-(-num_seqs // members)).mapInPandas(run, "seq_id long, group long, seq array<int>")
+
+
+def relatives(founders: DataFrame, *, size: int, members: int = 2, shape: str = "path", rates: tuple[float, float] = (0.0, 0.5), length: int | None = None, seed: int = 20251) -> DataFrame:
+    """(seq_id, group, seq): groups that founders(seq_id, seq) found, seq_id as group; sequences of one length, if it is given. A group depends on nothing but
+    seed, its founder and its number. Null sequences and ids found none; codes outside the alphabet are left out."""
+    if shape not in SHAPES:
+        raise ValueError(f"unknown shape {shape!r}; known are {', '.join(SHAPES)}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, seq in zip(batch["seq_id"], batch["seq"], strict=True):
+                codes = np.asarray(seq, np.int64)
+                codes = codes[(codes >= 0) & (codes < size)]
+                made = group(shape, members, length or len(codes), size, rates, length is not None, np.random.default_rng([seed, int(g) % (1 << 63)]), codes)
+                yield pd.DataFrame({"seq_id": [int(g) * members + i for i in range(members)], "group": int(g), "seq": made})
+
+    return founders.where("seq_id IS NOT NULL AND seq IS NOT NULL").select(founders.seq_id.cast("long").alias("seq_id"), "seq").mapInPandas(run, "seq_id long, group long, seq array<int>")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet, distances, hashing, kmers, maths
 from ..operators import flatten, hashed, merging, pairs, phases, phylogeny, ranges, sliding, stats, synth, tensors
-from ..sources import exons, fasta, tables
-from . import engine, experiment
+from ..sources import exons, fasta, results, tables
+from ..sources.shared import new_path, written
+from . import engine, experiment, timing
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -644,9 +645,12 @@ def exon_statistics(spark, sf):
 
 @query("SELECT seq_id, CAST(len(string_split(hex, ',')) AS BIGINT) AS n FROM (SELECT user_id AS seq_id, string_agg('f', ',') AS hex FROM events GROUP BY user_id)")
 def hex_lines(spark, sf):
-    lines = _sequences(spark, sf).select("seq_id", F.array_join(F.transform("seq", lambda c: F.lower(F.hex(c + 240))), ",").alias("line"))
-    codes = F.transform(F.split("line", ","), lambda x: F.conv(x, 16, 10).cast("int") - 240)
-    return lines.select("seq_id", F.size(F.filter(codes, lambda c: (c >= 0) & (c < SIZE))).cast("long").alias("n"))
+    """Sequences written as lines of hexadecimal codes, the sequence's number first, and read again."""
+    given = _sequences(spark, sf).select(F.concat(F.array(F.col("seq_id").cast("int")), F.transform("seq", lambda c: c + 240)).alias("seq"))
+    path = new_path(spark, "hex")
+    fasta.write_hex(given, path)
+    read = fasta.read_hex(spark, path).select(F.get("seq", F.lit(0)).cast("long").alias("seq_id"), F.slice("seq", F.lit(2), F.size("seq")).alias("codes"))
+    return read.select("seq_id", F.size(F.filter("codes", lambda c: (c >= 240) & (c < 240 + SIZE))).cast("long").alias("n"))
 
 
 @query()
@@ -658,23 +662,72 @@ def upgma(spark, sf):
 
 @query()
 def synthetic_sequences(spark, sf):
-    rows = synth.sequences(spark, num_seqs=200, shape="tree", group_size=8, fix_len=True)
+    """Trees of relatives whose founders are the users' event sequences."""
+    rows = synth.relatives(_sequences(spark, sf), size=SIZE, members=8, shape="tree")
     return rows.select("seq_id", "group", F.size("seq").alias("n"), F.array_join("seq", "").alias("codes"))
 
 
-@query()
-def experiment_quality(spark, sf):
-    rows = synth.sequences(spark, num_seqs=60, seq_len=64, rates=(0.0, 1.0), fix_len=True)
-    common = {"size": 4, "seq_len": 64, "form": "arrow"}
-    window = engine.experiment_defaults(64, 16)
-    common["stride"] = 8
-    methods = [
+LENGTH = 64
+
+
+def _methods() -> list[engine.Parameters]:
+    """All eight methods, for sequences of about LENGTH codes."""
+    common = {"size": SIZE, "seq_len": LENGTH, "form": "arrow"}
+    window = {"tuple_length": 2} | common | engine.experiment_defaults(LENGTH, 16) | {"stride": 4}
+    return [
         engine.Parameters(method="MH", kmer_length=3, dim=16, **common),
         engine.Parameters(method="WMH", kmer_length=3, dim=16, **common),
         engine.Parameters(method="OMH", kmer_length=3, dim=16, tuple_length=2, **common),
         engine.Parameters(method="TS", dim=16, **common),
         engine.Parameters(method="TSB", dim=16, tuple_length=4, block=2, **common),
-        engine.Parameters(method="TSS", tuple_length=2, **(common | window | {"stride": 4})),
+        *(engine.Parameters(method=m, **window) for m in ("TSS", "TSS_flat_int32", "TSS_flat_double")),
     ]
-    rows = experiment.distances(rows, methods).persist()
-    return experiment.quality(rows, 0.5, 64)
+
+
+def _relatives(spark, sf):
+    """Each user's events and one mutation of them, at rates from 0 to 1."""
+    return written(synth.relatives(_sequences(spark, sf), size=SIZE, rates=(0.0, 1.0), length=LENGTH), "experiment")
+
+
+@query()
+def experiment_quality(spark, sf):
+    rows = _relatives(spark, sf)
+    met = written(experiment.distances(rows, _methods(), reruns=2), "experiment")
+    return experiment.quality(met, [0.1, 0.2, 0.5], rows.select("seq_id", F.size("seq").alias("n")))
+
+
+@query()
+def method_timing(spark, sf):
+    """Milliseconds a sketch and a distance by method, and as a share of the edit distance's."""
+    return timing.relative(timing.measured(_relatives(spark, sf), [engine.Parameters(method="ED"), *_methods()]))
+
+
+@query("WITH d AS (SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS s FROM documents) SELECT CAST(doc_id AS VARCHAR) AS id, lang, CAST(length(s) AS INTEGER) AS n, md5(s) AS digest FROM d JOIN documents USING (doc_id) WHERE s <> ''")
+def fasta_records(spark, sf):
+    """Documents' bases written as FASTA in lines of 60 letters, and read again with their headers' fields."""
+    bases = F.upper(F.regexp_replace("text", "[^ACGTacgt]", ""))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("id:"), "doc_id", F.lit("|lang:"), "lang").alias("comment"), F.regexp_replace(bases, "(.{60})(?=.)", "$1\n").alias("letters"))
+    path = new_path(spark, "fasta")
+    fasta.write_fasta(docs.where("letters <> ''"), path)
+    read = fasta.read_fasta(spark, path, alphabet.DNA4).withColumn("m", fasta.header_fields(F.col("comment")))
+    return read.select(F.element_at("m", F.lit("id")).alias("id"), F.element_at("m", F.lit("lang")).alias("lang"), F.size("seq").alias("n"), F.md5(alphabet.DNA4.decode(F.col("seq")).cast("binary")).alias("digest"))
+
+
+@query(f"WITH {MH}, d AS (SELECT x.seq_id AS i, count(*) FILTER (x.kmer <> y.kmer) AS dist FROM mh x JOIN mh y ON x.idx = y.idx AND y.seq_id < x.seq_id GROUP BY x.seq_id, y.seq_id) SELECT 'user' || seq_id AS name, CAST(count(dist) AS INTEGER) AS n, CAST(coalesce(sum(dist), 0) AS DOUBLE) AS total FROM (SELECT DISTINCT seq_id FROM ev) LEFT JOIN d ON i = seq_id GROUP BY seq_id")
+def triangle_lines(spark, sf):
+    """The matrix of MinHash distances written as a triangle of lines, and read again."""
+    rows = _grams(spark, sf).select("seq_id", hashed.minhash(F.col("kmers"), AFFINE).alias("s"))
+    met = pairs.triangle(rows, "seq_id", ["s"]).select("i", "j", distances.hamming(F.col("s_i"), F.col("s_j")).cast("double").alias("dist"))
+    whole = rows.select(F.col("seq_id").alias("i")).join(met, "i", "left").withColumn("name", F.concat(F.lit("user"), "i"))
+    path = new_path(spark, "triangle")
+    results.write_triangle(whole, path)
+    lines = results.read_triangle(spark, path)
+    return lines.select("name", F.size("distances").alias("n"), F.aggregate("distances", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+@query(f"WITH {VEC}, d AS (SELECT a.label, a.seq_id AS i, b.seq_id AS j, round(list_sum([abs(a.v[i] - b.v[i]) FOR i IN range(1, 65)]), 6) AS dist FROM ve a JOIN ve b ON b.label = a.label AND a.seq_id < b.seq_id) SELECT label, i, j, dist, row_number() OVER (ORDER BY dist, i, j) AS place FROM d")
+def sorted_pairs(spark, sf):
+    """Pairs of vectors by rising distance, each with its place."""
+    rows = pairs.in_group(tables.vectors(spark, sf), "seq_id", "label", ["v"])
+    met = rows.select("label", "i", "j", F.round(distances.l1(F.col("v_i"), F.col("v_j")), 6).alias("dist"))
+    return ranges.numbered(met, "dist", "i", "j", name="place")

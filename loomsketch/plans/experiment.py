@@ -27,13 +27,24 @@ def against_edit_distance(rows: DataFrame) -> DataFrame:
     return rows.where("algo <> 'ED'").join(ed, ["s1", "s2"])
 
 
-def quality(rows: DataFrame, threshold: float, length: int) -> DataFrame:
-    """(algo, spearman mean and deviation over reruns, spearman of the median and the mean distance, auroc at a threshold)."""
+def quality(rows: DataFrame, thresholds: float | list[float], lengths: int | DataFrame) -> DataFrame:
+    """(algo, spearman mean and deviation over reruns, spearman of the median and the mean distance, auroc at each threshold).
+
+    Far are pairs whose edit distance is at least threshold times the length: one number, or in lengths(seq_id, n) that of the pair's first
+    sequence. One threshold gives a column auroc, several auroc_0.1 and so on, with _ for the point."""
     met = against_edit_distance(rows)
     runs = stats.spearman(met, "dist", "ed", "algo", "rerun").groupBy("algo").agg(F.avg("spearman").alias("spearman"), F.stddev_pop("spearman").alias("deviation"))
     merged = stats.over_reruns(met).join(met.select("algo", "s1", "s2", "ed").distinct(), ["algo", "s1", "s2"])
     of_median = stats.spearman(merged, "median", "ed", "algo").withColumnRenamed("spearman", "spearman_of_median")
     of_mean = stats.spearman(merged, "mean", "ed", "algo").withColumnRenamed("spearman", "spearman_of_mean")
-    labelled = merged.withColumn("far", F.col("ed") >= threshold * length)
-    area = stats.auroc(labelled, "mean", "far", "algo")
-    return runs.join(of_median, "algo").join(of_mean, "algo").join(area, "algo")
+    if isinstance(lengths, DataFrame):
+        sized = merged.join(lengths.select(F.col("seq_id").alias("s1"), F.col("n").alias("_length")), "s1")
+    else:
+        sized = merged.withColumn("_length", F.lit(lengths))
+    out = runs.join(of_median, "algo").join(of_mean, "algo")
+    several = isinstance(thresholds, list)
+    for threshold in thresholds if several else [thresholds]:
+        labelled = sized.withColumn("far", F.col("ed") >= threshold * F.col("_length"))
+        name = f"auroc_{threshold}".replace(".", "_") if several else "auroc"
+        out = out.join(stats.auroc(labelled, "mean", "far", "algo").withColumnRenamed("auroc", name), "algo")
+    return out
