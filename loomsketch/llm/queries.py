@@ -55,7 +55,7 @@ def op4_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replaced(documents(spark, sf_dir), SURROGATE_KEY)
+    return surrogates.replaced(documents(spark, sf_dir), SURROGATE_KEY).select("doc_id", "text", "n_replaced")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,25 +2,30 @@
 
 Found are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, card numbers, social security numbers, IBANs,
 quoted secrets, dates of birth, passport numbers, street addresses, and names of persons: a known given name and the
-capitalised word after it, or one or two capitalised words after a title. Where a document has a full name, its given
-name and its surname alone are mentions of that person too, of the last one named so before them. Spellings of one
+capitalised word after it, or one or two capitalised words after a title or words such as "my name is". Where a document has a
+full name, its given name and its surname alone are mentions of that person too, of the last one named so before them. Spellings of one
 entity, such as other separators or case, have one normal form, and so one surrogate in all documents; each place shows
 it in its own spelling. A surrogate is drawn from an HMAC of kind and normal form: digits for digits, letters for letters
-of the same case and script, country codes, top-level domains, separators and the validity of check digits kept; names
-get a given name of the same gender and script, and a surname of the script. The gender of an unknown given name is its
-title's, or drawn.
+of the same case and script, country codes, top-level domains, separators and the validity of check digits kept, and days that
+the calendar has.
 
-All distinct entities of the corpus are checked: where two share a surrogate, or a surrogate is an original of the
-corpus, all but the first draw again, until none do. The check and the mapping are joins; nothing but single documents
+A person is a given name and a surname, and each has a surrogate of its own, whatever the title and wherever it stands: so a
+full name, its parts, and "Dr. Zhang" in another document agree, and different names stay different. Given names get one of the same
+gender and script: the gender that is known, or that most titles in the corpus tell, or a drawn one.
+
+All distinct entities of the corpus are checked, across kinds: where two share a surrogate, or a surrogate is an original of the
+corpus, all but the first draw again, until none do. With each attempt there is more to draw from (more names, letters or digits, years
+farther off), so it ends; after ROUNDS attempts it is an error that names the kinds. The check and the mapping are joins; nothing but single documents
 and entities is held in memory.
 
-Nulls: a null text stays null, and a null doc_id is an id like others. Repeated rows get the same surrogates. No rows
+Nulls: a null text stays null, and a null doc_id is an id like others. Repeated rows get the same surrogates. Other columns stay. No rows
 give no rows.
 """
 
 from __future__ import annotations
 
 import bisect
+import datetime
 import hashlib
 import hmac
 import ipaddress
@@ -47,6 +52,10 @@ SURNAMES = {
 STREETS = "Linden Oak Maple Cedar Garden Mill Station Church Park River Meadow Hill Spring Forest Castle Market".split()
 SURNAMES[("latin", "m")] = SURNAMES[("latin", "f")]
 SURNAMES[("cyrillic", "f")] = [s + "а" for s in SURNAMES[("cyrillic", "m")]]
+#: Attempts at a surrogate, after which a kind has too few.
+ROUNDS = 48
+# What names are made up of once the lists have too few.
+ONSETS, VOWELS = {"latin": "b d f g h k l m n p r s t v z br dr fl gr kl st tr".split(), "cyrillic": "б в г д з к л м н п р с т ф бр гр др ст тр".split()}, {"latin": "a e i o u".split(), "cyrillic": "а е и о у".split()}
 GENDER = {name.lower(): who for who, names in GIVEN.items() for name in names}
 
 _NUMBER = re.compile(r"[+(0-9][0-9 ().\-]{5,}[0-9]")
@@ -65,6 +74,7 @@ _PASSPORT = re.compile(r"\b(?:passport|reisepass|passeport|pasaporte)(?: (?:numb
 _STREET = re.compile(r"(?<![\w-])(?:[0-9]{1,5} (?:[A-Z][a-z]+ ){1,2}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd)|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|gasse) [0-9]{1,4})(?!\w)")
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'\-]+"
 _TITLED = re.compile(rf"(?<!\w)(?:(Mr|Herr|Monsieur|Señor|Sr)|(Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)|Dr|Prof)\.? ({_NAME}(?: {_NAME})?)")
+_CALLED = re.compile(rf"\b(?:my name is|i am called|(?:full )?name:|signed by|best regards,|sincerely,|ich heiße|je m'appelle|me llamo|меня зовут)\s+({_NAME} {_NAME})", re.I)
 # Country calling codes of one and of two digits; all others have three.
 CALLING = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 _names = None
@@ -158,9 +168,14 @@ def _persons(text: str) -> list[tuple[int, int, str, str]]:
             continue
         value = m[3].lower()
         if " " in value:
-            full.append((m.start(3), m.end(3), "name:m" if m[1] else "name:f" if m[2] else "name", value))
+            full.append((m.start(3), m.end(3), "name", value))
         else:
             alone.append((m.start(3), m.end(3), "surname", value))
+    starts = {s[0] for s in full}
+    for m in _CALLED.finditer(text):
+        words = m[1].split(" ")
+        if m.start(1) not in starts and all(w[0].isupper() for w in words):
+            full.append((m.start(1), m.end(1), "name", m[1].lower()))
     if not full:
         return alone
     persons: dict[str, list[tuple[int, str, str]]] = {}  # a name as written: where, and of whom
@@ -178,6 +193,11 @@ def _persons(text: str) -> list[tuple[int, int, str, str]]:
     return found + [s for s in alone if s[0] not in mentions]
 
 
+def titled_genders(text: str) -> set[tuple[str, str]]:
+    """(given name, gender) as titles before full names tell it."""
+    return {(m[3].lower().partition(" ")[0], "m" if m[1] else "f") for m in _TITLED.finditer(text) if (m[1] or m[2]) and " " in m[3]}
+
+
 def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -239,7 +259,7 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
         return body + str(check if valid else (check + 1 + draws.below(9)) % 10)
     if kind == "phone":
         country = value[: 1 + next((n for n in (1, 2) if value[1 : 1 + n] in CALLING), 3)] if value[0] == "+" else ""
-        return country + draws.like(value[len(country) :])
+        return country + draws.like(value[len(country) :] + "0" * wider)
     if kind == "iban":
         body = draws.like(value[4:])
         return f"{value[:2]}{98 - _mod97(value[:2] + '00' + body):02d}{body}"
@@ -249,41 +269,75 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     if kind == "ipv6":
         return re.sub("[0-9a-f]+", lambda m: f"{1 + draws.below(16 ** len(m[0]) - 1):x}", value)
     if kind == "birth":
-        return _another_day(value, draws)
+        return _another_day(value, attempt, draws)
     if kind == "street":
-        word = "-".join(STREETS[draws.below(len(STREETS))] for _ in range(1 + (wider > 0)))
-        number = draws.like(re.sub(r"[^0-9]", "", value))
+        word = "-".join(STREETS[draws.below(len(STREETS))] for _ in range(1 + attempt // 4))
+        number = draws.like(re.sub(r"[^0-9]", "", value) + "0" * (attempt // 8))
+        number = number.lstrip("0") or "1"
         if value[0].isdigit():
             return f"{number} {word} {value.split()[-1]}"
         return f"{word}{re.search('straße|strasse|gasse', value)[0]} {number}"
-    if kind == "surname":
-        names = SURNAMES["cyrillic" if _cyrillic(value) else "latin", "m"]
-        return "-".join(names[draws.below(len(names))] for _ in range(1 + attempt)).lower()
     if kind.startswith("name"):
-        given, _, _ = value.partition(" ")
-        who = GENDER.get(given, ("cyrillic" if _cyrillic(value) else "latin", kind[5:] or "fm"[Draws(key, "gender", given).below(2)]))
-        found = f"{GIVEN[who][draws.below(len(GIVEN[who]))]} {SURNAMES[who][draws.below(len(SURNAMES[who]))]}"
-        more = [SURNAMES[who][draws.below(len(SURNAMES[who]))] for _ in range(attempt)]
-        return "-".join([found, *more]).lower()
-    return draws.like(value)
+        given, _, last = value.partition(" ")
+        return f"{surrogate('given' + kind[4:], given, attempt, key)} {surrogate('surname', last, attempt, key)}"
+    if kind == "surname" or kind.startswith("given"):
+        return _another_name(kind, value, attempt, draws).lower()
+    return draws.like(value + "0" * wider if value[-1:].isdigit() else value + "x" * wider)
 
 
 def _cyrillic(text: str) -> bool:
     return any("а" <= c <= "я" or c == "ё" for c in text.lower())
 
 
-def _another_day(date: str, draws: Draws) -> str:
-    """Another day within six years, of the same format."""
+def _another_name(kind: str, value: str, attempt: int, draws: Draws) -> str:
+    """A name of the lists at the first attempts, and then one made up of ever more syllables."""
+    script = "cyrillic" if _cyrillic(value) else "latin"
+    if kind == "surname":
+        who = "f" if script == "cyrillic" and value.endswith(("а", "я")) else "m"
+        names, ending = SURNAMES[script, who], {"latin": "er", "cyrillic": "ов" if who == "m" else "ова"}[script]
+    else:
+        who = GENDER.get(value, (script, kind[6:] or "fm"[draws.below(2)]))[1]
+        names, ending = GIVEN[script, who], {"latin": "a" if who == "f" else "en", "cyrillic": "а" if who == "f" else "ан"}[script]
+    if attempt < 4:
+        return names[draws.below(len(names))]
+    onsets, vowels = ONSETS[script], VOWELS[script]
+    made = [onsets[draws.below(len(onsets))] + vowels[draws.below(len(vowels))] for _ in range(attempt // 4)]
+    return "".join([*made, onsets[draws.below(len(onsets))], ending])
+
+
+def _day(date: str) -> tuple[list[str], list[int]] | None:
+    """The numbers of a date, and which of them are year, month and day, as the calendar has them; of month and day, where either may come
+    first, the day does only if there is no such date otherwise or between points."""
     numbers = re.findall("[0-9]+", date)
-    year = max(numbers, key=len)
-    new = [str(int(year) - 6 + draws.below(13)).zfill(4) if n is year else str(1 + draws.below(12 if len(n) > 1 else 9)).zfill(len(n)) for n in numbers]
-    parts = iter(new)
+    orders = [[0, 1, 2]] if len(numbers[0]) == 4 else [[2, 1, 0], [2, 0, 1]] if "." in date else [[2, 0, 1], [2, 1, 0]]
+    for order in orders:
+        try:
+            datetime.date(*(int(numbers[i]) for i in order))
+        except ValueError:
+            continue
+        return numbers, order
+    return None
+
+
+def _another_day(date: str, attempt: int, draws: Draws) -> str:
+    """Another day of the calendar within six years, and of twice as many with each second attempt, with as many digits in each place. What was no day of
+    the calendar is one then."""
+    numbers, order = _day(date) or (re.findall("[0-9]+", date), [0, 1, 2] if len(re.match("[0-9]+", date)[0]) == 4 else [2, 0, 1])
+    year, reach = min(max(int(numbers[order[0]]), 1000), 9999), 6 << min(attempt // 2, 10)
+    first, last = datetime.date(max(1000, year - reach), 1, 1), datetime.date(min(9999, year + reach), 12, 31)
+    while True:  # one in thirty days at least has the digits
+        day = first + datetime.timedelta(draws.below((last - first).days + 1))
+        new = dict(zip(order, (day.year, day.month, day.day), strict=True))
+        shown = [str(new[i]) if len(n) == 1 else str(new[i]).zfill(len(n)) for i, n in enumerate(numbers)]
+        if all(len(x) == len(n) for x, n in zip(shown, numbers, strict=True)):
+            break
+    parts = iter(shown)
     return re.sub("[0-9]+", lambda _: next(parts), date)
 
 
 def spelt(kind: str, new: str, place: str) -> str:
     """A surrogate's normal form in the spelling of a place."""
-    if kind.startswith(("name", "surname")):
+    if kind in ("given", "surname") or kind.startswith("name"):
         return new.upper() if place.isupper() else re.sub(r"\w+", lambda m: m[0].capitalize(), new)
     if kind == "email":
         return new.upper() if place.isupper() else new
@@ -294,69 +348,99 @@ def spelt(kind: str, new: str, place: str) -> str:
     return out + "".join(rest)
 
 
+def entities(text: str) -> set[tuple[str, str, str | None]]:
+    """(kind, normal form, gender) of what is to be replaced in a text: a full name is its given name, with the gender that its title tells, and its surname."""
+    out: set[tuple[str, str, str | None]] = set()
+    found = spans(text)
+    genders = titled_genders(text) if any(s[2] == "name" for s in found) else set()
+    for _, _, kind, value in found:
+        if kind.startswith("name"):
+            given, _, last = value.partition(" ")
+            out |= {("surname", last, None), *({("given", given, g) for name, g in genders if name == given} or {("given", given, None)})}
+        else:
+            out.add((kind, value, None))
+    return out
+
+
 def _found(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, kind, value) for i, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for kind, value in sorted({(s[2].partition("/")[0], s[3]) for s in spans(t)})]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "key", "kind", "value"])
+            rows = [(i, k, *e) for i, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for e in sorted(entities(t), key=str)]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "key", "kind", "value", "gender"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, kind string, value string")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, kind string, value string, gender string")
 
 
-def mapping(found: DataFrame, key: bytes, draw=surrogate) -> DataFrame:
-    """(kind, value, new): a surrogate for each distinct entity, all different, and none an original."""
+def mapping(found: DataFrame, key: bytes, draw=surrogate, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, value, new): a surrogate for each distinct entity of found(kind, value, gender), all different, and none an original."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, value, attempt = (c.to_pylist() for c in batch.columns)
-            new = [draw(*x, key) for x in zip(kind, value, attempt, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "value", "attempt", "new"])
-
-    schema = "kind string, value string, attempt int, new string"
-    originals = found.select("kind", "value").distinct()
-    now = written(originals.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(run, schema), "surrogates")
-    while True:
-        first = now.groupBy("kind", "new").agg(F.min("value").alias("first"), F.count("*").alias("many"))
-        taken = now.select("kind", F.col("value").alias("new")).withColumn("taken", F.lit(True))
-        judged = now.join(first, ["kind", "new"]).join(taken, ["kind", "new"], "left")
-        again = F.coalesce("taken", F.lit(False)) | ((F.col("many") > 1) & (F.col("value") != F.col("first")))
-        judged = written(judged.select("kind", "value", "attempt", "new", again.alias("again")), "surrogates")
+            kind, gender, value, attempt = (c.to_pylist() for c in batch.columns)
+            new = [draw(f"{k}:{g}" if g else k, v, a, key) for k, g, v, a in zip(kind, gender, value, attempt, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "gender", "value", "attempt", "new"])
+
+    schema = "kind string, gender string, value string, attempt int, new string"
+    vote = F.sum(F.when(F.col("gender") == "m", 1).when(F.col("gender") == "f", -1).otherwise(0))
+    originals = found.groupBy("kind", "value").agg(vote.alias("vote")) if "gender" in found.columns else found.select("kind", "value", F.lit(0).alias("vote")).distinct()
+    gender = F.when(F.col("vote") > 0, "m").when(F.col("vote") < 0, "f")
+    now = written(originals.select("kind", gender.alias("gender"), "value", F.lit(0).alias("attempt")).mapInArrow(run, schema), "surrogates")
+    for _ in range(rounds):
+        first = now.groupBy("new").agg(F.min(F.struct("attempt", "kind", "value")).alias("first"), F.count("*").alias("many"))
+        taken = now.select(F.col("value").alias("new")).distinct().withColumn("taken", F.lit(True))
+        judged = now.join(first, "new").join(taken, "new", "left")
+        again = F.coalesce("taken", F.lit(False)) | ((F.col("many") > 1) & (F.struct("attempt", "kind", "value") != F.col("first")))  # who has it keeps it
+        judged = written(judged.select("kind", "gender", "value", "attempt", "new", again.alias("again")), "surrogates")
         discard(now)
         if not judged.where("again").limit(1).count():
             return judged.select("kind", "value", "new")
-        anew = judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(run, schema)
-        now = written(judged.where("not again").select("kind", "value", "attempt", "new").unionAll(anew), "surrogates")
-        discard(judged)
+        anew = judged.where("again").select("kind", "gender", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(run, schema)
+        now = written(judged.where("not again").select("kind", "gender", "value", "attempt", "new").unionAll(anew), "surrogates")
+        short = judged.where("again")
+    kinds = sorted(r.kind for r in short.select("kind").distinct().collect())  # a few kinds
+    raise ValueError(f"after {rounds} attempts there are not enough surrogates of {', '.join(kinds)}")
+
+
+def _shown(kind: str, value: str, new: dict[tuple[str, str], str]) -> tuple[str, str]:
+    """The kind and the surrogate's normal form that stand in a span's place."""
+    whole, _, part = kind.partition("/")
+    if whole != "name":
+        return kind, new[kind, value]
+    given, _, last = value.partition(" ")
+    words = ([] if part == "last" else [new["given", given]]) + ([] if part == "given" else [new["surname", last]])
+    return "name", " ".join(words)
 
 
 def replaced(docs: DataFrame, key: bytes) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, text, n_replaced) with surrogates in the texts."""
+    """docs(doc_id, text, ...) with surrogates in the texts, and n_replaced: how many places they took."""
     found = written(_found(docs), "entities")
     often = found.groupBy("kind", "value").agg(F.count("*").alias("many"))
-    new = mapping(found, key).join(often, ["kind", "value"])
+    new = written(mapping(found, key), "surrogates").join(often, ["kind", "value"])
     known = join_frequent(found, new, ["kind", "value"], found.count())
-    of_doc = known.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set(F.struct("kind", "value", "new")).alias("known"))
+    of_doc = known.groupBy(F.col("doc_id").alias("_of_doc"), F.col("key").alias("_of_text")).agg(F.collect_set(F.struct("kind", "value", "new")).alias("_entities"))
+    names = [c for c in docs.columns if c != "n_replaced"]
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for text, entries in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, entries in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 n = 0
                 if entries:
                     new = {(e["kind"], e["value"]): e["new"] for e in entries}
-                    out, at = [], 0
-                    for start, end, kind, value in spans(text):
-                        kind, _, part = kind.partition("/")
-                        whole = new[kind, value]
-                        if part:
-                            whole = whole.split(" ", 1)[part == "last"]
-                        out += [text[at:start], spelt(kind, whole, text[start:end])]
-                        at, n = end, n + 1
-                    text = "".join([*out, text[at:]])
+                    out, end = [], 0
+                    for start, stop, kind, value in spans(text):
+                        out += [text[end:start], spelt(*_shown(kind, value, new), text[start:stop])]
+                        end, n = stop, n + 1
+                    text = "".join([*out, text[end:]])
                 texts.append(text)
                 counts.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "text", "n_replaced"])
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, "n_replaced"])
 
-    met = docs.join(of_doc, docs.doc_id.eqNullSafe(of_doc._d) & (F.xxhash64(docs.text) == of_doc._k), "left")
-    return met.select(docs.doc_id, docs.text, "known").mapInArrow(run, "doc_id long, text string, n_replaced long")
+    met = docs.join(of_doc, docs.doc_id.eqNullSafe(of_doc._of_doc) & (F.xxhash64(docs.text) == of_doc._of_text), "left")
+    kept = met.select(*(docs[c] for c in names), "_entities")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    return kept.mapInArrow(run, f"{fields}, n_replaced long")

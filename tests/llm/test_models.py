@@ -151,6 +151,64 @@ def test_mentions_of_a_person_agree(spark):
     assert "Berg" not in texts[1] and given in surrogates.GIVEN["latin", "f"] and texts[3] is None
 
 
+def test_one_person_whatever_the_title(spark):
+    """Titles, parts and other documents name one person; different persons stay different, and gender is that of any title in the corpus."""
+    rows = [
+        (1, "Mr. Wei Zhang came. Later Dr. Wei Zhang spoke, and Zhang left."),
+        (2, "Dr. Zhang wrote; Prof. Bo Sato answered Mr. Ken Rao."),
+        (3, "Dr. Wei Zhang again. Mrs. Kim Rao, and Dr. Kim Rao."),
+        (4, "My name is Priya Sharma. Best regards, Priya Sharma"),
+        (5, "Иван Петров и Анна Петрова."),
+    ]
+    texts = {r.doc_id: r.text for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    given, last = texts[1].removeprefix("Mr. ").split(" came")[0].split(" ")
+    assert texts[1] == f"Mr. {given} {last} came. Later Dr. {given} {last} spoke, and {last} left." and given in surrogates.GIVEN["latin", "m"]
+    assert texts[2].startswith(f"Dr. {last} wrote") and texts[3].startswith(f"Dr. {given} {last} again.")
+    kim = texts[3].split("Mrs. ")[1].split(",")[0]
+    assert kim.split(" ")[0] in surrogates.GIVEN["latin", "f"] and texts[3].endswith(f"Dr. {kim}.")
+    shown = {" ".join(x) for x in ([given, last], kim.split(" "), texts[2].split("Prof. ")[1].split(" ")[:2], texts[2].split("Mr. ")[1].rstrip(".").split(" "))}
+    assert len(shown) == 4 and kim.split(" ")[1] == texts[2].split("Mr. ")[1].rstrip(".").split(" ")[1]
+    name = texts[4].removeprefix("My name is ").split(".")[0]
+    assert texts[4] == f"My name is {name}. Best regards, {name}" and "Sharma" not in name
+    man, woman = texts[5].rstrip(".").split(" и ")
+    assert man.split()[0] in surrogates.GIVEN["cyrillic", "m"] and woman.split()[0] in surrogates.GIVEN["cyrillic", "f"] and woman.endswith("а") and not man.endswith("а")
+
+
+def test_mapping_ends_where_formats_are_crowded(spark):
+    """All dates of seventy years in two formats, ten thousand streets, and more names than the lists have."""
+    import datetime
+
+    days = [datetime.date(1940, 1, 1) + datetime.timedelta(n) for n in range(70 * 365)]
+    rows = [("birth", d.isoformat()) for d in days] + [("birth", f"{d.month}/{d.day}/{d.year}") for d in days]
+    rows += [("street", f"{n} {w} Street") for n in range(1, 1001) for w in surrogates.STREETS[:10]] + [("street", f"{w}straße {n}") for n in range(1, 10) for w in surrogates.STREETS]
+    rows += [("surname", f"family{i}") for i in range(3000)] + [("surname", n.lower()) for n in surrogates.SURNAMES["latin", "m"]]
+    rows += [("given", n.lower()) for names in surrogates.GIVEN.values() for n in names] + [("given", f"own{i}") for i in range(2000)]
+    rows += [("ip", f"1.2.3.{i}") for i in range(256)] + [("secret", f"{i:06d}") for i in range(3000)]
+    new = surrogates.mapping(spark.createDataFrame(rows, "kind string, value string"), b"k").collect()
+    assert len(new) == len(set(rows)) and len({r.new for r in new}) == len(new) and not {r.new for r in new} & {v for _, v in rows}
+    for r in new:
+        if r.kind == "birth":
+            parts = [int(x) for x in r.new.replace("/", "-").split("-")]
+            datetime.date(*(parts if "-" in r.new else [parts[2], parts[0], parts[1]]))
+            assert [len(x) for x in r.new.replace("/", "-").split("-")] == [len(x) for x in r.value.replace("/", "-").split("-")]
+    with pytest.raises(ValueError, match="enough surrogates of birth"):
+        surrogates.mapping(spark.createDataFrame([("birth", "2000-01-01"), ("birth", "2000-01-02")], "kind string, value string"), b"k", lambda kind, value, attempt, key: "2001-01-01", rounds=3)
+
+
+def test_days_stay_days():
+    for date in ("1980-02-31", "29.02.1984", "02/29/1984", "31/12/1999", "1/1/1950", "9999-12-31", "1000-01-01"):
+        for attempt in range(30):
+            new = surrogates.surrogate("birth", date, attempt, b"k")
+            numbers, order = surrogates._day(new)
+            assert len(new) == len(date) and (len(numbers[0]) == 4) == (order[0] == 0)
+
+
+def test_every_document_naming_one_person(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("Anna Berg wrote line "), "id").alias("text"), F.lit("x").alias("known"), F.lit(1).alias("n_replaced"))
+    rows = surrogates.replaced(docs, b"k").collect()
+    assert len({r.text.split(" wrote")[0] for r in rows}) == 1 and {r.n_replaced for r in rows} == {1} and {r.known for r in rows} == {"x"}
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(1, 0, "secret", f"v{i}") for i in range(40)]
     found = spark.createDataFrame(rows, "doc_id long, key long, kind string, value string")
