@@ -3,8 +3,9 @@
 A document's ids are first cut into full windows, and its rest is a piece. A task gathers POOL ids of pieces, takes them
 from the longest to the shortest, and puts each into the open window with the least room that still holds it; a segment
 tree over remaining capacities finds that window in as many steps as a window's length has bits. What is open at a
-pool's end is packed again with the next pool's pieces, so that only a task's last windows keep padding. No shuffle:
-sequence ids are unique, and made of the task's number and the window's number within it.
+pool's end is packed again with the next pool's pieces. If that is more than half a pool, as where pieces are longer than half a window,
+and at a task's end, its pieces are laid one after the other and cut where a window is full: so each pool closes half of its ids at least, and
+a task leaves one window with padding. No shuffle: sequence ids are unique, and made of the task's number and the window's number within it.
 
 Null and empty texts are a piece with the end id alone. Repeated rows are packed each by itself. No documents give no
 pieces.
@@ -83,6 +84,22 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[list[int]]:
     return packed
 
 
+def cut_to_fit(pieces: list[tuple], window: int) -> list[list[tuple]]:
+    """Pieces (doc_id, start, doc_tokens, ids) one after the other, cut where a window is full; only the last window may not be."""
+    out: list[list[tuple]] = []
+    room = 0
+    for doc, start, tokens, ids in pieces:
+        at = 0
+        while at < len(ids):
+            if not room:
+                out.append([])
+                room = window
+            some = ids[at : at + room]
+            out[-1].append((doc, start + at, tokens, some))
+            at, room = at + len(some), room - len(some)
+    return out
+
+
 def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int = 2, pool: int = POOL) -> DataFrame:
     """A row (doc_id, start, length, doc_tokens, sequence_id, offset, ids) for each piece of docs(doc_id, text).
 
@@ -98,21 +115,29 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int =
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal number, pieces, size
-            packed = best_fit_decreasing([len(p[3]) for p in pieces], window)
-            rows, kept = [], []
-            for members in packed:
-                full = sum(len(pieces[i][3]) for i in members)
-                if not last and full < CLOSED * window:
-                    kept += members
-                    continue
+            rows, rest = [], []
+
+            def close(members: list[tuple]) -> None:
+                nonlocal number
                 at = 0
-                for i in members:
-                    doc, start, tokens, ids = pieces[i]
+                for doc, start, tokens, ids in members:
                     rows.append((doc, start, len(ids), tokens, number, at, ids.tobytes()))
                     at += len(ids)
                 number += 1
-            pieces = [pieces[i] for i in kept]
-            size = sum(len(p[3]) for p in pieces)
+
+            for places in best_fit_decreasing([len(p[3]) for p in pieces], window):
+                members = [pieces[i] for i in places]
+                if sum(len(p[3]) for p in members) < CLOSED * window:
+                    rest += members
+                else:
+                    close(members)
+            size = sum(len(p[3]) for p in rest)
+            if last or 2 * size > pool:  # pieces that don't go together: they are cut, so that a pool never stays full
+                *full, rest = cut_to_fit(rest, window) or [[]]
+                for members in full + ([rest] if last and rest else []):
+                    close(members)
+                size = sum(len(p[3]) for p in rest)
+            pieces = rest
             for at in range(0, len(rows), 512):
                 yield _batch(rows[at : at + 512])
 

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomsketch.llm import packing, queries, simple8b, token_files, tokenise
@@ -154,3 +155,47 @@ def test_best_fit_decreasing_against_a_plain_search(lengths):
             rooms.append(40 - n)
     assert sorted(i for w in packed for i in w) == list(range(len(lengths)))
     assert sorted(40 - sum(lengths[i] for i in w) for w in packed) == sorted(rooms)
+
+
+def _checked(rows, window):
+    """Each document's ids in one piece each, sequences without gaps; the share of padding."""
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by_doc.values():
+        at = 0
+        for start, length, tokens in sorted(pieces):
+            assert start == at and 0 < length
+            at += length
+        assert at == tokens
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= window
+    return 1 - sum(r.length for r in rows) / (window * len(by_sequence))
+
+
+def test_pieces_of_over_half_a_window_are_packed_in_linear_time(spark):
+    """Pieces that no two go together of: pools don't fill up with them."""
+    import time
+
+    took = {}
+    for n in (1500, 6000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(36)), lambda x: F.lit("a"))).alias("text")).coalesce(1)
+        best = []
+        for _ in range(2):
+            began = time.perf_counter()
+            rows = packing.pack(docs, WORDS, window=64, pool=4000).collect()
+            best.append(time.perf_counter() - began)
+        took[n] = min(best)
+        assert _checked(rows, 64) < 0.01 and len({r.doc_id for r in rows}) == n
+    assert took[6000] < 8 * took[1500] + 2
+
+
+def test_many_small_partitions_have_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(50)
+    rows = packing.pack(docs, WORDS, window=512).collect()
+    assert _checked(rows, 512) < 0.03
