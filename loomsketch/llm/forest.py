@@ -263,7 +263,7 @@ def grouped_documents(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> D
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     whole = written(signatures(docs, n), "forest-signatures")
     classes = whole.where("size > 0 and doc_id is not null").groupBy("s1", "s2")
-    classes = classes.agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("minima").alias("minima"), F.first("brief").alias("brief"))
+    classes = classes.agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("minima").alias("minima"), F.first("brief").alias("brief"), F.count("*").alias("many"))
     classes = written(classes, "forest-classes")
     signed = written(whole.drop("minima", "brief"), "forest-sizes")
     discard(whole)
@@ -284,12 +284,14 @@ def grouped_documents(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> D
     apart = component(component(agreed.select("a", "b"), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
     region = F.xxhash64("tree", F.substring("path", F.lit(1), F.lit(4 * REGION)))
     rows = paths.select(region.alias("region"), "id")
-    large = rows.groupBy("region").agg(F.count("*").alias("rows")).where(F.col("rows") > BACK + 1).select("region")
-    regions = written(component(rows.join(large, "region"), "id", "of"), "forest-regions")
+    large = written(rows.groupBy("region").agg(F.count("*").alias("many")).where(F.col("many") > BACK + 1), "forest-large")
+    crowded = join_frequent(rows, large, ["region"], TREES * classes.count())
+    regions = written(component(crowded, "id", "of"), "forest-regions")
+    discard(large)
     open_edges = written(undecided(regions, regions.count(), classes).unionAll(apart.join(early, ["a", "b"], "left_anti")).toDF("u", "v"), "forest-undecided")
     groups = written(components(open_edges), "forest-groups").select(F.col("node").alias("id"), F.col("component").alias("region"))
     rest = written(decided(component(groups, "id", "of"), groups.count(), docs, percent, n), "forest-links")
-    same = signed.where("size > 0 and doc_id is not null").join(classes.select("s1", "s2", "id"), ["s1", "s2"])
+    same = join_frequent(signed.where("size > 0 and doc_id is not null"), classes.select("s1", "s2", "id", "many"), ["s1", "s2"], signed.count())
     same = same.where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     edges = links.unionAll(rest).toDF("u", "v").unionAll(same)
     found = written(components(edges), "forest-components")
