@@ -48,8 +48,9 @@ DNA5 = Alphabet("dna5", 5, "NACGT", 5)
 DNA4 = Alphabet("dna4", 4, "ACGT", 5)
 PROTEIN = Alphabet("protein", 26, "ABCDEFGHIJKLMNOPQRSTUVWYZX", 25)
 UPPER_DNA = Alphabet("upper_dna", 4, "ACGT", 4, fold=False)
+LETTERS = Alphabet("letters", 26, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26, fold=False)
 
-_BY_NAME = {a.name: a for a in (DNA5, DNA4, PROTEIN, UPPER_DNA)}
+_BY_NAME = {a.name: a for a in (DNA5, DNA4, PROTEIN, UPPER_DNA, LETTERS)}
 
 
 def alphabet(name: str) -> Alphabet:

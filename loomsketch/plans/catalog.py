@@ -14,7 +14,7 @@ from ..functions import alphabet, distances, hashing, kmers, maths
 from ..operators import flatten, hashed, merging, pairs, phases, phylogeny, ranges, sliding, stats, synth, tensors
 from ..sources import exons, fasta, results, tables
 from ..sources.shared import new_path, written
-from . import engine, experiment, timing
+from . import engine, experiment, timing, triangle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -731,3 +731,27 @@ def sorted_pairs(spark, sf):
     rows = pairs.in_group(tables.vectors(spark, sf), "seq_id", "label", ["v"])
     met = rows.select("label", "i", "j", F.round(distances.l1(F.col("v_i"), F.col("v_j")), 6).alias("dist"))
     return ranges.numbered(met, "dist", "i", "j", name="place")
+
+
+@query(f"WITH {MH}, d AS (SELECT x.seq_id AS i, y.seq_id AS j, count(*) FILTER (x.kmer <> y.kmer) AS dist FROM mh x JOIN mh y ON x.idx = y.idx AND 'u' || y.seq_id < 'u' || x.seq_id GROUP BY ALL) SELECT 'u' || seq_id AS name, CAST(count(dist) AS INTEGER) AS n, CAST(coalesce(sum(dist), 0) AS DOUBLE) AS total FROM (SELECT DISTINCT seq_id FROM ev) LEFT JOIN d ON i = seq_id GROUP BY seq_id")
+def sketch_triangle_of_fasta(spark, sf):
+    """The whole way of a command: event sequences as letters in FASTA files, sketched record by record, and a triangle of their distances, read again."""
+    path = new_path(spark, "sequences")
+    fasta.write_fasta(_sequences(spark, sf).select(F.concat(F.lit("u"), "seq_id").alias("comment"), alphabet.DNA5.decode(F.col("seq")).alias("letters")).where("letters <> ''"), path)
+    p = engine.Parameters(method="MH", size=SIZE, kmer_length=K, dim=DIM, hash_family="affine", seed=7)
+    lines = results.read_triangle(spark, triangle.sketch_files(spark, path, p, letters="dna5", each="record"))
+    return lines.select("name", F.size("distances").alias("n"), F.aggregate("distances", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+def _cells_of_groups(spark, sf):
+    """Each label's vectors as an array of arrays."""
+    rows = tables.vectors(spark, sf).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("seq_id", "v"))).alias("r"))
+    return rows.select("label", F.transform("r", lambda x: x.v).alias("rows"))
+
+
+@query(f"WITH {VEC} SELECT label, CAST(row_number() OVER (PARTITION BY label, i ORDER BY seq_id) - 1 AS INTEGER) AS row, CAST(i - 1 AS INTEGER) AS idx, CAST(1 + len([e FOR e IN {_numbers(maths.bin_edges(16))} IF e <= v[i]]) AS INTEGER) AS bin, round(atan(v[i]), 6) + 0.0 AS angle FROM ve, range(1, 65) r(i)")
+def transformed_rows(spark, sf):
+    """Both transforms of arrays of arrays."""
+    rows = _cells_of_groups(spark, sf).select("label", maths.transformed(F.col("rows"), "disc", 16, depth=2).alias("b"), maths.transformed(F.col("rows"), "atan", depth=2).alias("a"))
+    each = rows.select("label", F.posexplode(F.arrays_zip("b", "a")).alias("row", "x"))
+    return each.select("label", "row", F.posexplode(F.arrays_zip("x.b", "x.a")).alias("idx", "y")).select("label", "row", "idx", F.col("y.b").alias("bin"), (F.round("y.a", 6) + F.lit(0.0)).alias("angle"))
