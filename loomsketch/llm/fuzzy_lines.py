@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, written
+from .common import components, discard, join_frequent, written
 
 #: Blocks of a line by its least number of words, and how far that may be off: there, lines have the blocks of both sides.
 LEVELS = ((0, 4), (20, 10), (120, 24))
@@ -216,9 +216,9 @@ def removals(docs: DataFrame, least: float = 0.8) -> DataFrame:
     firsts = classes.select("id", "h1", "h2", "first", "many").join(groups, classes.id == groups.node, "left")
     stays = firsts.where("component is not null").groupBy("component").agg(F.min(F.struct("first", "id")).alias("s")).select(F.col("s.id").alias("stay"))
     firsts = firsts.join(stays, firsts.id == stays.stay, "left").withColumn("lost", F.col("component").isNotNull() & F.col("stay").isNull())
-    thin = firsts.where("lost or many > 1").select("h1", "h2", F.when(~F.col("lost"), F.col("first")).alias("first"))
+    thin = firsts.where("lost or many > 1").select("h1", "h2", F.when(~F.col("lost"), F.col("first")).alias("first"), "many")
     place = F.struct("doc_id", "key", "line")
-    gone = lines.join(thin, ["h1", "h2"]).where(F.col("first").isNull() | (place != F.col("first")))
+    gone = join_frequent(lines, thin, ["h1", "h2"], lines.count()).where(F.col("first").isNull() | (place != F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.collect_set("line").alias("gone"))
 
 
