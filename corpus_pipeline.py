@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsketch.llm import forest, fuzzy_lines, mixing, packing, toxicity
-from loomsketch.llm.common import written
+from loomsketch.llm.common import discard, written
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
@@ -56,8 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the last stage makes of documents; what each stage but the last returns is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows that the last stage makes of documents; what each stage but the last returns is written and read again, and deleted once the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
