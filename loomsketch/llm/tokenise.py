@@ -14,6 +14,7 @@ import re
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 
 #: Pieces that a worker remembers; the longest, in characters, of those that go to the model themselves.
 REMEMBERED, LONGEST = 500_000, 64
@@ -110,13 +111,15 @@ class Encoder:
             for i, x in zip(good, self._whole([texts[i] for i in good]), strict=True):
                 ids[i] = x
             self._keep(self.heads, fresh, ids)
-        slot = np.fromiter(map(self.inner.get, pieces, repeat(-1)), np.int64, len(pieces))
-        slot[firsts] = [self.heads[p] for p in heads]
-        missing = np.flatnonzero(slot < 0).tolist()
-        if missing:
-            fresh = list({pieces[i] for i in missing})
+        codes, distinct = pd.factorize(np.array(pieces, object))
+        slot = np.fromiter(map(self.inner.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            fresh = distinct[missing].tolist()
+            slot[missing] = len(self.counts) + np.arange(len(fresh))
             self._keep(self.inner, fresh, self._learn([p.decode() for p in fresh]))
-            slot[missing] = [self.inner[pieces[i]] for i in missing]
+        slot = slot[codes]
+        slot[firsts] = [self.heads[p] for p in heads]
         return slot
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
