@@ -59,30 +59,35 @@ class Encoder:
     def _whole(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
-    def _word(self, word: str) -> list[int]:
-        """The ids of what the tokenizer's own splitting leaves whole."""
-        found = self.words.get(word)
-        if found is None:
-            form = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            if word[0].isalpha():
-                form = self.spaced + form
-            found = self.words[word] = [t.id for t in self.model.tokenize(form)]
-        return found
+    def _words(self, words: list[str]) -> None:
+        """Learns the ids of distinct words that the tokenizer's own splitting leaves whole."""
+        tokenize, spaced, letters = self.model.tokenize, self.spaced, self.letters
+        for word in words:
+            form = word if word.isascii() else "".join(map(letters.__getitem__, word.encode()))
+            self.words[word] = [t.id for t in tokenize(spaced + form if word[0].isalpha() else form)]
 
     def _learn(self, pieces: list[str]) -> list[list[int] | None]:
         """Ids of the pieces with a space before them; None of those that white space starts or ends, and of the empty one."""
         if len(self.words) > REMEMBERED // 4:
             self.words.clear()
         found: list = [None] * len(pieces)
-        others = []
+        plain, lined, others = [], [], []
+        match, lower = _PLAIN.fullmatch, self.lower
         for i, p in enumerate(pieces):
-            plain = _PLAIN.fullmatch(p)
-            if plain and len(p) <= LONGEST:
-                word, signs = plain.groups()
-                ids = self._word(word.lower() if self.lower else word)
-                found[i] = ids + self._word(signs) if signs else ids
+            parts = match(p) if len(p) <= LONGEST else None
+            if parts:
+                word, signs = parts.groups()
+                plain.append((i, word.lower() if lower else word, signs))
+            elif lower and "\n" in p and len(p) <= LONGEST and all(rows := [match(line) for line in p.split("\n")]):  # white space is dropped: words in a row
+                lined.append((i, [w for r in rows for w in (r[1].lower(), r[2]) if w]))
             elif p and not p[0].isspace() and not p[-1].isspace():
                 others.append(i)
+        known = self.words
+        self._words(list({w for _, word, signs in plain for w in (word, signs) if w and w not in known} | {w for _, row in lined for w in row if w not in known}))
+        for i, row in lined:
+            found[i] = [x for w in row for x in known[w]]
+        for i, word, signs in plain:
+            found[i] = known[word] + known[signs] if signs else known[word]
         for i, ids in zip(others, self._whole([" " + pieces[i] for i in others]), strict=True):
             found[i] = ids
         return found
