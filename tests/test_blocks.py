@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomsketch.functions import blocks, distances
-from loomsketch.operators import pairs
+from loomsketch.functions import blocks, distances, hashing
+from loomsketch.operators import pairs, phylogeny
+from loomsketch.sources import results
 
 GIVEN = [[1.5, -2.0, 0.25], [0.0000005, 7.0], [], None, [1.0, None, 3.0], [float("nan"), 1.0, 2.0], [3.0, 2.0, 1.0, None]] + [[float(x) for x in np.random.default_rng(k).standard_normal(64)] for k in range(12)]
 TEXTS = ["", None, "abc", "ABÑ", "kitten", "sitting"] + ["".join("ABCDE"[c] for c in np.random.default_rng(n).integers(0, 5, n)) for n in (1, 63, 64, 65, 99, 127, 128, 129, 200)]
@@ -65,3 +67,38 @@ def test_a_set_without_rows_or_pairs(spark):
     of = lambda a, b: [blocks.l1(a, b)]
     assert pairs.compared(empty, "id", "v", blocks.arrays, of, "d double").count() == 0
     assert pairs.compared(alone, "id", "v", blocks.arrays, of, "d double", group="g").count() == 0
+
+
+def test_lines_strip_by_strip_are_those_of_pairs(spark, tmp_path, monkeypatch):
+    """Strips of a few lines, one after the other, against lines from a row for each pair; nulls too."""
+    monkeypatch.setattr(results, "MOST_LINES", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, f"n{i}", [float(x) for x in rng.integers(0, 4, 6)] if i != 4 else None) for i in range(17)]
+    df = spark.createDataFrame(rows, "i long, name string, s array<double>").repartition(3)
+    for compression in (None, "gzip"):
+        path = str(tmp_path / f"lines-{compression}")
+        results.write_lines(df, "s", blocks.arrays, blocks.l2_squared, path, compression)
+        sides = df.alias("a").join(df.alias("b"), F.col("b.i") < F.col("a.i"), "left")
+        met = sides.select("a.i", F.col("b.i").alias("j"), distances.l2_squared(F.col("a.s"), F.col("b.s")).alias("dist"), "a.name")
+        results.write_triangle(met, str(tmp_path / "pairs"))
+        read = lambda p: [r.value for r in spark.read.text(p).select("value", F.col("_metadata.file_name").alias("f")).orderBy("f").collect()]
+        assert read(path) == read(str(tmp_path / "pairs"))
+        assert len(read(path)) == 18
+
+
+def test_trees_of_rows_are_those_of_their_pairs(spark):
+    """Vectors of whole numbers, so many distances are equal; a tree of one and rows without one are left out."""
+    rng = np.random.default_rng(6)
+    rows = [(3 * i, ("x", "y", None)[i % 3] if i else "z", [float(v) for v in rng.integers(0, 3, 3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, tree string, v array<double>").repartition(3)
+    placed = df.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy("id")) - 1)
+    met = pairs.in_group(placed, "place", "tree", ["v"])
+    expected = phylogeny.trees(met.select("tree", F.col("j").alias("i"), F.col("i").alias("j"), distances.l2(F.col("v_i"), F.col("v_j")).alias("dist")))
+    found = phylogeny.trees_of(df, "tree", "id", "v", blocks.arrays, blocks.l2)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and found.columns == expected.columns
+
+
+@pytest.mark.parametrize("family", [hashing.Murmur3(2, 7), hashing.Injection(2, 125, 7), hashing.Crc32c(2, 7)])
+def test_a_table_of_hashes(spark, family):
+    known, keys = hashing.tabled(spark, family, 125), spark.range(125)
+    assert keys.where((known.hash(1, F.col("id")) != family.hash(1, F.col("id"))) | (known.hash(0, F.col("id")) != family.hash(0, F.col("id")))).count() == 0
