@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import numbered, running
+from .ranges import numbered, ranked, running
 
 
 def fractional_rank(df: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:
@@ -109,8 +109,9 @@ def exon_statistics(exons: DataFrame) -> DataFrame:
 
 def rank_matrix(df: DataFrame, dist: str) -> DataFrame:
     """(i, j, rank) both ways round, where the largest distance has rank 1."""
-    ranked = fractional_rank(df.withColumn("_d", -F.col(dist)), "_d").select("i", "j", "rank")
-    return ranked.unionAll(ranked.select(F.col("j").alias("i"), F.col("i").alias("j"), "rank"))
+    ranks = ranked(df.withColumn("_d", -F.col(dist)), "_d", "i", "j")
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))  # so pairs are ranked once
+    return ranks.select("rank", F.inline(both)).select("i", "j", "rank")
 
 
 def of_largest(df: DataFrame, value: str, *by: str) -> DataFrame:

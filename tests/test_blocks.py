@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomsketch.functions import blocks, distances, hashing
-from loomsketch.operators import pairs, phylogeny
+from loomsketch.operators import pairs, phylogeny, stats
 from loomsketch.sources import results
 
 GIVEN = [[1.5, -2.0, 0.25], [0.0000005, 7.0], [], None, [1.0, None, 3.0], [float("nan"), 1.0, 2.0], [3.0, 2.0, 1.0, None]] + [[float(x) for x in np.random.default_rng(k).standard_normal(64)] for k in range(12)]
@@ -102,3 +102,25 @@ def test_trees_of_rows_are_those_of_their_pairs(spark):
 def test_a_table_of_hashes(spark, family):
     known, keys = hashing.tabled(spark, family, 125), spark.range(125)
     assert keys.where((known.hash(1, F.col("id")) != family.hash(1, F.col("id"))) | (known.hash(0, F.col("id")) != family.hash(0, F.col("id")))).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4, 60])
+def test_pairs_are_ranked_by_one_sort(spark, parts):
+    """Ties within a range and across many, NaN, nulls; without a join of pairs with their ranks."""
+    rng = np.random.default_rng(parts)
+    rows = [(i, 1000 + i, v) for i, v in enumerate([*map(float, rng.integers(0, 6, 150)), *[3.0] * 200, float("nan"), float("nan"), None, 1e9, -0.0])]
+    df = spark.createDataFrame(rows, "i long, j long, dist double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        expected = {(r.i, r.j): r.rank for r in stats.fractional_rank(df.where("dist IS NOT NULL").withColumn("_d", -F.col("dist")), "_d").collect()}
+        found = stats.rank_matrix(df, "dist")
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.i, r.j): r.rank for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 2 * len(expected) == 2 * 354
+    assert {k: r for k, r in got.items() if k[0] < k[1]} == expected and all(got[j, i] == r for (i, j), r in expected.items())
+    assert stats.rank_matrix(df.limit(0), "dist").count() == 0
