@@ -12,12 +12,12 @@ def fractional_rank(df: DataFrame, value: str, *by: str, name: str = "rank") ->
     """Ranks from 1 with the mean rank for ties, within groups.
 
     Values are counted first; the counts below a value are running sums over ranges of values, so neither a large group nor the whole
-    table is one task's.
+    table is one task's. Rows meet their ranks by a merge: small files hold many rows, and a broadcast of either side would pass them through the driver.
     """
     counted = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
     below = running(counted, list(by), [value], {"_below": "_n"})
     ranks = below.withColumn(name, F.col("_below") + (F.col("_n") + 1) / 2).drop("_n", "_below")
-    return df.join(ranks, [*by, value])
+    return df.join(ranks.hint("merge"), [*by, value])
 
 
 def pearson(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import pairs, stats
+from ..sources.shared import written
 from .engine import Parameters, distance_column, sketched
 
 
@@ -24,7 +25,7 @@ def distances(sequences: DataFrame, methods: list[Parameters], reruns: int = 1)
 def against_edit_distance(rows: DataFrame) -> DataFrame:
     """distances()'s rows with a column ed, without the edit distances' own."""
     ed = rows.where("algo = 'ED'").select("s1", "s2", F.col("dist").alias("ed"))
-    return rows.where("algo <> 'ED'").join(ed, ["s1", "s2"])
+    return rows.where("algo <> 'ED'").join(ed.hint("merge"), ["s1", "s2"])  # there are as many as pairs: not by a broadcast
 
 
 def quality(rows: DataFrame, thresholds: float | list[float], lengths: int | DataFrame) -> DataFrame:
@@ -32,13 +33,13 @@ def quality(rows: DataFrame, thresholds: float | list[float], lengths: int | Dat
 
     Far are pairs whose edit distance is at least threshold times the length: one number, or in lengths(seq_id, n) that of the pair's first
     sequence. One threshold gives a column auroc, several auroc_0.1 and so on, with _ for the point."""
-    met = against_edit_distance(rows)
+    met = written(against_edit_distance(rows), "experiment")
     runs = stats.spearman(met, "dist", "ed", "algo", "rerun").groupBy("algo").agg(F.avg("spearman").alias("spearman"), F.stddev_pop("spearman").alias("deviation"))
-    merged = stats.over_reruns(met).join(met.select("algo", "s1", "s2", "ed").distinct(), ["algo", "s1", "s2"])
+    merged = written(met.groupBy("algo", "s1", "s2").agg(stats.median("dist").alias("median"), F.avg("dist").alias("mean"), F.first("ed").alias("ed")), "experiment")
     of_median = stats.spearman(merged, "median", "ed", "algo").withColumnRenamed("spearman", "spearman_of_median")
     of_mean = stats.spearman(merged, "mean", "ed", "algo").withColumnRenamed("spearman", "spearman_of_mean")
     if isinstance(lengths, DataFrame):
-        sized = merged.join(lengths.select(F.col("seq_id").alias("s1"), F.col("n").alias("_length")), "s1")
+        sized = merged.join(lengths.select(F.col("seq_id").alias("s1"), F.col("n").alias("_length")).hint("merge"), "s1")
     else:
         sized = merged.withColumn("_length", F.lit(lengths))
     out = runs.join(of_median, "algo").join(of_mean, "algo")
