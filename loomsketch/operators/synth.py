@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 SHAPES = ("path", "pair", "star", "tree")
+#: Codes that leave a task together, about: a batch for each group takes longer than its sequences.
+TOGETHER = 1 << 18
 
 
 def mutated(seq: np.ndarray, rate: float, size: int, rng: np.random.Generator) -> np.ndarray:
@@ -70,10 +72,18 @@ def relatives(founders: DataFrame, *, size: int, members: int = 2, shape: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            ids, groups, found, many = [], [], [], 0
             for g, seq in zip(batch["seq_id"], batch["seq"], strict=True):
                 codes = np.asarray(seq, np.int64)
                 codes = codes[(codes >= 0) & (codes < size)]
-                made = group(shape, members, length or len(codes), size, rates, length is not None, np.random.default_rng([seed, int(g) % (1 << 63)]), codes)
-                yield pd.DataFrame({"seq_id": [int(g) * members + i for i in range(members)], "group": int(g), "seq": made})
+                found += group(shape, members, length or len(codes), size, rates, length is not None, np.random.default_rng([seed, int(g) % (1 << 63)]), codes)
+                ids += [int(g) * members + i for i in range(members)]
+                groups += [int(g)] * members
+                many += sum(map(len, found[-members:]))
+                if many > TOGETHER:
+                    yield pd.DataFrame({"seq_id": ids, "group": groups, "seq": found})
+                    ids, groups, found, many = [], [], [], 0
+            if ids:
+                yield pd.DataFrame({"seq_id": ids, "group": groups, "seq": found})
 
     return founders.where("seq_id IS NOT NULL AND seq IS NOT NULL").select(founders.seq_id.cast("long").alias("seq_id"), "seq").mapInPandas(run, "seq_id long, group long, seq array<int>")
