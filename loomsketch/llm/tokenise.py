@@ -2,9 +2,10 @@
 
 Both tokenizers cut a text at white space before they merge, so a text may be split at every single space between two
 other characters, and each piece encoded by itself, with its space before it. A worker keeps the ids of the pieces it
-has met, by their bytes, as most words come again. A new piece that is letters and then signs goes to the tokenizer's
-model as those two; any other goes through the whole tokenizer. A text whose spaces stand beside other white space is
-split with more care.
+has met, by their bytes, as most words come again. Where ids keep spaces, new pieces go through the tokenizer many to a
+text, and a piece begins with each token that begins with a space. Where they don't, a new piece that is letters and then
+signs goes to the tokenizer's model as those two, and any other goes through the whole tokenizer. A text whose spaces
+stand beside other white space is split with more care.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pandas as pd
 
 #: Pieces that a worker remembers; the longest, in characters, of those that go to the model themselves.
 REMEMBERED, LONGEST = 500_000, 64
-#: Bytes of texts that are encoded together.
-TOGETHER = 2_000_000
+#: Bytes of texts that are encoded together; new pieces that are a text for the tokenizer, and such texts that it gets at once.
+TOGETHER, PIECES, TEXTS = 2_000_000, 512, 64
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -33,6 +34,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in itself} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+def _flat(ids: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each list has, -1 for None, and all ids."""
+    return np.array([-1 if x is None else len(x) for x in ids], np.int64), np.array([y for x in ids if x for y in x], "<u4")
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, without special tokens."""
 
@@ -45,6 +51,9 @@ class Encoder:
             self.lower = '"Lowercase"' in json.dumps(json.load(f)["normalizer"])
         self.letters = _byte_letters()
         self.spaced = "" if self.lower else self.letters[0x20]  # the lower-casing one drops white space
+        known = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(known.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.opens[[i for token, i in known.items() if self.spaced and token.startswith(self.spaced)]] = True
         self.words: dict[str, list[int]] = {}
         self._forget()
 
@@ -92,9 +101,23 @@ class Encoder:
             found[i] = ids
         return found
 
-    def _keep(self, known: dict[bytes, int], pieces: list[bytes], ids: list[list[int] | None]) -> None:
-        counts = np.array([-1 if x is None else len(x) for x in ids], np.int64)
-        more = np.array([y for x in ids if x for y in x], "<u4")
+    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """_learn()'s counts and ids, of many pieces in one text: no piece has a space, so each begins with the next token that begins with one."""
+        texts = b" ".join(pieces).decode().split(" ")
+        good = [i for i, p in enumerate(texts) if p and not p[0].isspace() and not p[-1].isspace()]
+        lines = [" " + " ".join([texts[i] for i in good[at : at + PIECES]]) for at in range(0, len(good), PIECES)]
+        found = [np.zeros(0, "<u4")]
+        for at in range(0, len(lines), TEXTS):
+            found += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines[at : at + TEXTS], add_special_tokens=False)]
+        ids = np.concatenate(found)
+        firsts = np.flatnonzero(self.opens[ids])
+        if len(firsts) != len(good):  # a vocabulary whose tokens don't tell
+            return _flat(self._learn(texts))
+        counts = np.full(len(pieces), -1, np.int64)
+        counts[good] = np.diff(np.append(firsts, len(ids)))
+        return counts, ids
+
+    def _keep(self, known: dict[bytes, int], pieces: list[bytes], counts: np.ndarray, more: np.ndarray) -> None:
         while self.used + len(more) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[self.used : self.used + len(more)] = more
@@ -115,14 +138,15 @@ class Encoder:
             ids: list = [None] * len(fresh)
             for i, x in zip(good, self._whole([texts[i] for i in good]), strict=True):
                 ids[i] = x
-            self._keep(self.heads, fresh, ids)
+            self._keep(self.heads, fresh, *_flat(ids))
         codes, distinct = pd.factorize(np.array(pieces, object))
         slot = np.fromiter(map(self.inner.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(slot < 0)
         if len(missing):
             fresh = distinct[missing].tolist()
             slot[missing] = len(self.counts) + np.arange(len(fresh))
-            self._keep(self.inner, fresh, self._learn([p.decode() for p in fresh]))
+            learnt = self._joined(fresh) if self.spaced else _flat(self._learn([p.decode() for p in fresh]))
+            self._keep(self.inner, fresh, *learnt)
         slot = slot[codes]
         slot[firsts] = [self.heads[p] for p in heads]
         return slot
