@@ -72,14 +72,17 @@ def read(files: DataFrame, value: Column | None = None) -> DataFrame:
                 ends = np.cumsum(lengths, dtype=np.int64)
                 for at in range(0, len(names), 256):
                     some = range(at, min(at + 256, len(names)))
+                    begin, end = int(ends[at] - lengths[at]), int(ends[some[-1]])
+                    bounds = np.append(ends[at : at + 256] - lengths[at : at + 256] - begin, end - begin)
+                    own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(4 * bounds.astype(np.int64)), pa.py_buffer(ids[begin:end])])
                     yield pa.RecordBatch.from_pydict(
                         {
                             "part": pa.array([part] * len(some), pa.int32()),
                             "segment": pa.array([segment] * len(some), pa.int32()),
                             "doc_id": pa.array([names[i] for i in some], pa.int64()),
-                            "inside": pa.array([int(ends[i] - lengths[i]) for i in some], pa.int64()),
-                            "n_tokens": pa.array([int(lengths[i]) for i in some], pa.int64()),
-                            "ids": pa.array([ids[ends[i] - lengths[i] : ends[i]].tobytes() for i in some], pa.binary()),
+                            "inside": pa.array(ends[at : at + 256] - lengths[at : at + 256], pa.int64()),
+                            "n_tokens": pa.array(lengths[at : at + 256].astype(np.int64)),
+                            "ids": own.cast(pa.binary()),
                         }
                     )
 

@@ -104,7 +104,7 @@ class Encoder:
     def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """_learn()'s counts and ids, of many pieces in one text: no piece has a space, so each begins with the next token that begins with one."""
         texts = b" ".join(pieces).decode().split(" ")
-        good = [i for i, p in enumerate(texts) if p and not p[0].isspace() and not p[-1].isspace()]
+        good = [i for i, p in enumerate(texts) if p and p == p.strip()]
         lines = [" " + " ".join([texts[i] for i in good[at : at + PIECES]]) for at in range(0, len(good), PIECES)]
         found = [np.zeros(0, "<u4")]
         for at in range(0, len(lines), TEXTS):
