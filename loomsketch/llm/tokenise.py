@@ -2,10 +2,12 @@
 
 Both tokenizers cut a text at white space before they merge, so a text may be split at every single space between two
 other characters, and each piece encoded by itself, with its space before it. A worker keeps the ids of the pieces it
-has met, by their bytes, as most words come again. Where ids keep spaces, new pieces go through the tokenizer many to a
-text, and a piece begins with each token that begins with a space. Where they don't, a new piece that is letters and then
-signs goes to the tokenizer's model as those two, and any other goes through the whole tokenizer. A text whose spaces
-stand beside other white space is split with more care.
+has met, by their bytes, as most words come again; those that don't come again go when there are too many. Both also cut
+between letters, signs and line feeds, so a new piece of Latin letters, signs after them and single line feeds is put
+together from its runs, which are fewer than pieces and kept in the same way. New runs go through the tokenizer many to a
+text where ids keep spaces, as a run begins with each token that begins with one, and else to the tokenizer's model by
+themselves. Other new pieces go through the whole tokenizer. A text whose spaces stand beside other white space is split
+with more care.
 """
 
 from __future__ import annotations
@@ -15,15 +17,23 @@ import re
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
-#: Pieces that a worker remembers; the longest, in characters, of those that go to the model themselves.
+#: Pieces, and runs, that a worker remembers; the longest piece, in bytes, that is put together from its runs.
 REMEMBERED, LONGEST = 500_000, 64
 #: Bytes of texts that are encoded together; new pieces that are a text for the tokenizer, and such texts that it gets at once.
-TOGETHER, PIECES, TEXTS = 2_000_000, 512, 64
+TOGETHER, PIECES, TEXTS = 4_000_000, 512, 64
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_SPACE, _LETTER, _SIGN, _LINE, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = _LETTER  # 0xC3 begins the letters from 0xC0 to 0xFF
+_KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _SIGN
+_KIND[0x20], _KIND[0x0A] = _SPACE, _LINE
+#: What may follow what in a piece of runs: no letters after signs, which may be of a contraction or a special token.
+_FOLLOWS = np.zeros((5, 5), bool)
+for _a, _b in ((_SPACE, (_LETTER, _SIGN)), (_LETTER, (_LETTER, _SIGN, _LINE, _SPACE)), (_SIGN, (_SIGN, _LINE, _SPACE)), (_LINE, (_LETTER, _SIGN))):
+    _FOLLOWS[_a, list(_b)] = True
 _workers: dict[str, Encoder] = {}
 
 
@@ -39,6 +49,67 @@ def _flat(ids: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([-1 if x is None else len(x) for x in ids], np.int64), np.array([y for x in ids if x for y in x], "<u4")
 
 
+def _sums(counts: np.ndarray) -> np.ndarray:
+    """What is before each, and in all."""
+    return np.concatenate([[0], np.cumsum(np.maximum(counts, 0))]).astype(np.int64)
+
+
+class Known:
+    """The ids of keys that a worker has met, and how many, -1 for a key without ids of its own."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
+        self.firsts = self.counts = np.zeros(0, np.int64)  # a key's ids in pool
+        self.again = np.zeros(1, bool)  # of each key, and at last of unknown ones
+        self.pool = np.zeros(1 << 16, "<u4")
+        self.used = 0
+
+    def thin(self) -> None:
+        """Of more than REMEMBERED keys those that came again stay, or none if they are too many."""
+        if len(self.at) <= REMEMBERED:
+            return
+        stay = np.flatnonzero(self.again[:-1])
+        if len(stay) > REMEMBERED // 4 * 3:
+            stay = stay[:0]
+        names, counts, (ids, _) = list(self.at), self.counts[stay], self.ids(stay)
+        self.__init__()
+        self.add([names[i] for i in stay.tolist()], counts, ids)
+
+    def places(self, keys: list[bytes]) -> np.ndarray:
+        """-1: unknown."""
+        found = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+        self.again[found] = True
+        return found
+
+    def add(self, keys: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
+        self.firsts, self.counts = np.append(self.firsts, self.used + _sums(counts)[:-1]), np.append(self.counts, counts)
+        self.again = np.append(self.again[:-1], np.zeros(len(keys) + 1, bool))
+        self.used += len(ids)
+
+    def learnt(self, data: np.ndarray, bounds: np.ndarray, learn) -> np.ndarray:
+        """The places of the keys that bounds cut data into; learn gives the counts and ids of distinct unknown keys."""
+        self.thin()
+        cut = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        keys = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self.places(keys)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            found[missing] = len(self.at) + np.arange(len(missing))
+            fresh = [keys[i] for i in missing.tolist()]
+            self.add(fresh, *learn(fresh))
+        return found[cut.indices.to_numpy()]
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the places, and how many are before each place and in all."""
+        counts = np.maximum(self.counts[places], 0)
+        before = _sums(counts)
+        return self.pool[np.repeat(self.firsts[places] - before[:-1], counts) + np.arange(before[-1])], before
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, without special tokens."""
 
@@ -52,104 +123,100 @@ class Encoder:
         self.letters = _byte_letters()
         self.spaced = "" if self.lower else self.letters[0x20]  # the lower-casing one drops white space
         known = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(known.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.opens, self.breaks = (np.zeros(max(known.values()) + 1, bool) for _ in range(2))  # ids of tokens that begin with a space; that are a line feed
         self.opens[[i for token, i in known.items() if self.spaced and token.startswith(self.spaced)]] = True
-        self.words: dict[str, list[int]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.inner: dict[bytes, int] = {}  # known pieces with a space before them, and their places in what follows
-        self.heads: dict[bytes, int] = {}  # and those that texts begin with
-        self.firsts = np.zeros(0, np.int64)  # the pieces' ids in pool
-        self.counts = np.zeros(0, np.int64)  # -1: white space starts or ends the piece, or it is empty
-        self.pool = np.zeros(1 << 16, "<u4")
-        self.used = 0
+        self.breaks[[i for token, i in known.items() if token == self.letters[0x0A]]] = True
+        self.words = 0  # runs that went to the model by themselves
+        self.pieces, self.runs = Known(), Known()  # pieces but those that texts begin with have their space before them
 
     def _whole(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> None:
-        """Learns the ids of distinct words that the tokenizer's own splitting leaves whole."""
-        tokenize, spaced, letters = self.model.tokenize, self.spaced, self.letters
-        for word in words:
-            form = word if word.isascii() else "".join(map(letters.__getitem__, word.encode()))
-            self.words[word] = [t.id for t in tokenize(spaced + form if word[0].isalpha() else form)]
-
-    def _learn(self, pieces: list[str]) -> list[list[int] | None]:
-        """Ids of the pieces with a space before them; None of those that white space starts or ends, and of the empty one."""
-        if len(self.words) > REMEMBERED // 4:
-            self.words.clear()
-        found: list = [None] * len(pieces)
-        plain, lined, others = [], [], []
-        match, lower = _PLAIN.fullmatch, self.lower
-        for i, p in enumerate(pieces):
-            parts = match(p) if len(p) <= LONGEST else None
-            if parts:
-                word, signs = parts.groups()
-                plain.append((i, word.lower() if lower else word, signs))
-            elif lower and "\n" in p and len(p) <= LONGEST and all(rows := [match(line) for line in p.split("\n")]):  # white space is dropped: words in a row
-                lined.append((i, [w for r in rows for w in (r[1].lower(), r[2]) if w]))
-            elif p and not p[0].isspace() and not p[-1].isspace():
-                others.append(i)
-        known = self.words
-        self._words(list({w for _, word, signs in plain for w in (word, signs) if w and w not in known} | {w for _, row in lined for w in row if w not in known}))
-        for i, row in lined:
-            found[i] = [x for w in row for x in known[w]]
-        for i, word, signs in plain:
-            found[i] = known[word] + known[signs] if signs else known[word]
-        for i, ids in zip(others, self._whole([" " + pieces[i] for i in others]), strict=True):
-            found[i] = ids
-        return found
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """_learn()'s counts and ids, of many pieces in one text: no piece has a space, so each begins with the next token that begins with one."""
-        texts = b" ".join(pieces).decode().split(" ")
-        good = [i for i, p in enumerate(texts) if p and p == p.strip()]
-        lines = [" " + " ".join([texts[i] for i in good[at : at + PIECES]]) for at in range(0, len(good), PIECES)]
+    def _by_model(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of runs that the tokenizer's own splitting leaves whole."""
+        tokenize, letters = self.model.tokenize, self.letters
+        self.words += len(runs)
+        return _flat([[t.id for t in tokenize(run.decode("latin-1").translate(letters))] for run in runs])
+
+    def _joined(self, texts: list[str], between: str, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Counts and ids of many pieces or runs in one text, each with what is put between them before it: each begins with the next token of begins."""
+        lines = [between + between.join(texts[at : at + PIECES]) for at in range(0, len(texts), PIECES)]
         found = [np.zeros(0, "<u4")]
         for at in range(0, len(lines), TEXTS):
             found += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines[at : at + TEXTS], add_special_tokens=False)]
         ids = np.concatenate(found)
-        firsts = np.flatnonzero(self.opens[ids])
-        if len(firsts) != len(good):  # a vocabulary whose tokens don't tell
-            return _flat(self._learn(texts))
-        counts = np.full(len(pieces), -1, np.int64)
-        counts[good] = np.diff(np.append(firsts, len(ids)))
+        firsts = np.flatnonzero(begins[ids])
+        if len(firsts) != len(texts):  # a vocabulary whose tokens don't tell
+            return None
+        return np.diff(np.append(firsts, len(ids))), ids
+
+    def _learn_runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.spaced:
+            return self._by_model(runs)
+        spaced = np.array([r[0] == 0x20 for r in runs])
+        after = np.array([r[0] not in b" \n" for r in runs])
+        found = self._joined([r[1:].decode() for r in runs if r[0] == 0x20], " ", self.opens)
+        others = self._joined([r.decode() for r in runs if r[0] not in b" \n"], "\n", self.breaks)
+        if found is None or others is None:
+            return self._by_model(runs)
+        counts = np.ones(len(runs), np.int64)
+        counts[spaced], counts[after] = found[0], others[0] - 1
+        ids = np.full(counts.sum(), np.flatnonzero(self.breaks)[0], "<u4")  # a line feed's, where nothing else is put
+        ids[np.repeat(spaced, counts)] = found[1]
+        ids[np.repeat(after, counts)] = others[1][~self.breaks[others[1]]]
         return counts, ids
 
-    def _keep(self, known: dict[bytes, int], pieces: list[bytes], counts: np.ndarray, more: np.ndarray) -> None:
-        while self.used + len(more) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + len(more)] = more
-        firsts = self.used + np.concatenate([[0], np.cumsum(np.maximum(counts, 0))[:-1]]).astype(np.int64)
-        self.used += len(more)
-        known.update(zip(pieces, range(len(self.counts), len(self.counts) + len(pieces)), strict=True))
-        self.firsts, self.counts = np.append(self.firsts, firsts), np.append(self.counts, counts)
-
-    def _slots(self, pieces: list[bytes], firsts: list[int]) -> np.ndarray:
-        """The pieces' places among the known; unknown ones are learnt. Those at firsts have no space before them."""
-        if len(self.counts) > REMEMBERED:
-            self._forget()
-        heads = [pieces[i] for i in firsts]
-        fresh = list({p for p in heads if p not in self.heads})
-        if fresh:
-            texts = [p.decode() for p in fresh]
-            good = [i for i, t in enumerate(texts) if not t[-1:].isspace()]
-            ids: list = [None] * len(fresh)
-            for i, x in zip(good, self._whole([texts[i] for i in good]), strict=True):
-                ids[i] = x
-            self._keep(self.heads, fresh, *_flat(ids))
-        codes, distinct = pd.factorize(np.array(pieces, object))
-        slot = np.fromiter(map(self.inner.get, distinct, repeat(-1)), np.int64, len(distinct))
-        missing = np.flatnonzero(slot < 0)
-        if len(missing):
-            fresh = distinct[missing].tolist()
-            slot[missing] = len(self.counts) + np.arange(len(fresh))
-            learnt = self._joined(fresh) if self.spaced else _flat(self._learn([p.decode() for p in fresh]))
-            self._keep(self.inner, fresh, *learnt)
-        slot = slot[codes]
-        slot[firsts] = [self.heads[p] for p in heads]
-        return slot
+    def _of_runs(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which pieces, all with a space before them, are runs alone, and their counts and ids."""
+        data = np.frombuffer(b"".join(pieces) + b" ", np.uint8)
+        kind = _KIND[data]
+        kind[1:][(data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))] = _OTHER  # signs among the letters
+        spaces = np.flatnonzero(data == 0x20)
+        plain = np.logical_and.reduceat(_FOLLOWS[kind[:-1], kind[1:]], spaces[:-1]) & (np.diff(spaces) <= LONGEST)
+        edge = kind[1:] != kind[:-1]
+        starts, ends = np.flatnonzero(edge & (kind[1:] != _SPACE)) + 1, np.flatnonzero(edge & (kind[:-1] != _SPACE)) + 1
+        owner = np.searchsorted(spaces, starts) - 1
+        wanted = plain[owner]
+        if self.lower:  # white space is dropped
+            wanted &= kind[starts] != _LINE
+            capital = (data >= 0x41) & (data <= 0x5A)
+            capital[1:] |= (data[:-1] == 0xC3) & (data[1:] <= 0x9E)
+            data = data + (capital * np.uint8(0x20))
+        else:
+            starts = starts - (kind[starts - 1] == _SPACE)
+        starts, ends, owner = starts[wanted], ends[wanted], owner[wanted]
+        bounds = _sums(ends - starts)
+        data = data[np.repeat(starts - bounds[:-1], ends - starts) + np.arange(bounds[-1])]
+        places = self.runs.learnt(data, bounds, self._learn_runs)
+        counts = np.bincount(owner, self.runs.counts[places], len(pieces)).astype(np.int64)
+        return plain, counts[plain], self.runs.ids(places)[0]
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of distinct pieces; -1 where white space ends a piece, or follows the space before it, or nothing does."""
+        inner = np.array([p[0] == 0x20 for p in pieces])
+        first, inner = np.flatnonzero(~inner), np.flatnonzero(inner)
+        counts, parts = np.full(len(pieces), -1, np.int64), []
+        if len(inner):
+            plain, many, ids = self._of_runs([pieces[i] for i in inner.tolist()])
+            counts[inner[plain]] = many
+            parts.append((inner[plain], ids))
+            others = inner[~plain]
+            texts = [pieces[i][1:].decode() for i in others.tolist()]
+            good = [i for i, t in enumerate(texts) if t and t == t.strip()]
+            texts = [texts[i] for i in good]
+            found = (self._joined(texts, " ", self.opens) if self.spaced else None) or _flat(self._whole([" " + t for t in texts]))
+            counts[others[good]] = found[0]
+            parts.append((others[good], found[1]))
+        texts = [pieces[i].decode() for i in first.tolist()]
+        good = [i for i, t in enumerate(texts) if not t[-1].isspace()]
+        found = _flat(self._whole([texts[i] for i in good]))
+        counts[first[good]] = found[0]
+        parts.append((first[good], found[1]))
+        before, out = _sums(counts), np.zeros(np.maximum(counts, 0).sum(), "<u4")
+        for at, ids in parts:
+            many = counts[at]
+            out[np.repeat(before[at] - _sums(many)[:-1], many) + np.arange(len(ids))] = ids
+        return counts, out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; memory follows the longest text or TOGETHER bytes."""
@@ -175,18 +242,17 @@ class Encoder:
         return np.concatenate([np.array(x, "<u4") for x in found])
 
     def _together(self, texts: list[bytes]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        pieces = b" ".join(texts).split(b" ")
-        firsts = np.cumsum([0, *(t.count(b" ") + 1 for t in texts[:-1])])  # each text's first piece
-        slot = self._slots(pieces, firsts.tolist())
-        counts = self.counts[slot]
-        odd = np.minimum.reduceat(counts, firsts) < 0
-        counts = np.maximum(counts, 0)
-        before = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.pool[np.repeat(self.firsts[slot] - before[:-1], counts) + np.arange(before[-1])]
-        bounds = np.append(before[firsts], before[-1])
-        return [self._carefully(texts[i].decode()) if odd[i] else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        at = _sums(np.array([len(t) for t in texts], np.int64))
+        cut = np.append(data == 0x20, True)
+        cut[at] = True  # a text that begins with a space has no other piece there
+        bounds = np.flatnonzero(cut)
+        places = self.pieces.learnt(data, bounds, self._learn)
+        odd = _sums(self.pieces.counts[places] < 0)
+        ids, before = self.pieces.ids(places)
+        at = np.searchsorted(bounds, at)
+        odd, before = odd[at], before[at]
+        return [self._carefully(t.decode()) if odd[i] < odd[i + 1] else ids[before[i] : before[i + 1]] for i, t in enumerate(texts)]
 
 
 def encoder(path: str) -> Encoder:
