@@ -153,9 +153,11 @@ def _texts(docs: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
     needed = ids.join(classes.select("id", "first.*"), "id")
     of_doc = needed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("line", "id")).alias("wanted"))
     whole = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), "text")
-    met = whole.join(of_doc, whole.d.eqNullSafe(of_doc.doc_id) & (whole.k == of_doc.key)).dropDuplicates(["d", "k"])
+    met = whole.join(of_doc, whole.d.eqNullSafe(of_doc.doc_id) & (whole.k == of_doc.key))
     raw = met.select(F.split("text", "\n").alias("raw"), "wanted").select("raw", F.explode("wanted").alias("w"))
-    words = raw.select("w.id", line_words(F.get("raw", F.col("w.line"))).alias("words"))
+    # a document that comes twice gives its lines twice; lines travel once more for that, whole texts don't
+    lines = raw.select("w.id", F.get("raw", F.col("w.line")).alias("line")).dropDuplicates(["id"])
+    words = lines.select("id", line_words(F.col("line")).alias("words"))
     sign = F.array_join(F.transform("words", _sign), "").alias("signs")
     widest = F.array_max(F.transform("words", lambda w: F.char_length(w))).alias("widest")
     rows = words.select("id", F.array_join("words", " ").alias("text"), simhash(F.col("words")).alias("sim"), sign, widest)
