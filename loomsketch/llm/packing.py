@@ -25,6 +25,8 @@ from .tokenise import encoder
 POOL = 1 << 23
 #: A window that is at least so full is closed at a pool's end.
 CLOSED = 0.98
+#: Documents that are encoded at a time, and pieces or runs that the encoder remembers: beside a pool, a worker has to stay small.
+STEP, REMEMBERED = 256, 250_000
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -111,7 +113,7 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, number, pieces, size = encoder(vocabulary), TaskContext.get().partitionId() << 32, [], 0
+        encode, number, pieces, size = encoder(vocabulary, REMEMBERED), TaskContext.get().partitionId() << 32, [], 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal number, pieces, size
@@ -121,7 +123,7 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int =
                 nonlocal number
                 at = 0
                 for doc, start, tokens, ids in members:
-                    rows.append((doc, start, len(ids), tokens, number, at, ids.tobytes()))
+                    rows.append((doc, start, len(ids), tokens, number, at, ids))
                     at += len(ids)
                 number += 1
 
@@ -142,8 +144,8 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int =
                 yield _batch(rows[at : at + 512])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, STEP):
+                some = batch.slice(at, STEP)
                 for doc, ids in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
                     ids = np.append(ids, end)
                     tokens = len(ids)
@@ -152,12 +154,15 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = 4096, end_id: int =
                     size += tokens
                     if size >= pool:
                         yield from flush(last=False)
+                pa.default_memory_pool().release_unused()
         yield from flush(last=True)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Ids become bytes here, so that a pool's aren't held twice."""
+    rows = [(*row, ids.tobytes()) for *row, ids in rows]
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     kinds = [pa.int64()] * 6 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

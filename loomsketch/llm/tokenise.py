@@ -34,7 +34,7 @@ _KIND[0x20], _KIND[0x0A] = _SPACE, _LINE
 _FOLLOWS = np.zeros((5, 5), bool)
 for _a, _b in ((_SPACE, (_LETTER, _SIGN)), (_LETTER, (_LETTER, _SIGN, _LINE, _SPACE)), (_SIGN, (_SIGN, _LINE, _SPACE)), (_LINE, (_LETTER, _SIGN))):
     _FOLLOWS[_a, list(_b)] = True
-_workers: dict[str, Encoder] = {}
+_workers: dict[tuple[str, int | None], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,7 +57,8 @@ def _sums(counts: np.ndarray) -> np.ndarray:
 class Known:
     """The ids of keys that a worker has met, and how many, -1 for a key without ids of its own."""
 
-    def __init__(self):
+    def __init__(self, most: int | None = None):
+        self.most = most  # keys that stay, REMEMBERED if None
         self.at: dict[bytes, int] = {}
         self.firsts = self.counts = np.zeros(0, np.int64)  # a key's ids in pool
         self.again = np.zeros(1, bool)  # of each key, and at last of unknown ones
@@ -65,14 +66,15 @@ class Known:
         self.used = 0
 
     def thin(self) -> None:
-        """Of more than REMEMBERED keys those that came again stay, or none if they are too many."""
-        if len(self.at) <= REMEMBERED:
+        """Of more keys than are remembered those that came again stay, or none if they are too many."""
+        most = REMEMBERED if self.most is None else self.most
+        if len(self.at) <= most:
             return
         stay = np.flatnonzero(self.again[:-1])
-        if len(stay) > REMEMBERED // 4 * 3:
+        if len(stay) > most // 4 * 3:
             stay = stay[:0]
         names, counts, (ids, _) = list(self.at), self.counts[stay], self.ids(stay)
-        self.__init__()
+        self.__init__(self.most)
         self.add([names[i] for i in stay.tolist()], counts, ids)
 
     def places(self, keys: list[bytes]) -> np.ndarray:
@@ -113,7 +115,7 @@ class Known:
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, without special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -127,7 +129,7 @@ class Encoder:
         self.opens[[i for token, i in known.items() if self.spaced and token.startswith(self.spaced)]] = True
         self.breaks[[i for token, i in known.items() if token == self.letters[0x0A]]] = True
         self.words = 0  # runs that went to the model by themselves
-        self.pieces, self.runs = Known(), Known()  # pieces but those that texts begin with have their space before them
+        self.pieces, self.runs = Known(remembered), Known(remembered)  # pieces but those that texts begin with have their space before them
 
     def _whole(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -255,11 +257,11 @@ class Encoder:
         return [self._carefully(t.decode()) if odd[i] < odd[i + 1] else ids[before[i] : before[i + 1]] for i, t in enumerate(texts)]
 
 
-def encoder(path: str) -> Encoder:
-    """The Python worker's encoder for a vocabulary file."""
-    if path not in _workers:
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    """The Python worker's encoder for a vocabulary file; remembered: pieces, and runs, REMEMBERED if None."""
+    if (path, remembered) not in _workers:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _workers[path] = Encoder(path)
-    return _workers[path]
+        _workers[path, remembered] = Encoder(path, remembered)
+    return _workers[path, remembered]
