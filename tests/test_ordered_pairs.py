@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 from collections import Counter
 
 import duckdb
@@ -88,7 +89,8 @@ def test_a_pair_moves_in_few_bytes_and_once(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("name", ["rank_matrix", "sorted_pairs"])
 def test_queries_against_their_sql(spark, sf, name):
     connection = duckdb.connect()
-    connection.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet/*.parquet'" if __import__("os").path.isdir(f"{sf}/embeddings.parquet") else f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    files = f"{sf}/embeddings.parquet" + ("/*.parquet" if os.path.isdir(f"{sf}/embeddings.parquet") else "")
+    connection.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{files}'")
     wanted = sorted(connection.sql(catalog.ORACLES[name]).fetchall())
     found = catalog.QUERIES[name](spark, sf)
     assert found.columns == connection.sql(catalog.ORACLES[name]).columns
